@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,7 +18,11 @@ LEADING_ZERO = r"0[0-9]+"
 BLANK_TOKENS = ("n/a", "na", "null", "none", "nil", "-", "--", "?", "unknown", "undefined", "#n/a")
 
 # Every character Unicode counts as white space, for the checks that strip before they compare.
-_SPACE = r"[\s\p{Z}\x0B\x1C-\x1F\x85]"
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    + "".join(map(chr, range(0x2000, 0x200B)))
+    + "\u2028\u2029\u202f\u205f\u3000"
+)
 BULLET = "•"
 
 
@@ -27,7 +33,7 @@ def full_match(c: Column, pattern: str) -> Column:
 
 def strip(c: Column) -> Column:
     """Without leading and trailing white space of any kind (SQL `trim` removes spaces only)."""
-    return F.regexp_replace(c, rf"\A{_SPACE}+|{_SPACE}+\z", "")
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def is_blank(c: Column) -> Column:
@@ -56,7 +62,10 @@ def is_leading_zero_number(c: Column) -> Column:
 
 def pattern_class(c: Column) -> Column:
     """The shape of a value: letters as A, digits as 9, runs of five or more as `A{5+}` / `9{5+}`."""
-    shape = F.regexp_replace(F.regexp_replace(c, r"\p{L}", "A"), "[0-9]", "9")
+    # ASCII goes through a character map; only the remaining letters need the regular expression.
+    letters = string.ascii_letters.replace("A", "")
+    ascii_done = F.translate(c, letters + "012345678", "A" * len(letters) + "9" * 9)
+    shape = F.regexp_replace(ascii_done, r"[\p{L}&&[^A]]", "A")
     return F.regexp_replace(F.regexp_replace(shape, "A{5,}", "A{5+}"), "9{5,}", "9{5+}")
 
 

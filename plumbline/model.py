@@ -12,6 +12,8 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from .session import local_frame
+
 # Role and severity weights, dimension order and mapping.
 ROLE_WEIGHT = {
     "key": 3.0,
@@ -143,7 +145,7 @@ def specs_frame(spark: SparkSession, specs: list[CheckSpec]) -> DataFrame:
          s.kind, s.status, float(s.max_fail_ratio), s.origin, int(s.version))
         for s in specs
     ]
-    return spark.createDataFrame(rows, SPEC_SCHEMA)
+    return local_frame(spark, rows, SPEC_SCHEMA)
 
 
 def specs_from_rows(rows: list[Any]) -> list[CheckSpec]:

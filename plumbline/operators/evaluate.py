@@ -19,8 +19,9 @@ from pyspark.sql import types as T
 from ..functions import intervals as I
 from ..functions import text as X
 from ..model import SEVERITIES, Asset, CheckSpec
+from ..session import local_frame
 from .checks import CheckType, age_hours, check_types, spec_id
-from .histogram import ColumnMeta, encode, histogram_value, quote, row_value, slot_letter
+from .histogram import ColumnMeta, Value, encode, histogram_value, quote, row_value, slot_letter
 
 # Row hashes that may repeat, up to which they are broadcast to filter the rows to compare.
 BROADCAST_HASHES = 1_000_000
@@ -72,7 +73,7 @@ def value_params(store: Store, specs: list[CheckSpec]) -> tuple[DataFrame, list[
     rows = [
         (cid, where[cid].asset, where[cid].column, *[p.get(t.name) for t in used]) for cid, p in by_column.items()
     ]
-    return store.spark.createDataFrame(rows, schema), used
+    return local_frame(store.spark, rows, schema), used
 
 
 def _ddl(fields: str) -> str:
@@ -88,10 +89,9 @@ def _value_rows(store: Store, params: DataFrame) -> DataFrame:
     return store.hist.join(F.broadcast(params.join(slots, "cid")), "cid")
 
 
-def _fails(t: CheckType) -> Column:
+def _fails(t: CheckType, v: Value) -> Column:
     """Whether a histogram row fails a value check that is set for its column."""
     p = F.col(f"p_{t.name}")
-    v = histogram_value()
     if t.how == "nulls":
         return p.isNotNull() & ~v.present
     return p.isNotNull() & v.present & t.fail(v, lambda f: p[f])
@@ -100,14 +100,14 @@ def _fails(t: CheckType) -> Column:
 def value_counts(store: Store, specs: list[CheckSpec]) -> DataFrame:
     """All value checks of all columns in one grouped aggregate over the histogram."""
     params, used = value_params(store, specs)
-    n = F.col("n")
+    n, v = F.col("n"), histogram_value()
     rows = _value_rows(store, params)
     grouped = rows.groupBy("cid").agg(
         F.first("asset").alias("asset"),
         F.first("column").alias("column"),
         F.sum("n").alias("rows"),
-        F.sum(F.when(histogram_value().present, n)).alias("present"),
-        *[F.sum(F.when(_fails(t), n - 1 if t.repeats else n)).alias(f"k_{t.name}") for t in used],
+        F.sum(F.when(v.present, n)).alias("present"),
+        *[F.sum(F.when(_fails(t, v), n - 1 if t.repeats else n)).alias(f"k_{t.name}") for t in used],
         *[F.first(f"p_{t.name}").isNotNull().alias(f"on_{t.name}") for t in used],
     )
     per_check = F.array(
@@ -132,7 +132,7 @@ def value_counts(store: Store, specs: list[CheckSpec]) -> DataFrame:
 
 def _casing_rows(store: Store, specs: list[CheckSpec]) -> DataFrame:
     columns = [(store.column(s.asset, s.column).cid, s.id) for s in specs]
-    targets = store.spark.createDataFrame(columns, "cid int, check_id string")
+    targets = local_frame(store.spark, columns, "cid int, check_id string")
     return (
         store.hist.join(F.broadcast(targets), "cid")
         .filter(F.col("s").isNotNull())
@@ -205,7 +205,7 @@ def _references(store: Store, specs: list[CheckSpec]) -> tuple[DataFrame, DataFr
         F.when(~F.col("as_text"), F.col("d")),
     )
     slots = store.meta.select("cid", "slot")
-    targets = store.spark.createDataFrame(child_rows, "cid int, fk int, check_id string, as_text boolean").join(slots, "cid")
+    targets = local_frame(store.spark, child_rows, "cid int, fk int, check_id string, as_text boolean").join(slots, "cid")
     children = (
         store.hist.join(F.broadcast(targets), "cid")
         .filter(v.present)
@@ -213,7 +213,7 @@ def _references(store: Store, specs: list[CheckSpec]) -> tuple[DataFrame, DataFr
     )
     if inner_rows:
         # A parent read in full is in the histogram already, as its distinct values.
-        inner = store.spark.createDataFrame(inner_rows, "cid int, fk int, as_text boolean").join(slots, "cid")
+        inner = local_frame(store.spark, inner_rows, "cid int, fk int, as_text boolean").join(slots, "cid")
         parents.append(
             store.hist.join(F.broadcast(inner), "cid").filter(v.present).select(*_keys(F.col("fk"), s_, i_, d_))
         )
@@ -324,7 +324,7 @@ def _suspect_groups(rows: DataFrame, spec: CheckSpec, hashes: DataFrame, count:
 def table_counts(store: Store, specs: list[CheckSpec], populations: dict[str, int]) -> DataFrame:
     """Empty tables (from their row counts) and the age of the newest value of the full table."""
     empty = [(s.id, 1, int(populations[s.asset] == 0)) for s in specs if s.type == "row_count"]
-    frames = [store.spark.createDataFrame(empty, COUNTS_SCHEMA)] if empty else []
+    frames = [local_frame(store.spark, empty, COUNTS_SCHEMA)] if empty else []
     aged = [s for s in specs if s.type == "freshness"]
     if aged:
         limit = F.col("max_age_hours") < (F.lit(age_hours(0, store.now)) - F.col("newest") / 3_600_000_000)
@@ -372,7 +372,7 @@ def count_checks(
         (how("table"), lambda x: table_counts(store, x, populations)),
     ]
     counted = union_all([run(part) for part, run in parts if part])
-    ids = store.spark.createDataFrame([(s.id,) for s in specs], "check_id string")
+    ids = local_frame(store.spark, [(s.id,) for s in specs], "check_id string")
     return ids.join(counted, "check_id", "left").select(
         "check_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), F.coalesce("k", F.lit(0)).cast("bigint").alias("k")
     )
@@ -381,8 +381,8 @@ def count_checks(
 def type_frame(spark: SparkSession) -> DataFrame:
     """The registry as a small table."""
     rows = [(t.name, t.title, t.level, t.how, t.phrase, t.next_step, i) for i, t in enumerate(check_types().values())]
-    return spark.createDataFrame(
-        rows, "type string, title string, level string, how string, phrase string, next_step string, type_order int"
+    return local_frame(
+        spark, rows, "type string, title string, level string, how string, phrase string, next_step string, type_order int"
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..model import CheckSpec
+from ..session import local_frame
 from .checks import check_types
 from .evaluate import (
     Store, _fails, _value_rows, casing_variants, is_finding, newest_values, order_violations, orphans, severity_rank,
@@ -47,7 +48,7 @@ def failing_values(store: Store, specs: list[CheckSpec]) -> DataFrame:
         params, used = value_params(store, single)
         v = histogram_value()
         failing = [
-            F.when(_fails(t) & (F.col("n") > 1) if t.repeats else _fails(t), F.lit(t.name)) for t in used
+            F.when(_fails(t, v) & (F.col("n") > 1) if t.repeats else _fails(t, v), F.lit(t.name)) for t in used
         ]
         frames.append(
             _value_rows(store, params)
@@ -69,14 +70,14 @@ def failing_values(store: Store, specs: list[CheckSpec]) -> DataFrame:
             )
         )
     if not frames:
-        return store.spark.createDataFrame([], "check_id string, value string, n bigint")
+        return local_frame(store.spark, [], "check_id string, value string, n bigint")
     return union_all(frames)
 
 
 def examples(store: Store, specs: list[CheckSpec], personal: set[tuple[str, str]]) -> DataFrame:
     """`(check_id, examples array<struct<value, n, masked>>)`: most frequent first, ties by text."""
-    masked = store.spark.createDataFrame(
-        [(s.id, (s.asset, s.column) in personal) for s in specs], "check_id string, masked boolean"
+    masked = local_frame(
+        store.spark, [(s.id, (s.asset, s.column) in personal) for s in specs], "check_id string, masked boolean"
     )
     top = top_k(
         failing_values(store, specs), ["check_id"], [F.desc("n"), F.asc("value")], EXAMPLES, EXAMPLES, F.col("value")

@@ -26,6 +26,7 @@ from pyspark.sql.window import Window
 
 from ..functions.semantics import candidates_for
 from ..model import NOT_SCALAR, NUMERIC, TEMPORAL, Asset, logical_type
+from ..session import local_frame
 
 # Columns unpivoted in one pass; beyond this a table is read once per group of columns, so that the
 # row stays narrow enough for generated code.
@@ -105,7 +106,7 @@ def meta_frame(spark: SparkSession, assets: list[Asset], metas: list[ColumnMeta]
              any(fk.column == m.column for fk in a.foreign_keys),
              sorted(f"{s}_id" for s in singular_forms(a.name)), candidates_for(m.column))
         )
-    return spark.createDataFrame(rows, META_SCHEMA)
+    return local_frame(spark, rows, META_SCHEMA)
 
 
 def quote(name: str) -> str:
@@ -172,25 +173,23 @@ class Value:
     present: Column  # not null
 
 
+_NUMBER = "CASE slot WHEN 'int' THEN CAST(i AS DOUBLE) WHEN 'dbl' THEN d WHEN 'dec' THEN CAST(s AS DOUBLE) END"
+_TEXT = (
+    "CASE slot WHEN 'text' THEN s WHEN 'dec' THEN s WHEN 'int' THEN CAST(i AS STRING) "
+    "WHEN 'dbl' THEN CAST(d AS STRING) WHEN 'bool' THEN CAST(i = 1 AS STRING) "
+    "WHEN 'date' THEN CAST(CAST(timestamp_micros(i) AS DATE) AS STRING) "
+    "WHEN 'ts' THEN CAST(timestamp_micros(i) AS STRING) END"
+)
+
+
 def histogram_value() -> Value:
     """The value of a histogram row that carries `slot` (after joining the column metadata)."""
-    slot, s, i, d = (F.col(c) for c in ("slot", "s", "i", "d"))
-    number = F.when(slot == "int", i.cast("double")).when(slot == "dbl", d).when(slot == "dec", s.cast("double"))
-    instant = F.timestamp_micros(i)
-    text = (
-        F.when(slot.isin("text", "dec"), s)
-        .when(slot == "int", i.cast("string"))
-        .when(slot == "dbl", d.cast("string"))
-        .when(slot == "bool", (i == 1).cast("string"))
-        .when(slot == "date", instant.cast("date").cast("string"))
-        .when(slot == "ts", instant.cast("string"))
-    )
     return Value(
-        text=text,
-        string=F.when(slot == "text", s),
-        number=_finite(number),
-        micros=F.when(slot.isin("date", "ts"), i),
-        present=s.isNotNull() | i.isNotNull() | d.isNotNull(),
+        text=F.expr(_TEXT),
+        string=F.expr("CASE WHEN slot = 'text' THEN s END"),
+        number=F.expr(f"CASE WHEN abs({_NUMBER}) < CAST('Infinity' AS DOUBLE) THEN {_NUMBER} END"),
+        micros=F.expr("CASE WHEN slot IN ('date', 'ts') THEN i END"),
+        present=F.expr("s IS NOT NULL OR i IS NOT NULL OR d IS NOT NULL"),
     )
 
 
@@ -208,7 +207,7 @@ def row_value(name: str, dt: T.DataType) -> Value:
 
 
 def _finite(x: Column) -> Column:
-    return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
+    return F.when(F.abs(x) < float("inf"), x)  # NaN counts as larger than infinity
 
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: Column | int, max_k: int, spread: Column) -> DataFrame:

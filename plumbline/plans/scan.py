@@ -25,7 +25,7 @@ from ..operators.histogram import ColumnMeta, build_histogram, column_meta, meta
 from ..operators.lifecycle import missing_reason, reconcile
 from ..operators.quantiles import quantiles
 from ..operators.score import scores
-from ..session import require_utc
+from ..session import collect_small, local_frame, require_utc
 from ..sources.sampling import row_counts, sample
 
 log = logging.getLogger(__name__)
@@ -88,7 +88,7 @@ class Scan:
         """The reconciled specs; candidates dropped for weak evidence are not among them."""
         spark = self.profiled.store.spark
         specs = specs_frame(spark, self.specs)
-        gone = spark.createDataFrame([(s.id,) for s, _ in self.unevaluated], "check_id string")
+        gone = local_frame(spark, [(s.id,) for s, _ in self.unevaluated], "check_id string")
         return specs.join(self.results.select("check_id").union(gone), "check_id", "left_semi")
 
     @property
@@ -98,7 +98,7 @@ class Scan:
 
     def tables(self) -> dict[str, DataFrame]:
         spark = self.profiled.store.spark
-        gone = spark.createDataFrame([(s.id, s.asset, why) for s, why in self.unevaluated], "check_id string, asset string, reason string")
+        gone = local_frame(spark, [(s.id, s.asset, why) for s, why in self.unevaluated], "check_id string, asset string, reason string")
         out = {
             "assets": self.assets, "profile": self.profile.drop("cid"), "top_values": self.top.drop("cid"),
             "patterns": named(self.profiled, self.profiled.patterns), "check_specs": self.check_specs,
@@ -214,17 +214,16 @@ def _profile_tables(
 
     basic_lazy = P.basic_measures(hist, meta, now)
     basic_rows = basic_lazy.collect()  # one row per column; fills the histogram's cache
-    basic = spark.createDataFrame(basic_rows, basic_lazy.schema)
+    basic = local_frame(spark, basic_rows, basic_lazy.schema)
     large = P.large_columns(basic_rows)
-    quant_lazy = quantiles(P.number_values(hist, meta), P.QUANTILES, large, held)
-    quants = spark.createDataFrame(quant_lazy.collect(), quant_lazy.schema)
+    quants = collect_small(quantiles(P.number_values(hist, meta), P.QUANTILES, large, held))
     centres = quants.select("cid", F.col("q")[2].alias("p50")).join(basic.select("cid", "mean"), "cid")
     spread = P.spread_measures(hist, meta, centres, large, held)
     top = top_values(hist, meta).persist()
     held.append(top)
     profile_lazy = P.profile_frame(meta, basic, quants, spread, P.semantic_measures(top, meta))
     rows = profile_lazy.collect()
-    profile = spark.createDataFrame(rows, profile_lazy.schema)
+    profile = local_frame(spark, rows, profile_lazy.schema)
     patterns = P.patterns(top, meta)
 
     eligible = [r.cid for r in rows if r.logical_type in ("text", "integer") and (r["distinct"] or 0) <= 20]
@@ -284,8 +283,8 @@ def asset_frame(profiled: Profiled, options: ScanOptions) -> DataFrame:
          bool(p.asset.primary_key), options.declares_keys, p.error)
         for label, p in profiled.assets.items()
     ]
-    return profiled.store.spark.createDataFrame(
-        rows,
+    return local_frame(
+        profiled.store.spark, rows,
         "asset string, kind string, population bigint, sample_rows bigint, sampled boolean, columns bigint, "
         "time_series_candidate boolean, has_primary_key boolean, declares_keys boolean, error string",
     )
@@ -315,9 +314,8 @@ def evaluate(profiled: Profiled, specs: list[CheckSpec], options: ScanOptions) -
     """Results of the given checks, persisted: one row per check."""
     held: list[DataFrame] = []
     spark = profiled.store.spark
-    counts_lazy = count_checks(profiled.store, specs, profiled.populations, held)
     # One row per check comes back and becomes a local table, so nothing above recounts.
-    counts = spark.createDataFrame(counts_lazy.collect(), counts_lazy.schema)
+    counts = collect_small(count_checks(profiled.store, specs, profiled.populations, held))
     results = check_results(counts, specs_frame(spark, specs), asset_frame(profiled, options), type_frame(spark))
     return drop_weak_candidates(results), held
 
@@ -335,14 +333,12 @@ def run_scan(
     everything, runnable, unable = plan_checks(profiled, saved)
     results, held = evaluate(profiled, runnable, options)
     info = asset_frame(profiled, options)
-    results = results.persist()
-    held.append(results)
+    results = collect_small(results)
     evidence = evidence_for(profiled, runnable, results) if options.examples else None
     if evidence is None:
-        evidence = spark.createDataFrame([], "check_id string, examples array<struct<value:string,n:bigint,masked:boolean>>")
+        evidence = local_frame(spark, [], "check_id string, examples array<struct<value:string,n:bigint,masked:boolean>>")
     else:
-        evidence = evidence.persist()
-        held.append(evidence)
+        evidence = collect_small(evidence)
     return Scan(
         scan_id=scan_id,
         started_at=profiled.store.now,

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # Runtime SQL settings; safe to set on a shared cluster session. A top-1,000 per column is pruned
 # before its shuffle only while the limit stays below the group-limit threshold.
@@ -38,6 +41,32 @@ def local_session(cores: str | int = "*", partitions: int | None = None, app: st
     return tune(builder.getOrCreate())
 
 
+def local_frame(spark: SparkSession, rows: list, schema: str | T.StructType) -> DataFrame:
+    """Driver-side metadata (one row per table, column or check) as a DataFrame.
+
+    Sent as Arrow it becomes a local relation, which needs no job of its own; in a single partition, the
+    joins, groupings and windows over such frames need no exchange."""
+    schema = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
+    table = pa.Table.from_pylist([_plain(r, schema) for r in rows], schema=to_arrow_schema(schema))
+    return spark.createDataFrame(table, schema).coalesce(1)
+
+
+def collect_small(df: DataFrame) -> DataFrame:
+    """Materialise a frame of at most one row per table, column or check as a local one."""
+    return local_frame(df.sparkSession, df.collect(), df.schema)
+
+
+def _plain(value, dt: T.DataType):
+    if value is None:
+        return None
+    if isinstance(dt, T.StructType):
+        items = [value.get(n) for n in dt.names] if isinstance(value, dict) else list(value)
+        return {f.name: _plain(v, f.dataType) for f, v in zip(dt.fields, items, strict=True)}
+    if isinstance(dt, T.ArrayType):
+        return [_plain(v, dt.elementType) for v in value]
+    return value
+
+
 def require_utc(spark: SparkSession) -> None:
     """Zone-less timestamps are compared with the scan time as UTC; another zone would shift them."""
     zone = spark.conf.get("spark.sql.session.timeZone")
