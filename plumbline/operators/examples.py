@@ -80,7 +80,7 @@ def examples(store: Store, specs: list[CheckSpec], personal: set[tuple[str, str]
         store.spark, [(s.id, (s.asset, s.column) in personal) for s in specs], "check_id string, masked boolean"
     )
     top = top_k(
-        failing_values(store, specs), ["check_id"], [F.desc("n"), F.asc("value")], EXAMPLES, EXAMPLES, F.col("value")
+        failing_values(store, specs), ["check_id"], [F.desc("n"), F.asc("value")], EXAMPLES, F.col("value")
     )
     shown = top.join(F.broadcast(masked), "check_id").withColumn("value", shown_value(F.col("value"), F.col("masked")))
     return shown.groupBy("check_id").agg(

@@ -210,10 +210,10 @@ def _finite(x: Column) -> Column:
     return F.when(F.abs(x) < float("inf"), x)  # NaN counts as larger than infinity
 
 
-def top_k(df: DataFrame, keys: list[str], order: list[Column], k: Column | int, max_k: int, spread: Column) -> DataFrame:
+def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, spread: Column) -> DataFrame:
     """The first `k` rows of each group in `order`, with their `rank`; never one task per group.
 
-    Two ranked passes: groups are split by a hash of `spread` first, each part is cut to `max_k`, and
+    Two ranked passes: groups are split by a hash of `spread` first, each part is cut to `k`, and
     only the survivors meet. A constant limit lets Spark prune before each shuffle as well."""
     parts = 32
     first = Window.partitionBy(*keys, "_part").orderBy(*order)
@@ -221,11 +221,10 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: Column | int,
     cut = (
         df.withColumn("_part", F.pmod(F.xxhash64(spread), F.lit(parts)))
         .withColumn("_r", F.row_number().over(first))
-        .filter(F.col("_r") <= max_k)
+        .filter(F.col("_r") <= k)
         .drop("_r", "_part")
     )
-    ranked = cut.withColumn("rank", F.row_number().over(last)).filter(F.col("rank") <= max_k)
-    return ranked if isinstance(k, int) and k == max_k else ranked.filter(F.col("rank") <= k)
+    return cut.withColumn("rank", F.row_number().over(last)).filter(F.col("rank") <= k)
 
 
 def top_values(hist: DataFrame, meta: DataFrame) -> DataFrame:
@@ -236,7 +235,5 @@ def top_values(hist: DataFrame, meta: DataFrame) -> DataFrame:
         .filter(v.present & (F.col("slot") != "opaque"))
         .select("cid", (F.col("slot") == "text").alias("is_text"), v.text.alias("value"), "n")
     )
-    order = [F.desc("n"), F.asc("value")]
-    text = top_k(rows.filter("is_text"), ["cid"], order, TOP_TEXT, TOP_TEXT, F.col("value"))
-    other = top_k(rows.filter("NOT is_text"), ["cid"], order, TOP_OTHER, TOP_OTHER, F.col("value"))
-    return text.unionByName(other)
+    ranked = top_k(rows, ["cid"], [F.desc("n"), F.asc("value")], TOP_TEXT, F.col("value"))
+    return ranked.filter(F.col("is_text") | (F.col("rank") <= TOP_OTHER)).drop("is_text")

@@ -137,7 +137,7 @@ def patterns(top: DataFrame, meta: DataFrame, limit: int = SHOWN_PATTERNS) -> Da
         .groupBy("cid", X.pattern_class(F.col("value")).alias("pattern"))
         .agg(F.sum("n").alias("n"))
     )
-    return top_k(shapes, ["cid"], [F.desc("n"), F.asc("pattern")], limit, limit, F.col("pattern"))
+    return top_k(shapes, ["cid"], [F.desc("n"), F.asc("pattern")], limit, F.col("pattern"))
 
 
 def role_expr() -> Column:

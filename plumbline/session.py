@@ -17,6 +17,8 @@ RECOMMENDED = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.optimizer.windowGroupLimitThreshold": "2000",
     "spark.sql.codegen.maxFields": "400",
+    # The call site of every Column expression costs several JVM round trips; plans here have hundreds.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -37,6 +39,7 @@ def local_session(cores: str | int = "*", partitions: int | None = None, app: st
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", os.environ.get("PLUMBLINE_DRIVER_MEMORY", "8g"))
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     return tune(builder.getOrCreate())
 
