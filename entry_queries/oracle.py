@@ -82,7 +82,7 @@ VALID = {
 
 def mask(c: str) -> str:
     return (f"CASE WHEN length({c}) <= 4 THEN repeat('•', length({c})) "
-            f"ELSE concat(substr({c}, 1, 2), repeat('•', length({c}) - 4), right({c}, 2)) END")
+            f"ELSE substr({c}, 1, 2) || repeat('•', length({c}) - 4) || right({c}, 2) END")
 
 
 # --- profiles ---------------------------------------------------------------------------------------

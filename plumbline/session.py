@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -58,6 +59,21 @@ def collect_small(df: DataFrame) -> DataFrame:
     return local_frame(df.sparkSession, df.collect(), df.schema)
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write `df` to the checkpoint folder and continue from there.
+
+    The folder is the one the cluster names; a temporary one stands in where none is set, in local mode."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if folder is None:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        sc.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 def _plain(value, dt: T.DataType):
     if value is None:
         return None
