@@ -40,8 +40,8 @@ PAGE = BASE + f""", f AS (SELECT check_id, {SEVERITY} AS severity, CASE WHEN g =
  SELECT f.check_id, f.severity, f.last_seen_at, n AS evaluated, k AS failed FROM (SELECT * FROM f WHERE rank > 2 OR (rank = 2 AND id > 'scan0/share:click:1') ORDER BY rank, id LIMIT 5) f
  JOIN v ON v.check_id = f.check_id AND v.p = 2"""
 DETAIL = BASE + f""", e AS ({_EVENTS}), seen AS (SELECT p, TIMESTAMP '2024-01-11 00:00:00' + INTERVAL 10 DAY * p AS t FROM (VALUES (0), (1), (2)) AS q(p))
- SELECT 'event' AS what, t AS seen_at, action AS detail FROM e JOIN seen USING (p) JOIN s USING (check_id) WHERE check_id = 'share:error:3' AND f0 UNION ALL
- SELECT * FROM (SELECT 'occurrence', t, CAST(k AS VARCHAR) FROM v JOIN seen USING (p) JOIN s USING (check_id) WHERE check_id = 'share:error:3' AND fails AND f0 ORDER BY t DESC LIMIT 2)"""
+ SELECT 'event' AS what, t AS seen_at, action AS detail FROM e JOIN seen USING (p) JOIN s USING (check_id) WHERE check_id = (SELECT min(check_id) FROM s WHERE f0 AND occ > 1) UNION ALL
+ SELECT * FROM (SELECT 'occurrence', t, CAST(k AS VARCHAR) FROM v JOIN seen USING (p) JOIN s USING (check_id) WHERE check_id = (SELECT min(check_id) FROM s WHERE f0 AND occ > 1) AND fails ORDER BY t DESC LIMIT 2)"""
 SCAN_FINDINGS = BASE + "SELECT v.check_id, k AS failed, CASE WHEN s.check_id IS NOT NULL THEN 'open' END AS finding_status FROM v LEFT JOIN s ON s.check_id = v.check_id WHERE p = 2 AND fails AND v.g >= 4"
 
 _Z = "1.959964"

@@ -142,7 +142,8 @@ def finding_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     folds = folded(spark, sf_dir)
     events = reduce(DataFrame.unionByName, [f.events for f in folds])
     occ = reduce(DataFrame.unionByName, [f.occurrences for f in folds])
-    o, e = fd.finding_detail("scan0/share:error:3", occ, events, shown=2)
+    wanted = folds[-1].state.filter("first_scan_id = 'scan0' AND occurrences > 1").agg(F.min("finding_id")).first()[0]
+    o, e = fd.finding_detail(wanted, occ, events, shown=2)
     return o.select(F.lit("occurrence").alias("what"), "seen_at", F.col("failed").cast("string").alias("detail")).unionByName(
         e.select(F.lit("event").alias("what"), F.col("at").alias("seen_at"), F.col("action").alias("detail")))
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import semantics as S
 from ..functions import text as X
-from ..model import NUMERIC, TEMPORAL
+from ..model import NOT_SCALAR, NUMERIC, TEMPORAL
 from .histogram import TOP_OTHER, TOP_TEXT, histogram_value, top_k
 from .quantiles import SMALL_COLUMN, quantiles
 
@@ -176,12 +176,24 @@ def profile_frame(meta: DataFrame, basic: DataFrame, quants: DataFrame, spread:
     joined = (
         meta.join(basic, "cid", "left").join(q, "cid", "left").join(spread, "cid", "left").join(semantic, "cid", "left")
     )
+    # A column of an empty table has no histogram rows: its counts are zero, its values absent.
+    kind = F.col("logical_type")
+    zero_where = [
+        (~kind.isin(*NOT_SCALAR), ("distinct",)),
+        (kind == "text", ("blanks", "whitespace", "non_printing", "numeric_like", "date_like", "leading_zero_numbers")),
+        (kind.isin(*NUMERIC), ("zeros", "negatives", "non_finite")),
+        (kind.isin(*TEMPORAL), ("future", "before_1900", "after_2200")),
+        (F.lit(True), ("rows", "nulls")),
+    ]
+    joined = joined.withColumns(
+        {c: F.when(cond, F.coalesce(F.col(c), F.lit(0))) for cond, names in zero_where for c in names}
+    )
     non_null = F.col("rows") - F.col("nulls")
     limit = F.when(F.col("logical_type") == "text", TOP_TEXT).otherwise(TOP_OTHER)
     return joined.select(
         "cid", "asset", "column", "position", "physical_type", "logical_type", "declared_not_null",
         "semantic_type", "semantic_share",
-        F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("nulls", F.lit(0)).alias("nulls"), F.coalesce(non_null, F.lit(0)).alias("non_null"),
+        "rows", "nulls", non_null.alias("non_null"),
         "distinct", "blanks", "min_number", "max_number", "mean", "stddev", *QUANTILE_NAMES, "mad", "zeros",
         "negatives", "non_finite", "min_length", "max_length", "mean_length", "whitespace", "non_printing",
         "numeric_like", "date_like", "leading_zero_numbers", "min_us", "max_us",

@@ -10,6 +10,7 @@ import logging
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -140,14 +141,14 @@ def profile_assets(spark: SparkSession, assets: list[Asset], options: ScanOption
     for batch in batches:
         try:
             parts.append(_profile_batch(spark, batch, options, now, first))
-        except Exception as e:  # noqa: BLE001 - find the table, keep the others
+        except PySparkException as e:  # find the table, keep the others
             if len(batch) == 1:
                 failed[batch[0].label] = _failed(batch[0], e)
             else:
                 for n, a in enumerate(batch):
                     try:
                         parts.append(_profile_batch(spark, [a], options, now, first + 1000 * n))
-                    except Exception as one:  # noqa: BLE001
+                    except PySparkException as one:
                         failed[a.label] = _failed(a, one)
         first += 100_000
     if not parts:
