@@ -9,16 +9,19 @@ from __future__ import annotations
 import logging
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
+from functools import cached_property
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Row
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..model import Asset, CheckSpec, specs_frame
 from ..operators import profile as P
 from ..operators.checks import check_types, generate
 from ..operators.evaluate import (
-    Store, check_results, count_checks, drop_weak_candidates, type_frame, union_all,
+    Store, check_results, count_checks_now, drop_weak_candidates, type_frame, union_all,
 )
 from ..operators.examples import choose_checks, examples, failing_values, findings
 from ..operators.health import health_items
@@ -26,7 +29,7 @@ from ..operators.histogram import ColumnMeta, build_histogram, column_meta, meta
 from ..operators.lifecycle import missing_reason, reconcile
 from ..operators.quantiles import quantiles
 from ..operators.score import scores
-from ..session import collect_small, local_frame, require_utc
+from ..session import collect_small, local_frame, require_utc, run_together
 from ..sources.sampling import row_counts, sample
 
 log = logging.getLogger(__name__)
@@ -74,12 +77,21 @@ class Scan:
     unevaluated: list[tuple[CheckSpec, str]]
     results: DataFrame
     evidence: DataFrame
-    findings: DataFrame
-    scores: DataFrame
-    health: DataFrame
     assets: DataFrame
     held: list[DataFrame] = field(default_factory=list)
 
+    @cached_property
+    def findings(self) -> DataFrame:
+        return findings(self.results, self.evidence)
+
+    @cached_property
+    def scores(self) -> DataFrame:
+        return scores(self.results, self.profile.select("asset", "column", "role"), self.assets)
+
+    @cached_property
+    def health(self) -> DataFrame:
+        return health_items(self.profile, self.assets)
+
     @property
     def profile(self) -> DataFrame:
         return self.profiled.profile
@@ -217,30 +229,24 @@ def _profile_tables(
     basic_rows = basic_lazy.collect()  # one row per column; fills the histogram's cache
     basic = local_frame(spark, basic_rows, basic_lazy.schema)
     large = P.large_columns(basic_rows)
-    quants = collect_small(quantiles(P.number_values(hist, meta), P.QUANTILES, large, held))
-    centres = quants.select("cid", F.col("q")[2].alias("p50")).join(basic.select("cid", "mean"), "cid")
-    spread = P.spread_measures(hist, meta, centres, large, held)
     top = top_values(hist, meta).persist()
     held.append(top)
-    profile_lazy = P.profile_frame(meta, basic, quants, spread, P.semantic_measures(top, meta))
+
+    def numbers() -> tuple[DataFrame, DataFrame]:
+        quants = collect_small(quantiles(P.number_values(hist, meta), P.QUANTILES, large, held))
+        centres = quants.select("cid", F.col("q")[2].alias("p50")).join(basic.select("cid", "mean"), "cid")
+        return quants, collect_small(P.spread_measures(hist, meta, centres, large, held))
+
+    def kinds() -> DataFrame:
+        return collect_small(P.semantic_measures(top, meta))
+
+    # The second pass over the numbers and the inference from frequent values do not need each other.
+    (quants, spread), semantic = run_together([numbers, kinds])  # type: ignore[misc]
+    profile_lazy = P.profile_frame(meta, basic, quants, spread, semantic)
     rows = profile_lazy.collect()
     profile = local_frame(spark, rows, profile_lazy.schema)
     patterns = P.patterns(top, meta)
-
-    eligible = [r.cid for r in rows if r.logical_type in ("text", "integer") and (r["distinct"] or 0) <= 20]
-    values: dict[int, list[tuple[str, int]]] = {}
-    for r in top.filter(F.col("cid").isin(eligible)).orderBy("cid", "rank").collect() if eligible else []:
-        values.setdefault(r.cid, []).append((r.value, r.n))
-    shapes: dict[int, list[tuple[str, int]]] = {}
-    untyped = [r.cid for r in rows if r.logical_type == "text" and r.non_null >= 50 and not r.semantic_type]
-    if untyped:
-        # A pattern is only kept where three shapes cover the column; others are not collected.
-        first3 = patterns.filter((F.col("rank") <= 3) & F.col("cid").isin(untyped))
-        covered = first3.groupBy("cid").agg(F.sum("n").alias("covered")).join(
-            F.broadcast(profile.select("cid", "non_null")), "cid"
-        ).filter("covered >= 0.99 * non_null")
-        for r in first3.join(covered.select("cid"), "cid").orderBy("cid", "rank").collect():
-            shapes.setdefault(r.cid, []).append((r.pattern, r.n))
+    values, shapes = run_together([lambda: _few_values(top, rows), lambda: _main_shapes(patterns, profile, rows)])
 
     out: dict[str, P.AssetProfile] = {}
     for a in assets:
@@ -255,6 +261,29 @@ def _profile_tables(
     return Profiled(store, out, profile, top, patterns, {k: p.population for k, p in out.items()}, held)
 
 
+def _few_values(top: DataFrame, rows: list[Row]) -> dict[int, list[tuple[str, int]]]:
+    """The values of columns with at most twenty of them."""
+    few = [r.cid for r in rows if r.logical_type in ("text", "integer") and (r["distinct"] or 0) <= 20]
+    out: dict[int, list[tuple[str, int]]] = {}
+    for r in top.filter(F.col("cid").isin(few)).orderBy("cid", "rank").collect() if few else []:
+        out.setdefault(r.cid, []).append((r.value, r.n))
+    return out
+
+
+def _main_shapes(patterns: DataFrame, profile: DataFrame, rows: list[Row]) -> dict[int, list[tuple[str, int]]]:
+    """Three shapes per column, for the columns they cover; others are not collected."""
+    untyped = [r.cid for r in rows if r.logical_type == "text" and r.non_null >= 50 and not r.semantic_type]
+    if not untyped:
+        return {}
+    first = patterns.filter((F.col("rank") <= 3) & F.col("cid").isin(untyped))
+    covered = F.sum("n").over(Window.partitionBy("cid"))  # three rows per column
+    kept = first.withColumn("covered", covered).join(F.broadcast(profile.select("cid", "non_null")), "cid")
+    out: dict[int, list[tuple[str, int]]] = {}
+    for r in kept.filter("covered >= 0.99 * non_null").orderBy("cid", "rank").collect():
+        out.setdefault(r.cid, []).append((r.pattern, r.n))
+    return out
+
+
 def named(profiled: Profiled, df: DataFrame) -> DataFrame:
     """A `cid`-keyed frame with table and column names."""
     return df.join(F.broadcast(profiled.profile.select("cid", "asset", "column")), "cid").drop("cid")
@@ -315,8 +344,7 @@ def evaluate(profiled: Profiled, specs: list[CheckSpec], options: ScanOptions) -
     """Results of the given checks, persisted: one row per check."""
     held: list[DataFrame] = []
     spark = profiled.store.spark
-    # One row per check comes back and becomes a local table, so nothing above recounts.
-    counts = collect_small(count_checks(profiled.store, specs, profiled.populations, held))
+    counts = count_checks_now(profiled.store, specs, profiled.populations, held)
     results = check_results(counts, specs_frame(spark, specs), asset_frame(profiled, options), type_frame(spark))
     return drop_weak_candidates(results), held
 
@@ -333,7 +361,6 @@ def run_scan(
     profiled = profile_assets(spark, select_assets(assets, options.assets), options)
     everything, runnable, unable = plan_checks(profiled, saved)
     results, held = evaluate(profiled, runnable, options)
-    info = asset_frame(profiled, options)
     results = collect_small(results)
     evidence = evidence_for(profiled, runnable, results) if options.examples else None
     if evidence is None:
@@ -348,10 +375,7 @@ def run_scan(
         unevaluated=unable,
         results=results,
         evidence=evidence,
-        findings=findings(results, evidence),
-        scores=scores(results, profiled.profile.select("asset", "column", "role"), info),
-        health=health_items(profiled.profile, info),
-        assets=info,
+        assets=asset_frame(profiled, options),
         held=held,
     )
 

@@ -4,12 +4,18 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+R = TypeVar("R")
+
 # Runtime SQL settings; safe to set on a shared cluster session. A top-1,000 per column is pruned
 # before its shuffle only while the limit stays below the group-limit threshold.
 RECOMMENDED = {
@@ -59,6 +65,14 @@ def collect_small(df: DataFrame) -> DataFrame:
     return local_frame(df.sparkSession, df.collect(), df.schema)
 
 
+def run_together(tasks: list[Callable[[], R]]) -> list[R]:
+    """Run independent Spark actions at once, so that small jobs share the cluster; results in order."""
+    if len(tasks) < 2:
+        return [t() for t in tasks]
+    with ThreadPoolExecutor(max_workers=len(tasks)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(t)) for t in tasks]]
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write `df` to the checkpoint folder and continue from there.
 
