@@ -37,7 +37,9 @@ def strip(c: Column) -> Column:
 
 
 def is_blank(c: Column) -> Column:
-    return full_match(c, r"\s*") | F.lower(F.trim(c)).isin(*BLANK_TOKENS)
+    trimmed = F.trim(c)
+    token = (F.char_length(trimmed) <= max(map(len, BLANK_TOKENS))) & F.lower(trimmed).isin(*BLANK_TOKENS)
+    return full_match(c, r"\s*") | token
 
 
 def has_outer_spaces(c: Column) -> Column:

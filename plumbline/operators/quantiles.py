@@ -1,7 +1,7 @@
 """Exact weighted quantiles of many columns, without gathering a column in one task.
 
-Input is one row per distinct value: `(cid, x, n)`. Columns with few distinct values use Spark's own
-`percentile` with frequencies. Larger ones are range-sorted across the cluster: each partition sums its
+Input is values with their counts: `(cid, x, n)`; a value may come in several rows. Columns with few values use
+Spark's own `percentile` with frequencies. Larger ones are range-sorted across the cluster: each partition sums its
 counts, the sums become offsets, and only the partitions that hold a wanted rank are ranked inside.
 """
 
@@ -23,9 +23,7 @@ def quantiles(
     `large` names the columns whose distinct count is above `SMALL_COLUMN`. Sorted values
     are persisted; they are appended to `held` for the caller to release."""
     small_values = values.filter(~F.col("cid").isin(large)) if large else values
-    small = small_values.groupBy("cid").agg(
-        F.percentile("x", [float(p) for p in probs], F.col("n")).alias("q")
-    )
+    small = small_values.groupBy("cid").agg(F.percentile("x", [float(p) for p in probs], F.col("n")).alias("q"))
     if not large:
         return small
     return small.unionByName(_sorted_quantiles(values.filter(F.col("cid").isin(large)), probs, held))
@@ -64,7 +62,8 @@ def _sorted_quantiles(values: DataFrame, probs: tuple[float, ...], held: list[Da
         "cid", "part", "start", "stop", "slot", "h",
         F.explode(F.array_distinct(F.array(F.floor("h"), F.ceil("h")))).alias("r"),
     ).filter((F.col("r") >= F.col("start")) & (F.col("r") < F.col("stop")))
-    running = Window.partitionBy("cid", "part").orderBy("x")
+    # Rows, not range: equal values in several rows each take their own ranks.
+    running = Window.partitionBy("cid", "part").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     needed = ends.select("cid", "part", "start").distinct()
     counted = (
         tagged.join(needed, ["cid", "part"])

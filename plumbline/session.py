@@ -69,8 +69,9 @@ def run_together(tasks: list[Callable[[], R]]) -> list[R]:
     """Run independent Spark actions at once, so that small jobs share the cluster; results in order."""
     if len(tasks) < 2:
         return [t() for t in tasks]
+    inherit = inheritable_thread_target(SparkSession.active())
     with ThreadPoolExecutor(max_workers=len(tasks)) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(t)) for t in tasks]]
+        return [f.result() for f in [pool.submit(inherit(t)) for t in tasks]]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

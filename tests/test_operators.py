@@ -24,12 +24,13 @@ def skewed():
 
 def test_sorted_quantiles_equal_brute_force(spark, skewed):
     rows = [(c, float(x), n) for c, xs in ((0, skewed), (1, [5.0]), (2, [1.0, 2.0])) for x, n in Counter(xs).items()]
+    rows += [(3, float(x), n) for x, n in ((1, 2), (1, 3), (1, 1), (2, 4), (2, 1))]  # values in several rows
     df = spark.createDataFrame(rows, "cid int, x double, n bigint").repartition(5)
     probs = (0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0)
     held = []
-    got = {r.cid: r.q for r in Q.quantiles(df, probs, [0, 1, 2], held).collect()}
+    got = {r.cid: r.q for r in Q.quantiles(df, probs, [0, 1, 2, 3], held).collect()}
     small = {r.cid: r.q for r in Q.quantiles(df, probs, []).collect()}
-    for cid, xs in ((0, skewed), (1, [5.0]), (2, [1.0, 2.0])):
+    for cid, xs in ((0, skewed), (1, [5.0]), (2, [1.0, 2.0]), (3, [1.0] * 6 + [2.0] * 5)):
         want = np.quantile(np.array(xs), probs)
         assert np.allclose(got[cid], want) and np.allclose(small[cid], want)
     assert held
