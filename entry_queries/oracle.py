@@ -5,7 +5,7 @@ from __future__ import annotations
 from plumbline.functions.codes import EU_VAT_FORMAT
 
 from . import queries as Q
-from .views import TABLES, sql_with
+from .views import KEYS, REFERENCES, TABLES, sql_with
 
 TS_NOW = "TIMESTAMP '2026-01-01 00:00:00'"
 NUMERIC_LIKE = r"\s*[-+]?([0-9]+([.,][0-9]+)?|[.,][0-9]+)([eE][-+]?[0-9]+)?\s*"
@@ -260,17 +260,20 @@ def scan_checks() -> list[tuple[str, str, str, str, str, float, str]]:
 TABLE_LEVEL = ("row_count", "column_order", "duplicate_rows")
 
 
-def scan_sql(body: str) -> str:
+def scan_sql(body: str, clean: bool = False) -> str:
     """`body` over `results(check_id, type, asset, col, dimension, severity, tolerance, n, k, p, passed)`."""
     parts = [
         f"SELECT '{check}:{t}:{c}' AS check_id, '{check}' AS type, '{t}' AS asset, {'NULL' if check in TABLE_LEVEL else repr(c)} AS col, '{dim}' AS dimension, "
         f"'{sev}' AS severity, {tol} AS tolerance, n, k FROM ({sql})" for check, t, c, dim, sev, tol, sql in scan_checks()
     ]
     checked = f"counted AS ({' UNION ALL '.join(parts)})"
+    tables = FAULTY
+    if clean:
+        tables, checked = ("clean_customers", "clean_orders"), checked.replace("dirty_", "clean_")
     results = ("results AS (SELECT *, CASE WHEN n = 0 THEN 1.0 ELSE CAST(n - k AS DOUBLE) / n END AS p, "
                "k = 0 OR CAST(n - k AS DOUBLE) / n >= 1 - tolerance - 1e-12 AS passed, "
                "CASE severity WHEN 'critical' THEN 1.0 WHEN 'high' THEN 0.6 WHEN 'medium' THEN 0.3 ELSE 0.1 END AS w FROM counted)")
-    return sql_with(FAULTY, "").rstrip() + f", {checked}, {results} {body}"
+    return sql_with(tables, "").rstrip() + f", {checked}, {results} {body}"
 
 
 RANK = "CASE severity WHEN 'critical' THEN 1 WHEN 'high' THEN 2 WHEN 'medium' THEN 3 ELSE 4 END"
@@ -364,6 +367,43 @@ def accuracy_sql() -> str:
     return scan_sql(body)
 
 
+NUMERIC_TYPES = "('TINYINT', 'SMALLINT', 'INTEGER', 'BIGINT', 'FLOAT', 'DOUBLE')"
+
+
+def roles_sql() -> str:
+    """Roles by declaration, then type, name and distinct share."""
+    cases = [(t, t, KEYS.get(t, ("id",)), tuple(fk.column for fk in REFERENCES.get(t, ()))) for t in COLUMNS]
+    cases += [(f"plain.{t}", t, (), ()) for t in ("events", "pages", "documents", "conversations")]
+    parts = []
+    for label, t, keys, refs in cases:
+        for c in COLUMNS[t]:
+            kind = f"typeof(any_value({c}))"
+            nearly = f"count(DISTINCT {c}) >= 0.99 * count({c})"
+            by_name = ""
+            if c.endswith("_id"):
+                own = c[:-3] in (t, t.removesuffix("s"))
+                by_name = f"WHEN {'true' if own else 'false'} AND {nearly} THEN 'key' WHEN true THEN 'foreign_key' "
+            parts.append(
+                f"SELECT '{label}' AS asset, '{c}' AS \"column\", CASE WHEN {str(c in keys).lower()} THEN 'key' WHEN {str(c in refs).lower()} THEN 'foreign_key' "
+                f"WHEN {kind} IN ('DATE', 'TIMESTAMP') THEN 'timestamp' {by_name}WHEN {kind} IN {NUMERIC_TYPES} THEN 'measure' "
+                f"WHEN {kind} = 'VARCHAR' AND avg(length(CAST({c} AS VARCHAR))) > 50 THEN 'description' ELSE 'attribute' END AS role FROM {t}")
+    return sql_with(FAULTY, " UNION ALL ".join(parts))
+
+
+COLUMNS = {
+    "region": ("r_regionkey", "r_name"), "nation": ("n_nationkey", "n_name", "n_regionkey"),
+    "customer": ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"), "supplier": ("s_suppkey", "s_name", "s_nationkey", "s_acctbal"),
+    "part": ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"),
+    "orders": ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"),
+    "lineitem": ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"),
+    "events": ("event_id", "ts", "user_id", "event_type", "value", "props"), "documents": ("doc_id", "text", "lang", "source", "n_chars"),
+    "embeddings": ("vec_id", "embedding", "label"), "pages": ("page_id", "url", "html"), "benchmark": ("item_id", "text"),
+    "labels": ("doc_id", "quality", "toxic"), "conversations": ("conv_id", "turn", "role", "text"),
+    "dirty_customers": ("id", "name", "email", "iban", "city", "country", "vat_id", "total"),
+    "dirty_orders": ("id", "customer_id", "amount", "status", "ordered_at", "shipped_at"),
+}
+
+
 def locked_sql() -> str:
     lo, hi = "(SELECT min({c}) FROM clean_orders)", "(SELECT max({c}) FROM clean_orders)"
     rows = [("accepted_values:customers:city", "dirty_customers", "city", "city NOT IN (SELECT city FROM clean_customers)"),
@@ -431,6 +471,9 @@ def oracle() -> dict[str, str]:
         "score_columns": score_sql("cols", "asset, col"),
         "score_tables": score_sql("tabs", "asset"),
         "score_store": score_sql("stor", ""),
+        "infer_roles": roles_sql(),
         "accuracy_measures": accuracy_sql(),
+        "clean_scan_alarms": scan_sql("SELECT type, CAST(sum(n) AS BIGINT) AS clean_evaluated, CAST(sum(k) AS BIGINT) AS clean_failed_rows, "
+                                      "count(CASE WHEN k > 0 AND NOT passed THEN 1 END) AS clean_findings FROM results GROUP BY 1", clean=True),
         "locked_baseline_alarms": locked_sql(),
     }

@@ -392,8 +392,8 @@ def check_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     df = table(spark, sf_dir, "orders")
     groups = df.groupBy(F.col("o_custkey").alias("grp")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_totalprice") > 400000).alias("k"))
-    total = df.agg(F.count(F.lit(1)).alias("population"))
-    rows = groups.join(F.broadcast(total))
+    population = row_counts([Asset("orders", df)])["orders"]
+    rows = groups.withColumn("population", F.lit(population))
     p, low, high = interval(F.col("n"), F.col("k"), F.col("population"))
     return rows.select("grp", "n", "k", F.round(p, 9).alias("ratio"), F.round(low, 9).alias("low"), F.round(high, 9).alias("high"),
                        F.round(variance_of(low, high), 9).alias("variance"))

@@ -18,7 +18,7 @@ from plumbline.model import Asset
 from plumbline.operators import examples, history, lifecycle
 from plumbline.operators import findings as fd
 from plumbline.plans import scan as plan
-from plumbline.session import cut_lineage, local_frame, tune
+from plumbline.session import cut_lineage, instant, local_frame, tune
 
 from .views import NOW, table
 
@@ -34,7 +34,7 @@ def seen_at(p: int) -> datetime:
 
 def slice_of(spark: SparkSession, sf_dir: str, p: int) -> DataFrame:
     ts = F.col("ts")
-    lo, hi = (F.lit(START + timedelta(days=10 * x)).cast("timestamp_ntz") for x in (p, p + 1))
+    lo, hi = (instant(START + timedelta(days=10 * x)) for x in (p, p + 1))
     return table(spark, sf_dir, "events").filter((ts >= lo) & (ts < hi))
 
 
@@ -89,7 +89,7 @@ def people(state: DataFrame) -> DataFrame:
     version = F.when(F.col("g") == 5, F.col("version") + 1).otherwise(F.col("version"))
     return state.withColumn("g", g).select(
         "finding_id", action.alias("action"), version.alias("version"), F.lit("ana").alias("actor"),
-        F.lit(datetime(2024, 1, 12)).cast("timestamp_ntz").alias("at"), until.alias("until"), F.lit("  ").alias("note"),
+        instant(datetime(2024, 1, 12)).alias("at"), until.alias("until"), F.lit("  ").alias("note"),
     )
 
 
@@ -168,7 +168,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
         both = per.unionByName(whole)
         v, low, high = check_interval(F.col("n"), F.col("k"), F.col("n") * 2)
         parts.append(both.select(
-            F.lit(SCANS[p]).alias("scan_id"), F.lit(seen_at(p)).cast("timestamp_ntz").alias("measured_at"), "asset",
+            F.lit(SCANS[p]).alias("scan_id"), instant(seen_at(p)).alias("measured_at"), "asset",
             *[F.round(100 * x, 1).alias(name) for name, x in (("overall", v), ("low", low), ("high", high))], F.lit(1).cast("bigint").alias("checks"),
         ))
     return reduce(DataFrame.unionByName, parts)
@@ -306,7 +306,7 @@ def check_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     action = F.expr("CASE b % 6 WHEN 0 THEN 'approve' WHEN 1 THEN 'lock' WHEN 2 THEN 'unlock' WHEN 3 THEN 'restore' WHEN 4 THEN 'reject' ELSE 'retire' END")
     actions = state.withColumn("b", b).select(
         "check_id", action.alias("action"), F.when(F.col("b") % 10 == 3, 99).otherwise(F.col("version")).cast("bigint").alias("version"),
-        F.lit("ana").alias("actor"), F.lit(datetime(2024, 1, 21)).cast("timestamp_ntz").alias("at"))
+        F.lit("ana").alias("actor"), instant(datetime(2024, 1, 21)).alias("at"))
     fold = lifecycle.apply_check_actions(state, actions)
     return fold.state.select("check_id", "status", "version").join(fold.refused.select("check_id", "refusal"), "check_id", "left")
 

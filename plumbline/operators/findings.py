@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..model import SCORING_STATUSES
-from ..session import local_frame
+from ..session import instant, local_frame
 from .evaluate import severity_rank
 from .lifecycle import SCANNER, ActionFold, judge_actions
 
@@ -64,7 +64,7 @@ def fold_findings(
 
     `checks`: the stored checks after this scan, `(check_id, status)`. A check that no longer scores keeps
     its finding and gets an unlinked occurrence. A check without a result changes nothing."""
-    at = F.lit(seen_at).cast("timestamp_ntz")
+    at = instant(seen_at)
     scoring = checks.filter(F.col("status").isin(*SCORING_STATUSES)).select("check_id", F.lit(True).alias("linked"))
     failing = findings.join(scoring, "check_id", "left")
     passing = (
@@ -187,7 +187,7 @@ def list_findings(
     if after:
         rank, seen, last = after
         r, s, i = F.col("severity_rank"), F.col("last_seen_at"), F.col("finding_id")
-        seen_at = F.lit(seen).cast("timestamp_ntz")
+        seen_at = instant(seen)
         rows = rows.filter((r > rank) | ((r == rank) & ((s < seen_at) | ((s == seen_at) & (i > last)))))
     order = [F.col("severity_rank"), F.desc("last_seen_at"), F.col("finding_id")]
     page = rows.orderBy(*order).limit(limit)

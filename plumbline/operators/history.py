@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import escape_like
+from ..session import instant
 from .profile import QUANTILE_NAMES
 
 DEFAULT_POINTS = 30
@@ -26,7 +27,7 @@ def score_records(scores: DataFrame, scan_id: str, measured_at: datetime) -> Dat
     return rows.groupBy("level", "asset").agg(
         overall("value"), overall("low"), overall("high"), overall("checks"), dims.alias("dimensions")
     ).select(
-        F.lit(scan_id).alias("scan_id"), F.lit(measured_at).cast("timestamp_ntz").alias("measured_at"), "asset",
+        F.lit(scan_id).alias("scan_id"), instant(measured_at).alias("measured_at"), "asset",
         F.col("value").alias("overall"), "low", "high", "checks", "dimensions",
     )
 
@@ -34,13 +35,12 @@ def score_records(scores: DataFrame, scan_id: str, measured_at: datetime) -> Dat
 def _last_points(rows: DataFrame, scans: DataFrame, limit: int, until_scan: str | None) -> DataFrame:
     limit = max(1, min(limit, MAX_POINTS))
     if until_scan is not None:
-        end = rows.filter(F.col("scan_id") == until_scan).select(
-            F.col("measured_at").alias("_at"), F.col("scan_id").alias("_id")
-        ).limit(1)
-        at, sid = F.col("measured_at"), F.col("scan_id")
-        rows = rows.join(
-            F.broadcast(end), (at < F.col("_at")) | ((at == F.col("_at")) & (sid <= F.col("_id")))
-        ).drop("_at", "_id")
+        end = rows.filter(F.col("scan_id") == until_scan).select("measured_at").first()
+        if end is None:
+            rows = rows.limit(0)
+        else:
+            at, last = F.col("measured_at"), instant(end.measured_at)
+            rows = rows.filter((at < last) | ((at == last) & (F.col("scan_id") <= until_scan)))
     newest = rows.orderBy(F.desc("measured_at"), F.desc("scan_id")).limit(limit)
     return newest.join(F.broadcast(scans.select("scan_id", "trigger")), "scan_id").orderBy("measured_at", "scan_id")
 
@@ -89,7 +89,7 @@ def measures(profile: DataFrame, assets: DataFrame, scan_id: str, measured_at: d
     entries = F.array(*[F.struct(F.lit(k).alias("key"), _finite(v).cast("double").alias("value")) for k, v in values.items()])
     named = F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
     return profile.join(assets.select("asset", "population", "sampled"), "asset").select(
-        F.lit(scan_id).alias("scan_id"), F.lit(measured_at).cast("timestamp_ntz").alias("measured_at"), "asset", "column",
+        F.lit(scan_id).alias("scan_id"), instant(measured_at).alias("measured_at"), "asset", "column",
         "rows", "population", "sampled", named.alias("measures"),
     )
 
@@ -122,11 +122,11 @@ def change_log(
     if object_id:
         rows = rows.filter(F.col("object_id") == object_id)
     if since is not None:
-        rows = rows.filter(F.col("at") >= F.lit(since).cast("timestamp_ntz"))
+        rows = rows.filter(F.col("at") >= instant(since))
     if until is not None:
-        rows = rows.filter(F.col("at") < F.lit(until).cast("timestamp_ntz"))
+        rows = rows.filter(F.col("at") < instant(until))
     if after is not None:
-        at, last = F.lit(after[0]).cast("timestamp_ntz"), after[1]
+        at, last = instant(after[0]), after[1]
         rows = rows.filter((F.col("at") < at) | ((F.col("at") == at) & (F.col("event_id") < last)))
     return rows.orderBy(F.desc("at"), F.desc("event_id")).limit(limit)
 

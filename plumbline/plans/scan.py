@@ -29,7 +29,7 @@ from ..operators.histogram import ColumnMeta, build_histogram, column_meta, meta
 from ..operators.lifecycle import missing_reason, reconcile
 from ..operators.quantiles import quantiles
 from ..operators.score import scores
-from ..session import collect_small, local_frame, require_utc, run_together
+from ..session import collect_small, instant, local_frame, require_utc, run_together
 from ..sources.sampling import row_counts, sample
 
 log = logging.getLogger(__name__)
@@ -118,7 +118,7 @@ class Scan:
             "check_results": self.results, "unevaluated": gone, "findings": self.findings, "scores": self.scores,
             "health": self.health,
         }
-        at = F.lit(self.started_at.replace(tzinfo=None)).cast("timestamp_ntz")
+        at = instant(self.started_at.replace(tzinfo=None))
         return {k: v.withColumn("scan_id", F.lit(self.scan_id)).withColumn("scanned_at", at) for k, v in out.items()}
 
     def release(self) -> None:
@@ -400,4 +400,5 @@ def scan_statistics(scan: Scan) -> DataFrame:
     r = scan.results.agg(
         F.count_if("scores").alias("checks_active"), F.count_if(~F.col("scores")).alias("checks_proposed")
     )
-    return a.join(r)
+    one = F.lit(1).alias("_one")
+    return a.select("*", one).join(r.select("*", one), "_one").drop("_one")

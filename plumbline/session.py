@@ -6,11 +6,13 @@ import os
 import tempfile
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from datetime import datetime
 from typing import TypeVar
 
 import pyarrow as pa
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -65,6 +67,11 @@ def collect_small(df: DataFrame) -> DataFrame:
     return local_frame(df.sparkSession, df.collect(), df.schema)
 
 
+def instant(t: datetime) -> Column:
+    """A zone-less timestamp literal. It is sent as text, so no time zone of Python or Java shifts it."""
+    return F.lit(t.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")
+
+
 def run_together(tasks: list[Callable[[], R]]) -> list[R]:
     """Run independent Spark actions at once, so that small jobs share the cluster; results in order."""
     if len(tasks) < 2:
