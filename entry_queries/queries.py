@@ -183,6 +183,7 @@ def mask_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def time_series_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     profiled = plan.profile_assets(tune(spark), [asset(spark, sf_dir, t) for t in ("orders", "lineitem", "events", "customer", "part")], FULL)
+    profiled.release()
     return plan.asset_frame(profiled, FULL).select("asset", "population", "columns", "time_series_candidate")
 
 
@@ -317,7 +318,13 @@ def faulty_scan(spark: SparkSession, sf_dir: str, evidence: bool = False) -> pla
     """Everything generated from the profiles of the two faulty tables."""
     assets = [asset(spark, sf_dir, t) for t in ("dirty_customers", "dirty_orders")]
     options = plan.ScanOptions(sample_rows=0, now=NOW, examples=evidence)
-    return plan.run_scan(tune(spark), assets, options)
+    return finished(plan.run_scan(tune(spark), assets, options))
+
+
+def finished(scan: plan.Scan) -> plan.Scan:
+    """The result frames are local by now; what the scan cached can go."""
+    scan.release()
+    return scan
 
 
 def check_results_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -330,6 +337,7 @@ def generated_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every check generated for all given tables, as specs."""
     profiled = plan.profile_assets(tune(spark), all_assets(spark, sf_dir), FULL)
     _, runnable, _ = plan.plan_checks(profiled)
+    profiled.release()
     return specs_frame(spark, runnable)
 
 
@@ -371,6 +379,7 @@ def health_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     assets = [asset(spark, sf_dir, t) for t in ("clean_customers", "dirty_customers", "no_returns", "contacts")]
     options = plan.ScanOptions(sample_rows=0, now=NOW, declares_keys=True)
     p = plan.profile_assets(tune(spark), assets, options)
+    p.release()
     return health_items(p.profile, plan.asset_frame(p, options)).select("type", "asset", "column")
 
 
@@ -411,13 +420,13 @@ def scores_at(level: str) -> Query:
 def sampled_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A scan of a sample of lineitem drawn by key hash: shares with their intervals."""
     options = plan.ScanOptions(sample_rows=max(1, row_counts([asset(spark, sf_dir, "lineitem")])["lineitem"] // 10), by_key=True, now=NOW, examples=False)
-    s = plan.run_scan(tune(spark), [asset(spark, sf_dir, t) for t in ("lineitem", "orders")], options)
+    s = finished(plan.run_scan(tune(spark), [asset(spark, sf_dir, t) for t in ("lineitem", "orders")], options))
     return s.results.select("check_id", "evaluated", "failed", "population", "ratio", "low", "high", "passed")
 
 
 def store_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All given tables, read in full: scores of the store and of every table."""
-    s = plan.run_scan(tune(spark), all_assets(spark, sf_dir), plan.ScanOptions(sample_rows=0, now=NOW, examples=False))
+    s = finished(plan.run_scan(tune(spark), all_assets(spark, sf_dir), plan.ScanOptions(sample_rows=0, now=NOW, examples=False)))
     return s.scores.filter("level <> 'column'").select("level", "asset", "dimension", "value", "low", "high", "checks")
 
 
@@ -456,7 +465,8 @@ def accuracy_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clean_scan_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules on the clean twins: nothing may fail."""
-    s = plan.run_scan(tune(spark), [asset(spark, sf_dir, t) for t in ("clean_customers", "clean_orders")], plan.ScanOptions(sample_rows=0, now=NOW, examples=False))
+    assets = [asset(spark, sf_dir, t) for t in ("clean_customers", "clean_orders")]
+    s = finished(plan.run_scan(tune(spark), assets, plan.ScanOptions(sample_rows=0, now=NOW, examples=False)))
     return accuracy.clean_alarms(s.results)
 
 
@@ -469,8 +479,9 @@ def locked_baseline_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     first = plan.profile_assets(tune(spark), [named("clean_customers", "customers"), named("clean_orders", "orders")], options)
     _, specs, _ = plan.plan_checks(first)
+    first.release()
     locked = accuracy.locked_baselines(specs)
-    second = plan.run_scan(spark, [named("dirty_customers", "customers"), named("dirty_orders", "orders")], options, saved=locked)
+    second = finished(plan.run_scan(spark, [named("dirty_customers", "customers"), named("dirty_orders", "orders")], options, saved=locked))
     return second.results.filter("kind = 'baseline' AND status = 'locked' AND column IN ('city', 'amount', 'ordered_at', 'status')").select(
         "check_id", "evaluated", "failed", "passed")
 

@@ -196,6 +196,7 @@ def measure_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     for p in range(3):
         a = Asset("events", slice_of(spark, sf_dir, p).select("value", "event_type", "ts"))
         profiled = plan.profile_assets(tune(spark), [a], options)
+        profiled.release()  # the profile is local by now
         parts.append(history.measures(profiled.profile, plan.asset_frame(profiled, options), SCANS[p], seen_at(p)))
     return reduce(DataFrame.unionByName, parts)
 

@@ -212,13 +212,15 @@ def _references(store: Store, specs: list[CheckSpec]) -> tuple[DataFrame, DataFr
         .filter(v.present)
         .select("check_id", v.text.alias("value"), "n", *_keys(F.col("fk"), s_, i_, d_))
     )
+    # Keys read from a table are made distinct first, so that a repeated one is one row in the join.
+    parents = [union_all(parents).distinct()] if parents else []
     if inner_rows:
         # A parent read in full is in the histogram already, as its distinct values.
         inner = local_frame(store.spark, inner_rows, "cid int, fk int, as_text boolean").join(slots, "cid")
         parents.append(
             store.hist.join(F.broadcast(inner), "cid").filter(v.present).select(*_keys(F.col("fk"), s_, i_, d_))
         )
-    return children, union_all(parents).distinct()
+    return children, union_all(parents)
 
 
 def reference_counts(store: Store, specs: list[CheckSpec]) -> DataFrame:

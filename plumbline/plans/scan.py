@@ -122,7 +122,7 @@ class Scan:
         return {k: v.withColumn("scan_id", F.lit(self.scan_id)).withColumn("scanned_at", at) for k, v in out.items()}
 
     def release(self) -> None:
-        """Free what the scan kept cached. Result tables can be recomputed afterwards, from scratch."""
+        """Free what the scan kept cached. Profile, results, findings, scores and health stay, as they are local."""
         for df in self.held:
             df.unpersist()
         self.profiled.release()
