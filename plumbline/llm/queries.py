@@ -8,12 +8,30 @@ from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm.common import documents
 from plumbline.llm.jaccard import jaccard_join
+from plumbline.llm.ranking import rank_quality
+from plumbline.llm.repetition import repetition_rules
+from plumbline.llm.toxicity import toxicity
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(documents(spark, sf_dir))
 
 
+def op4_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition_rules(documents(spark, sf_dir))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op8_rank_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
+    "op4_repetition_rules": op4_repetition_rules,
+    "op7_toxicity": op7_toxicity,
+    "op8_rank_quality": op8_rank_quality,
 }
