@@ -9,10 +9,12 @@ first shingles of both in any common order. Inside a root region texts are alike
 2. Each set's prefix meets others by shingle: pairs with a count of shared shingles, where a bound on that count drops most
    pairs without reading their sets. A shingle with more than BUCKET sets gives a star to its least set instead of pairs.
 3. Connected components of what is left are the root regions; each set is sent to its own region once.
-4. A region of more than LEAF sets is cut by pivots: a set's home is its nearest pivot, and it is replicated to every
-   pivot at most twice the threshold farther (a window). Sets within the threshold of a pivot link to it; sets all linked to
-   one pivot are connected and need no more pairs, so only those that are not, and what the window leaves near them, go on.
-   Regions are cut again until they are leaves; one that pivots no longer cut is compared block by block.
+4. A region of more than LEAF sets is cut by pivots. Sets within the threshold of a pivot link to it, and most sets are
+   then connected (settled); only pairs with an open set are left. Few open sets meet the rest of their region block by
+   block. Many are cut into Voronoi regions: an open set's home is its nearest pivot, and any set is replicated to that
+   region if it is at most twice the threshold farther from the pivot than from its own and within the threshold of the ring
+   of open sets around the pivot (a window). Regions are cut again until they are leaves; one that LEVELS cuts leave large is
+   compared block by block.
 5. Leaves compare all their sets by a matrix product over shingles; links give components.
 """
 
@@ -35,7 +37,7 @@ PERCENT = 75
 FREQUENT = 1 << 20
 LOOKED_AT = 0.4
 BUCKET = 24
-LEAF = 192
+LEAF = 256
 PIVOTS = 12
 LEVELS = 6
 
@@ -222,8 +224,7 @@ def _regions_joined(docs: DataFrame, regions: DataFrame, size: int, percent: int
     now = stored(here.mapInArrow(read, "region long, node long, own array<long>"))
     links = None
     for level in range(levels + 1):
-        sizes = now.groupBy("region").agg(F.count("*").alias("m"))
-        large = cut_lineage(sizes.where(F.col("m") > leaf))
+        large = cut_lineage(now.groupBy("region").agg(F.count("*").alias("m")).where(F.col("m") > leaf))
         n_large = large.count()
         leaves = join_small(now, large, ["region"], "left_anti", n_large) if n_large else now
         found = leaves.groupBy("region").applyInArrow(_leaf(percent), "a long, b long")
@@ -233,59 +234,85 @@ def _regions_joined(docs: DataFrame, regions: DataFrame, size: int, percent: int
         rest = join_small(now, large, ["region"], "inner", n_large)
         if level == levels:
             return links.unionByName(_blocks(rest, leaf, percent))
-        now, near = _cut(rest, percent, pivots, level)
+        now, near = _cut(rest, percent, pivots, leaf, level)
         links = links.unionByName(near)
     return links
 
 
-def _cut(rest: DataFrame, percent: int, pivots: int, level: int) -> tuple[DataFrame, DataFrame]:
-    """One level of Voronoi regions: the regions to go on with, and links of sets to pivots."""
+def _cut(rest: DataFrame, percent: int, pivots: int, leaf: int, level: int) -> tuple[DataFrame, DataFrame]:
+    """One level of Voronoi regions: the regions to go on with, and the links found on the way."""
+    radius = 1 - percent / 100
     order = F.xxhash64("node", F.lit(level))
-    # About `pivots` sets a region by hash, and always the one with the least hash.
+    # About `pivots` sets a region by hash, never more, and always the one with the least hash.
     drawn = rest.where(F.pmod(order, F.col("m")) < pivots)
     least = rest.groupBy("region").agg(F.min_by("node", order).alias("node"))
     drawn = drawn.select("region", "node", "own").unionByName(rest.join(least, ["region", "node"], "left_semi").select("region", "node", "own"))
-    chosen = drawn.dropDuplicates(["region", "node"]).groupBy("region").agg(F.collect_list(F.struct("node", "own")).alias("pivots"))
-    split = stored(rest.join(chosen, "region").mapInArrow(_nearest(percent), "region long, node long, own array<long>, d double, linked boolean, pivot long"))
-    links = split.where("linked and node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-    # Sets linked to the pivot are connected already: they stay only in the window of one that is not.
-    open_ = split.where("not linked").groupBy("region").agg(F.min("d").alias("least"))
-    left = split.join(open_, "region").where(F.expr(f"not linked or d >= least - {1 - percent / 100} - 1e-9"))
-    return stored(left.select("region", "node", "own")), links
-
-
-def _nearest(percent: int):
-    """Distances to the pivots of a region; a row for the home and each window that holds the set."""
-    radius = 1 - percent / 100
+    chosen = drawn.dropDuplicates(["region", "node"]).groupBy("region").agg(F.slice(F.array_sort(F.collect_list(F.struct("node", "own"))), 1, pivots).alias("pivots"))
+    schema = "region long, m long, node long, own array<long>, d array<double>, mask long, near array<long>"
+    split = stored(rest.join(chosen, "region").mapInArrow(_distances(percent), schema))
+    links = split.select(F.col("node").alias("a"), F.explode("near").alias("b")).where("a <> b")
+    # Sets that pivots connect with most others are settled; pairs count only where one set is not. A region has at most
+    # 2 ** pivots masks.
+    masks = split.groupBy("region", "mask").agg(F.count("*").alias("c"))
+    settled = masks.groupBy("region").applyInArrow(_most_connected, "region long, most long")
+    split = split.join(settled, "region").withColumn("open", F.expr("(mask & most) = 0"))
+    opened = cut_lineage(split.where("open").groupBy("region").agg(F.count("*").alias("o")))
+    split = split.join(opened, "region")
+    few = split.where(F.col("o") <= leaf).withColumn("k", F.ceil(F.col("m") / leaf).cast("long"))
+    few = few.withColumn("blocks", F.when(F.col("open"), F.sequence(F.lit(0), F.col("k") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("k")))))
+    few = few.select("region", "node", "own", F.explode("blocks").alias("block"), F.col("open").cast("int").alias("side"))
+    links = links.unionByName(few.groupBy("region", "block").applyInArrow(_cell(percent), "a long, b long"))
+    many = split.where(F.col("o") > leaf).withColumn("home", F.array_min("d"))
+    many = many.select("region", "node", "own", "open", "home", F.posexplode("d").alias("i", "far"))
+    rings = many.where("open and far = home").groupBy("region", "i").agg(F.min("far").alias("low"), F.max("far").alias("high"))
+    held = many.join(rings, ["region", "i"]).where(F.expr(f"far <= home + {2 * radius} + 1e-9 and far between low - {radius} - 1e-9 and high + {radius} + 1e-9"))
+    return stored(held.select(F.xxhash64("region", "i").alias("region"), "node", "own")), links
+
+
+def _distances(percent: int):
+    """Distances of every set to the pivots of its region, and which pivots it links to: as bits and as nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
-            centres: dict[int, list] = {}
-            for region, node, own, given in zip(batch.column("region").to_pylist(), batch.column("node").to_pylist(), batch.column("own"), batch.column("pivots"), strict=True):
-                if region not in centres:
-                    centres = {region: sorted((p["node"].as_py(), p["own"].values.to_numpy()) for p in given)}
+            far, masks, near = [], [], []
+            held, centres = None, []
+            for region, own, given in zip(batch.column("region").to_pylist(), batch.column("own"), batch.column("pivots"), strict=True):
+                if region != held:
+                    held, centres = region, [(p["node"].as_py(), p["own"].values.to_numpy()) for p in given]
                 mine = own.values.to_numpy()
-                far, both = [], []
-                for _, other in centres[region]:
+                d, mask, links = [], 0, []
+                for bit, (pivot, other) in enumerate(centres):
                     shared = len(np.intersect1d(mine, other, assume_unique=True))
                     union = len(mine) + len(other) - shared
-                    far.append(1 - shared / union)
-                    both.append(100 * shared >= percent * union)
-                home = min(far)
-                for (pivot, _), d, linked in zip(centres[region], far, both, strict=True):
-                    if d <= home + 2 * radius + 1e-9:
-                        name = int(mix(np.array([region, pivot], dtype=np.int64).view(np.uint64))[0]) ^ (pivot & (1 << 64) - 1)
-                        for column, value in zip(out, (name - (1 << 64) if name >> 63 else name, node, mine, d, linked, pivot), strict=True):
-                            column.append(value)
+                    d.append(1 - shared / union)
+                    if 100 * shared >= percent * union:
+                        mask |= 1 << bit
+                        links.append(pivot)
+                far.append(np.array(d))
+                masks.append(mask)
+                near.append(np.array(links, dtype=np.int64))
             yield pa.record_batch(
-                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), list_array(out[2], pa.int64()), pa.array(out[3], pa.float64()), pa.array(out[4], pa.bool_()), pa.array(out[5], pa.int64())],
-                names=["region", "node", "own", "d", "linked", "pivot"],
+                [*(batch.column(c) for c in ("region", "m", "node", "own")), list_array(far, pa.float64()), pa.array(masks, pa.int64()), list_array(near, pa.int64())],
+                names=["region", "m", "node", "own", "d", "mask", "near"],
             )
 
     return run
 
 
+def _most_connected(table: pa.Table) -> pa.Table:
+    """Bits of the pivots in the component, by sets that link to several pivots, that has most sets."""
+    parts: list[list[int]] = []
+    for mask, count in zip(table.column("mask").to_pylist(), table.column("c").to_pylist(), strict=True):
+        if mask:
+            joined = [p for p in parts if p[0] & mask]
+            parts = [p for p in parts if not p[0] & mask]
+            for p in joined:
+                mask, count = mask | p[0], count + p[1]
+            parts.append([mask, count])
+    best = max(parts, key=lambda p: (p[1], p[0]))[0] if parts else 0
+    return pa.table({"region": pa.array([table.column("region")[0].as_py()], pa.int64()), "most": pa.array([best], pa.int64())})
+
+
 def linked_pairs(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
     """Which of left x right link, by a matrix product over the shingles that both sides have."""
     values = [np.unique(np.concatenate(side)) if side else np.zeros(0, np.int64) for side in (left, right)]
@@ -344,14 +371,19 @@ def _blocks(rest: DataFrame, leaf: int, percent: int) -> DataFrame:
         "region", "node", "own", "block", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other")
     ).select("region", "node", "own", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("block").alias("side"))
 
+    cells = cells.select("region", "node", "own", "i", "j", F.expr("int(side = i)").alias("side"))
+    return cells.groupBy("region", "i", "j").applyInArrow(_cell(percent), "a long, b long")
+
+
+def _cell(percent: int):
+    """Links between the sets of side 1 and the others; all sets, where every set is on side 1."""
+
     def run(table: pa.Table) -> pa.Table:
         node, side, own = table.column("node").to_numpy(), table.column("side").to_numpy(), table.column("own").combine_chunks()
-        i = int(table.column("i")[0].as_py())
-        rows = [np.flatnonzero(side == i), np.flatnonzero(side != i)]
+        rows = [np.flatnonzero(side == 1), np.flatnonzero(side != 1)]
         sets = [[np.sort(own[int(r)].values.to_numpy()) for r in part] for part in rows]
-        if len(rows[1]) == 0:
-            rows[1], sets[1] = rows[0], sets[0]
-        x, y = np.nonzero(linked_pairs(sets[0], sets[1], percent))
-        return _spanning(node, rows[0][x], rows[1][y])
+        found = [(rows[0][x], rows[i][y]) for i in (0, 1) if len(rows[0]) and len(rows[i]) for x, y in [np.nonzero(linked_pairs(sets[0], sets[i], percent))]]
+        a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+        return _spanning(node, a, b)
 
-    return cells.groupBy("region", "i", "j").applyInArrow(run, "a long, b long")
+    return run
