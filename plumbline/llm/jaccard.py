@@ -37,7 +37,7 @@ PERCENT = 75
 FREQUENT = 1 << 20
 LOOKED_AT = 0.4
 BUCKET = 24
-LEAF = 256
+LEAF = 1024
 PIVOTS = 12
 LEVELS = 6
 
@@ -315,8 +315,9 @@ def _most_connected(table: pa.Table) -> pa.Table:
 
 def linked_pairs(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
     """Which of left x right link, by a matrix product over the shingles that both sides have."""
-    values = [np.unique(np.concatenate(side)) if side else np.zeros(0, np.int64) for side in (left, right)]
-    shared = np.intersect1d(*values, assume_unique=True)
+    values, counts = np.unique(np.concatenate(left + right), return_counts=True) if left and right else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    # What one set alone has is in no intersection; a side compared with itself has everything twice.
+    shared = values[counts > (2 if left is right else 1)]
     total = np.zeros((len(left), len(right)), dtype=np.float64)
     for at in range(0, len(shared), 4096):
         part = shared[at : at + 4096]
@@ -329,6 +330,8 @@ def linked_pairs(left: list[np.ndarray], right: list[np.ndarray], percent: int)
                 matrix[row, place[part[place] == own]] = 1
             sides.append(matrix)
         total += sides[0] @ sides[1].T
+    if left is right:
+        np.fill_diagonal(total, [len(x) for x in left])
     sizes = np.array([len(x) for x in left])[:, None] + np.array([len(x) for x in right])[None, :]
     return 100 * total >= percent * (sizes - total)
 
