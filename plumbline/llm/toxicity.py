@@ -12,13 +12,17 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import bucket, row_key
 from plumbline.llm.words import MULTIPLIER, Words, mix, slices, text_bytes
 
-BUCKETS = 1 << 16
-DIMENSIONS = 8
-GRAMS = (3, 4, 5)
-WINDOW = 8
-PER_CLASS = 600
+BUCKETS = 1 << 17
+DIMENSIONS = 4
+GRAMS = (3, 5, 6, 7, 8)
+WINDOW = 4
+PER_CLASS = 1_000
 SAMPLE_CHARS = 12_000
-EPOCHS = 40
+EPOCHS = 25
+RATE = 0.1
+LEAST_PRIOR = 0.3
+DECAY = 1e-6
+ROUNDS = 2
 SCHEMA = "doc_id long, score double, predicted int"
 
 
@@ -118,42 +122,43 @@ class Model:
 def train(texts: pa.Array, labels: np.ndarray, prior: float, seed: int = 5, epochs: int = EPOCHS) -> Model:
     """Embeddings and softmax by full-batch Adam over windows; then once more with, of a toxic text, its top window only.
 
-    `prior` is the share of toxic rows among all learning rows; it places the final probabilities."""
+    `prior` is the share of toxic rows among all learning rows; it places the final probabilities, taken as LEAST_PRIOR at
+    least, since a missed toxic text costs more than a doubtful one."""
     split = Letters()
     grams, first, which, firsts = distinct_words(split, *text_bytes(texts))
     at, count = window_starts(firsts)
     owner = np.repeat(np.arange(len(count)), count)
-    y = labels[owner].astype(np.float64)
-    size = np.diff(np.append(at, len(which)))
-    per_word = np.diff(np.append(first, len(grams)))
-    window = np.repeat(np.arange(len(at)), size)
+    y = labels[owner].astype(np.float32)
+    size = np.diff(np.append(at, len(which))).astype(np.float32)
+    per_word = np.diff(np.append(first, len(grams))).astype(np.float32)
+    window = np.repeat(np.arange(len(at)), size.astype(np.int64))
     draw = np.random.Generator(np.random.PCG64(seed))
-    table, soft, bias = draw.normal(0, 0.1, (BUCKETS, DIMENSIONS)), draw.normal(0, 0.5, DIMENSIONS), 0.0
+    table, soft, bias = draw.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32), draw.normal(0, 0.5, DIMENSIONS).astype(np.float32), 0.0
     use = np.ones(len(at))
     # Gradients of words and n-grams add up over sorted places.
     by_word, by_gram = np.argsort(which, kind="stable"), np.argsort(grams, kind="stable")
     word_edge = np.searchsorted(which[by_word], np.arange(len(first)))
     gram_ids, gram_edge = np.unique(grams[by_gram], return_index=True)
-    gram_word = np.repeat(np.arange(len(first)), per_word)[by_gram]
-    for _ in range(2):
+    gram_word = np.repeat(np.arange(len(first)), per_word.astype(np.int64))[by_gram]
+    for _ in range(ROUNDS):
         share = use / max(use.sum(), 1)
         # Both classes weigh the same.
-        share = np.where(y > 0, share / max(share[y > 0].sum(), 1e-12), share / max(share[y == 0].sum(), 1e-12)) / 2
-        state = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in (("t", table), ("s", soft), ("b", np.zeros(1)))}
+        share = np.where(y > 0, share / max(share[y > 0].sum(), 1e-12), share / max(share[y == 0].sum(), 1e-12)).astype(np.float32) / 2
+        state = {k: [0.0, 0.0] for k in "tsb"}
         for step in range(1, epochs + 1):
             word = np.add.reduceat(table[grams], first, axis=0) / per_word[:, None]
             mean = np.add.reduceat(word[which], at, axis=0) / size[:, None]
             p = 1 / (1 + np.exp(-np.clip(mean @ soft + bias, -30, 30)))
             error = (p - y) * share
-            d_soft, d_bias = mean.T @ error + 1e-5 * soft, np.array([error.sum()])
+            d_soft, d_bias = mean.T @ error, np.array([error.sum()])
             d_mean = error[:, None] * soft / size[:, None]
             d_word = np.add.reduceat(d_mean[window][by_word], word_edge, axis=0) / per_word[:, None]
             d_table = np.zeros_like(table)
             d_table[gram_ids] = np.add.reduceat(d_word[gram_word], gram_edge, axis=0)
-            d_table += 1e-7 * table
-            for key, value, slope in (("t", table, d_table), ("s", soft, d_soft)):
-                value -= adam(state[key], slope, step)
-            bias -= float(adam(state["b"], d_bias, step)[0])
+            d_table[gram_ids] += DECAY * table[gram_ids]
+            table -= adam(state["t"], d_table, step, RATE)
+            soft -= adam(state["s"], d_soft, step, RATE)
+            bias -= float(adam(state["b"], d_bias, step, RATE)[0])
         model = Model(table @ soft, bias, 1.0, 0.0)
         word = np.add.reduceat(model.weight[grams], first) / per_word
         logit = np.add.reduceat(word[which], at) / size
@@ -162,15 +167,16 @@ def train(texts: pa.Array, labels: np.ndarray, prior: float, seed: int = 5, epoc
         use = np.where((y == 0) | (logit >= best[owner]), 1.0, 0.0)
     tops = model.tops(grams, first, which, firsts)
     seen = np.isfinite(tops)
+    prior = max(prior, LEAST_PRIOR)
     weight = np.where(labels[seen] == 1, prior / max((labels[seen] == 1).mean(), 1e-9), (1 - prior) / max((labels[seen] == 0).mean(), 1e-9))
     model.scale, model.shift = curve(tops[seen], labels[seen].astype(np.float64), weight)
     return model
 
 
-def adam(state: list[np.ndarray], slope: np.ndarray, step: int, rate: float = 0.05) -> np.ndarray:
+def adam(state: list, slope: np.ndarray, step: int, rate: float) -> np.ndarray:
     state[0] = 0.9 * state[0] + 0.1 * slope
-    state[1] = 0.999 * state[1] + 0.001 * slope * slope
-    return rate * (state[0] / (1 - 0.9**step)) / (np.sqrt(state[1] / (1 - 0.999**step)) + 1e-10)
+    state[1] = 0.99 * state[1] + 0.01 * slope * slope
+    return rate * (state[0] / (1 - 0.9**step)) / (np.sqrt(state[1] / (1 - 0.99**step)) + 1e-12)
 
 
 def curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
