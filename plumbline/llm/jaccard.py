@@ -247,9 +247,15 @@ def _cut(rest: DataFrame, percent: int, pivots: int, leaf: int, level: int) -> t
     drawn = rest.where(F.pmod(order, F.col("m")) < pivots)
     least = rest.groupBy("region").agg(F.min_by("node", order).alias("node"))
     drawn = drawn.select("region", "node", "own").unionByName(rest.join(least, ["region", "node"], "left_semi").select("region", "node", "own"))
-    chosen = drawn.dropDuplicates(["region", "node"]).groupBy("region").agg(F.slice(F.array_sort(F.collect_list(F.struct("node", "own"))), 1, pivots).alias("pivots"))
+    chosen = drawn.dropDuplicates(["region", "node"]).groupBy("region").agg(F.slice(F.array_sort(F.collect_list(F.struct("node", "own"))), 1, pivots).alias("p"))
+    # A region's pivots go once to each part of about `leaf` of its sets.
+    parts = F.ceil(F.col("m") / leaf).cast("long")
+    sizes = rest.select("region", "m").distinct()
+    centres = chosen.join(sizes, "region").select("region", "p", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    centres = centres.select("region", "part", F.explode("p").alias("x")).select(F.col("region").alias("zone"), F.col("part").alias("slice"), "x.*")
+    dealt = rest.withColumn("part", F.pmod(F.xxhash64("node"), parts))
     schema = "region long, m long, node long, own array<long>, d array<double>, mask long, near array<long>"
-    split = stored(rest.join(chosen, "region").mapInArrow(_distances(percent), schema))
+    split = stored(dealt.groupBy("region", "part").cogroup(centres.groupBy("zone", "slice")).applyInArrow(_distances(percent), schema))
     links = split.select(F.col("node").alias("a"), F.explode("near").alias("b")).where("a <> b")
     # Sets that pivots connect with most others are settled; pairs count only where one set is not. A region has at most
     # 2 ** pivots masks.
@@ -272,29 +278,24 @@ def _cut(rest: DataFrame, percent: int, pivots: int, leaf: int, level: int) -> t
 def _distances(percent: int):
     """Distances of every set to the pivots of its region, and which pivots it links to: as bits and as nodes."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            far, masks, near = [], [], []
-            held, centres = None, []
-            for region, own, given in zip(batch.column("region").to_pylist(), batch.column("own"), batch.column("pivots"), strict=True):
-                if region != held:
-                    held, centres = region, [(p["node"].as_py(), p["own"].values.to_numpy()) for p in given]
-                mine = own.values.to_numpy()
-                d, mask, links = [], 0, []
-                for bit, (pivot, other) in enumerate(centres):
-                    shared = len(np.intersect1d(mine, other, assume_unique=True))
-                    union = len(mine) + len(other) - shared
-                    d.append(1 - shared / union)
-                    if 100 * shared >= percent * union:
-                        mask |= 1 << bit
-                        links.append(pivot)
-                far.append(np.array(d))
-                masks.append(mask)
-                near.append(np.array(links, dtype=np.int64))
-            yield pa.record_batch(
-                [*(batch.column(c) for c in ("region", "m", "node", "own")), list_array(far, pa.float64()), pa.array(masks, pa.int64()), list_array(near, pa.int64())],
-                names=["region", "m", "node", "own", "d", "mask", "near"],
-            )
+    def run(sets: pa.Table, given: pa.Table) -> pa.Table:
+        centres = sorted((node, own.values.to_numpy()) for node, own in zip(given.column("node").to_pylist(), given.column("own"), strict=True))
+        far, masks, near = [], [], []
+        for own in sets.column("own"):
+            mine = own.values.to_numpy()
+            d, mask, links = [], 0, []
+            for bit, (pivot, other) in enumerate(centres):
+                shared = len(np.intersect1d(mine, other, assume_unique=True))
+                union = len(mine) + len(other) - shared
+                d.append(1 - shared / union)
+                if 100 * shared >= percent * union:
+                    mask |= 1 << bit
+                    links.append(pivot)
+            far.append(np.array(d))
+            masks.append(mask)
+            near.append(np.array(links, dtype=np.int64))
+        more = {"d": list_array(far, pa.float64()), "mask": pa.array(masks, pa.int64()), "near": list_array(near, pa.int64())}
+        return pa.table({**{c: sets.column(c) for c in ("region", "m", "node", "own")}, **more})
 
     return run
 
