@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm.common import documents
 from plumbline.llm.jaccard import jaccard_join
+from plumbline.llm.langid import detect_language
 from plumbline.llm.passages import drop_repeated_passages
 from plumbline.llm.ranking import rank_quality
 from plumbline.llm.repetition import repetition_rules
@@ -18,6 +19,10 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(documents(spark, sf_dir))
 
 
+def op2_detect_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect_language(documents(spark, sf_dir))
+
+
 def op3_drop_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_passages(documents(spark, sf_dir))
 
@@ -36,6 +41,7 @@ def op8_rank_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
+    "op2_detect_language": op2_detect_language,
     "op3_drop_repeated_passages": op3_drop_repeated_passages,
     "op4_repetition_rules": op4_repetition_rules,
     "op7_toxicity": op7_toxicity,
