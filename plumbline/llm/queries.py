@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm.common import documents
+from plumbline.llm.imatch import fingerprints
 from plumbline.llm.jaccard import jaccard_join
 from plumbline.llm.langid import detect_language
+from plumbline.llm.mixing import mix_sources
 from plumbline.llm.passages import drop_repeated_passages
 from plumbline.llm.ranking import rank_quality
 from plumbline.llm.repetition import repetition_rules
@@ -31,6 +33,11 @@ def op4_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_rules(documents(spark, sf_dir))
 
 
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(documents(spark, sf_dir))
+    return mixed.select("doc_id", "mix.domain", "mix.language", "mix.origin", "mix.epoch", "mix.n_tokens")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -39,11 +46,17 @@ def op8_rank_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_detect_language": op2_detect_language,
     "op3_drop_repeated_passages": op3_drop_repeated_passages,
     "op4_repetition_rules": op4_repetition_rules,
+    "op6_mix_sources": op6_mix_sources,
     "op7_toxicity": op7_toxicity,
     "op8_rank_quality": op8_rank_quality,
+    "op9_fingerprints": op9_fingerprints,
 }

@@ -2,4 +2,54 @@
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+from plumbline.llm.mixing import EPOCHS, FRACTION, LANGUAGE_WEIGHTS, SEED
+
+LANGUAGE_WEIGHT = "CASE language " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in LANGUAGE_WEIGHTS.items()) + " ELSE 1.0 END"
+
+
+def _level(name: str, level: str, parents: str, group: str, weight: str, source: str) -> str:
+    by = f"PARTITION BY {parents}" if parents else ""
+    return f"""
+{name}_w AS (
+  SELECT *, CAST({weight} AS DOUBLE) AS weight
+  FROM (SELECT {group}, CAST(sum(cap) AS DOUBLE) AS room, min(quota) AS quota FROM {source} GROUP BY ALL)
+),
+{name}_r AS (
+  SELECT *, (quota - coalesce(sum(room) OVER ({by} ORDER BY room / weight, {level} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
+    / sum(weight) OVER ({by} ORDER BY room / weight, {level} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rate
+  FROM {name}_w
+),
+{name}_s AS (
+  SELECT {group}, CASE WHEN room <= rate * weight THEN room
+    ELSE max(CASE WHEN room > rate * weight THEN rate END) OVER ({by}) * weight END AS share
+  FROM {name}_r
+),
+{name} AS (SELECT n.* EXCLUDE (quota), s.share AS quota FROM {source} n JOIN {name}_s s USING ({group}))"""
+
+
+MIX = f"""
+WITH docs AS (
+  SELECT doc_id, CASE WHEN substr(md5(coalesce(source, 'unknown')), 1, 1) < '8' THEN 'd0' ELSE 'd1' END AS domain,
+    coalesce(lang, 'unknown') AS language, coalesce(source, 'unknown') AS origin,
+    CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS n_tokens
+  FROM documents
+),
+leaves AS (SELECT domain, language, origin, sum(n_tokens) AS have, sum(n_tokens) * {EPOCHS} AS cap FROM docs GROUP BY ALL),
+start AS (SELECT *, CAST(floor((SELECT sum(have) FROM leaves) * {FRACTION}) AS DOUBLE) AS quota FROM leaves),
+{_level("one", "domain", "", "domain", "1.0", "start").strip()},
+{_level("two", "language", "domain", "domain, language", LANGUAGE_WEIGHT, "one").strip()},
+{_level("three", "origin", "domain, language", "domain, language, origin", "1.0", "two").strip()},
+given AS (SELECT domain, language, origin, have, CAST(floor(quota + 1e-6) AS BIGINT) AS quota FROM three),
+copies AS (
+  SELECT d.*, e.epoch, md5(concat('{SEED}:', e.epoch, ':', coalesce(CAST(doc_id AS VARCHAR), ''))) AS place
+  FROM docs d CROSS JOIN (SELECT unnest(range({EPOCHS})) AS epoch) e
+),
+summed AS (
+  SELECT c.*, greatest(0, least(g.have, g.quota - c.epoch * g.have)) AS part,
+    sum(n_tokens) OVER (PARTITION BY domain, language, origin, epoch ORDER BY place) AS upto
+  FROM copies c JOIN given g USING (domain, language, origin)
+)
+SELECT doc_id, domain, language, origin, CAST(epoch AS INT) AS epoch, n_tokens FROM summed WHERE upto <= part AND part > 0
+"""
+
+ORACLE: dict[str, str] = {"op6_mix_sources": MIX}
