@@ -9,12 +9,12 @@ first shingles of both in any common order. Inside a root region texts are alike
 2. Each set's prefix meets others by shingle: pairs with a count of shared shingles, where a bound on that count drops most
    pairs without reading their sets. A shingle with more than BUCKET sets gives a star to its least set instead of pairs.
 3. Connected components of what is left are the root regions; each set is sent to its own region once.
-4. A region of more than LEAF sets is cut by pivots. Sets within the threshold of a pivot link to it, and most sets are
-   then connected (settled); only pairs with an open set are left. Few open sets meet the rest of their region block by
-   block. Many are cut into Voronoi regions: an open set's home is its nearest pivot, and any set is replicated to that
-   region if it is at most twice the threshold farther from the pivot than from its own and within the threshold of the ring
-   of open sets around the pivot (a window). Regions are cut again until they are leaves; one that LEVELS cuts leave large is
-   compared block by block.
+4. A region of more than LEAF sets is cut by pivots. A set's home is its nearest pivot; sets within the threshold of a pivot
+   link to it, which connects most of a home. Pairs are left only where two sets are not connected that way (open). A set is
+   replicated to another pivot's region if it is at most twice the threshold farther from it than from its own and within
+   the threshold of the ring of the region's open sets (a window); regions without an open set are done. Sets farther than
+   BALL from every pivot stay in one region, with a window of those in reach of them. Few open sets meet the rest of their
+   region block by block; other regions are cut again, and what LEVELS cuts leave large is compared block by block.
 5. Leaves compare all their sets by a matrix product over shingles; links give components.
 """
 
@@ -38,8 +38,9 @@ FREQUENT = 1 << 20
 LOOKED_AT = 0.4
 BUCKET = 24
 LEAF = 1024
-PIVOTS = 12
-LEVELS = 6
+PIVOTS = 32
+BALL = 0.5
+LEVELS = 8
 
 
 def jaccard_join(
@@ -221,17 +222,21 @@ def _regions_joined(docs: DataFrame, regions: DataFrame, size: int, percent: int
     regions = cut_lineage(regions)
     count = regions.count()
     here = join_small(docs.withColumnRenamed("row", "node"), regions, ["node"], "inner", count).select("root", "node", "text")
-    now = stored(here.mapInArrow(read, "region long, node long, own array<long>"))
+    now = stored(here.mapInArrow(read, "region long, node long, own array<long>").withColumn("open", F.lit(True)))
     links = None
     for level in range(levels + 1):
-        large = cut_lineage(now.groupBy("region").agg(F.count("*").alias("m")).where(F.col("m") > leaf))
-        n_large = large.count()
-        leaves = join_small(now, large, ["region"], "left_anti", n_large) if n_large else now
+        sizes = cut_lineage(now.groupBy("region").agg(F.count("*").alias("m"), F.count_if("open").alias("o")).where(F.col("m") > leaf))
+        n_large = sizes.count()
+        leaves = join_small(now, sizes, ["region"], "left_anti", n_large) if n_large else now
         found = leaves.groupBy("region").applyInArrow(_leaf(percent), "a long, b long")
         links = found if links is None else links.unionByName(found)
         if n_large == 0:
             return links
-        rest = join_small(now, large, ["region"], "inner", n_large)
+        large = join_small(now, sizes, ["region"], "inner", n_large)
+        links = links.unionByName(_few(large.where(F.col("o") <= leaf), leaf, percent))
+        rest = large.where(F.col("o") > leaf)
+        if sizes.where(F.col("o") > leaf).isEmpty():
+            return links
         if level == levels:
             return links.unionByName(_blocks(rest, leaf, percent))
         now, near = _cut(rest, percent, pivots, leaf, level)
@@ -239,13 +244,21 @@ def _regions_joined(docs: DataFrame, regions: DataFrame, size: int, percent: int
     return links
 
 
+def _few(large: DataFrame, leaf: int, percent: int) -> DataFrame:
+    """Links of regions with few open sets: these go to every block of about `leaf` sets of the region."""
+    few = large.withColumn("k", F.ceil(F.col("m") / leaf).cast("long"))
+    few = few.withColumn("blocks", F.when(F.col("open"), F.expr("sequence(0L, k - 1)")).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("k")))))
+    few = few.select("region", "node", "own", F.explode("blocks").alias("block"), F.col("open").cast("int").alias("side"))
+    return few.groupBy("region", "block").applyInArrow(_cell(percent), "a long, b long")
+
+
 def _cut(rest: DataFrame, percent: int, pivots: int, leaf: int, level: int) -> tuple[DataFrame, DataFrame]:
-    """One level of Voronoi regions: the regions to go on with, and the links found on the way."""
+    """One level of Voronoi regions: the regions to go on with, and the links of sets to pivots."""
     radius = 1 - percent / 100
     order = F.xxhash64("node", F.lit(level))
-    # About `pivots` sets a region by hash, never more, and always the one with the least hash.
-    drawn = rest.where(F.pmod(order, F.col("m")) < pivots)
-    least = rest.groupBy("region").agg(F.min_by("node", order).alias("node"))
+    # About `pivots` open sets a region by hash, never more, and always the one with the least hash.
+    drawn = rest.where("open").where(F.pmod(order, F.col("o")) < pivots)
+    least = rest.where("open").groupBy("region").agg(F.min_by("node", order).alias("node"))
     drawn = drawn.select("region", "node", "own").unionByName(rest.join(least, ["region", "node"], "left_semi").select("region", "node", "own"))
     chosen = drawn.dropDuplicates(["region", "node"]).groupBy("region").agg(F.slice(F.array_sort(F.collect_list(F.struct("node", "own"))), 1, pivots).alias("p"))
     # A region's pivots go once to each part of about `leaf` of its sets.
@@ -254,25 +267,25 @@ def _cut(rest: DataFrame, percent: int, pivots: int, leaf: int, level: int) -> t
     centres = chosen.join(sizes, "region").select("region", "p", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
     centres = centres.select("region", "part", F.explode("p").alias("x")).select(F.col("region").alias("zone"), F.col("part").alias("slice"), "x.*")
     dealt = rest.withColumn("part", F.pmod(F.xxhash64("node"), parts))
-    schema = "region long, m long, node long, own array<long>, d array<double>, mask long, near array<long>"
+    schema = "region long, node long, own array<long>, d array<double>, mask long, near array<long>"
     split = stored(dealt.groupBy("region", "part").cogroup(centres.groupBy("zone", "slice")).applyInArrow(_distances(percent), schema))
     links = split.select(F.col("node").alias("a"), F.explode("near").alias("b")).where("a <> b")
-    # Sets that pivots connect with most others are settled; pairs count only where one set is not. A region has at most
-    # 2 ** pivots masks.
-    masks = split.groupBy("region", "mask").agg(F.count("*").alias("c"))
-    settled = masks.groupBy("region").applyInArrow(_most_connected, "region long, most long")
-    split = split.join(settled, "region").withColumn("open", F.expr("(mask & most) = 0"))
-    opened = cut_lineage(split.where("open").groupBy("region").agg(F.count("*").alias("o")))
-    split = split.join(opened, "region")
-    few = split.where(F.col("o") <= leaf).withColumn("k", F.ceil(F.col("m") / leaf).cast("long"))
-    few = few.withColumn("blocks", F.when(F.col("open"), F.sequence(F.lit(0), F.col("k") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("k")))))
-    few = few.select("region", "node", "own", F.explode("blocks").alias("block"), F.col("open").cast("int").alias("side"))
-    links = links.unionByName(few.groupBy("region", "block").applyInArrow(_cell(percent), "a long, b long"))
-    many = split.where(F.col("o") > leaf).withColumn("home", F.array_min("d"))
-    many = many.select("region", "node", "own", "open", "home", F.posexplode("d").alias("i", "far"))
-    rings = many.where("open and far = home").groupBy("region", "i").agg(F.min("far").alias("low"), F.max("far").alias("high"))
-    held = many.join(rings, ["region", "i"]).where(F.expr(f"far <= home + {2 * radius} + 1e-9 and far between low - {radius} - 1e-9 and high + {radius} + 1e-9"))
-    return stored(held.select(F.xxhash64("region", "i").alias("region"), "node", "own")), links
+
+    # Pivots that a set links to are connected; a set's label is the component of its pivots, -1 without a link.
+    joined = split.groupBy("region", "mask").agg(F.count("*").alias("c")).groupBy("region").applyInArrow(_joined(pivots), "region long, labels array<int>")
+    split = split.join(joined, "region").withColumn("home", F.array_min("d"))
+    split = split.withColumn("label", F.expr("if(mask = 0, -1, element_at(labels, cast(bit_count((mask & -mask) - 1) as int) + 1))"))
+    cells = split.select("region", "node", "own", "home", "label", "labels", F.posexplode("d").alias("i", "far")).withColumn("open", F.expr("label < 0 or label <> element_at(labels, i + 1)"))
+    reach = cells.where(f"far = home and home <= {BALL}").groupBy("region", "i").agg(F.max("home").alias("most"))
+    cells = cells.join(reach, ["region", "i"]).where(F.expr(f"far <= least(home + {2 * radius}, most + {radius}) + 1e-9"))
+    rings = cells.where("open").groupBy("region", "i").agg(F.min("far").alias("low"), F.max("far").alias("high"))
+    held = cells.join(rings, ["region", "i"]).where(F.expr(f"far between low - {radius} - 1e-9 and high + {radius} + 1e-9"))
+    held = held.select(F.xxhash64("region", "i").alias("region"), "node", "own", "open")
+    # Sets beyond every ball stay together, with those that can be within the threshold of one.
+    beyond = split.groupBy("region").agg(F.max("home").alias("farthest")).where(f"farthest > {BALL}").select("region")
+    outside = split.join(beyond, "region").where(f"home > {BALL - radius} - 1e-9")
+    outside = outside.select(F.xxhash64("region", F.lit("outside")).alias("region"), "node", "own", F.expr(f"home > {BALL}").alias("open"))
+    return stored(held.unionByName(outside)), links
 
 
 def _distances(percent: int):
@@ -295,23 +308,25 @@ def _distances(percent: int):
             masks.append(mask)
             near.append(np.array(links, dtype=np.int64))
         more = {"d": list_array(far, pa.float64()), "mask": pa.array(masks, pa.int64()), "near": list_array(near, pa.int64())}
-        return pa.table({**{c: sets.column(c) for c in ("region", "m", "node", "own")}, **more})
+        return pa.table({**{c: sets.column(c) for c in ("region", "node", "own")}, **more})
 
     return run
 
 
-def _most_connected(table: pa.Table) -> pa.Table:
-    """Bits of the pivots in the component, by sets that link to several pivots, that has most sets."""
-    parts: list[list[int]] = []
-    for mask, count in zip(table.column("mask").to_pylist(), table.column("c").to_pylist(), strict=True):
-        if mask:
-            joined = [p for p in parts if p[0] & mask]
-            parts = [p for p in parts if not p[0] & mask]
-            for p in joined:
-                mask, count = mask | p[0], count + p[1]
-            parts.append([mask, count])
-    best = max(parts, key=lambda p: (p[1], p[0]))[0] if parts else 0
-    return pa.table({"region": pa.array([table.column("region")[0].as_py()], pa.int64()), "most": pa.array([best], pa.int64())})
+def _joined(pivots: int):
+    """The component of every pivot of a region, by the sets that link to several."""
+
+    def run(table: pa.Table) -> pa.Table:
+        parts = [1 << i for i in range(pivots)]
+        for mask in table.column("mask").to_pylist():
+            if mask & (mask - 1):
+                met = [p for p in parts if p & mask]
+                if len(met) > 1:
+                    parts = [p for p in parts if not p & mask] + [sum(met)]
+        labels = [next(k for k, p in enumerate(parts) if p >> i & 1) for i in range(pivots)]
+        return pa.table({"region": table.column("region").slice(0, 1), "labels": pa.array([labels], pa.list_(pa.int32()))})
+
+    return run
 
 
 def linked_pairs(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
