@@ -4,18 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from plumbline.llm.bpe import digests, encode, read_ranks
 from plumbline.llm.common import documents
 from plumbline.llm.imatch import fingerprints
 from plumbline.llm.jaccard import jaccard_join
 from plumbline.llm.langid import detect_language
 from plumbline.llm.mixing import mix_sources
 from plumbline.llm.passages import drop_repeated_passages
+from plumbline.llm.pii import find_pii
 from plumbline.llm.ranking import rank_quality
 from plumbline.llm.repetition import repetition_rules
 from plumbline.llm.toxicity import toxicity
 
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(documents(spark, sf_dir))
@@ -33,6 +38,10 @@ def op4_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_rules(documents(spark, sf_dir))
 
 
+def op5_find_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(documents(spark, sf_dir))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(documents(spark, sf_dir))
     return mixed.select("doc_id", "mix.domain", "mix.language", "mix.origin", "mix.epoch", "mix.n_tokens")
@@ -50,13 +59,20 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(documents(spark, sf_dir))
 
 
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = read_ranks(public_tokenizers.path(VOCABULARY))
+    return digests(encode(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN), ranks)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_detect_language": op2_detect_language,
     "op3_drop_repeated_passages": op3_drop_repeated_passages,
     "op4_repetition_rules": op4_repetition_rules,
+    "op5_find_pii": op5_find_pii,
     "op6_mix_sources": op6_mix_sources,
     "op7_toxicity": op7_toxicity,
     "op8_rank_quality": op8_rank_quality,
     "op9_fingerprints": op9_fingerprints,
+    "op10_byte_bpe": op10_byte_bpe,
 }
