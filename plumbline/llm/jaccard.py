@@ -54,28 +54,46 @@ def jaccard_join(
     and are their own component; a row with a null id has the least id of its component, or null. Repeated rows stay.
     Sets are of 64-bit hashes. `bucket`, `leaf`, `pivots` and `levels` steer cost, never the result.
     """
-    docs = df.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    named = _named(df, doc_id, text, size, percent, bucket, leaf, pivots, levels)
+    least = named.groupBy("top").agg(F.min("id").alias("component_id"))
+    out = named.join(least.where("top is not null"), "top", "left")
+    return out.select(
+        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id")
+    )
+
+
+def drop_near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """`df` with one row of each component of the join: the one with the least id, a null id last, then the least text hash.
+
+    Texts without a word are linked with nothing and stay, all of them. All columns stay as they are."""
+    named = stored(_named(df, doc_id, text, size, percent, BUCKET, LEAF, PIVOTS, LEVELS).where("n > 0").select("row", "top", F.col("id").isNull().alias("unnamed"), "id"))
+    first = named.groupBy("top").agg(F.min(F.struct("unnamed", "id", "row")).alias("first"))
+    rows = named.join(first, "top").groupBy("row").agg(F.max(F.col("row") != F.col("first.row")).alias("gone"), F.count("*").alias("c"))
+    marks = stored(rows.where("gone or c > 1"))
+    n = marks.count()
+    keyed = df.withColumn("near_row", row_key(doc_id, text))
+    kept = join_small(keyed, marks.select(F.col("row").alias("near_row")), ["near_row"], "left_anti", n)
+    # Of rows that repeat as they are, one stays.
+    repeated = join_small(keyed, marks.where("not gone").select(F.col("row").alias("near_row")), ["near_row"], "left_semi", n).dropDuplicates(["near_row"])
+    return kept.unionByName(repeated).drop("near_row")
+
+
+def _named(df: DataFrame, doc_id: str, text: str, size: int, percent: int, bucket: int, leaf: int, pivots: int, levels: int) -> DataFrame:
+    """Row key, id and set size of every row, and `top`, the same for the rows of a component; null without a word."""
+    docs = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     docs = docs.select(row_key("id", "text").alias("row"), "id", "text")
     frequent = _frequent(docs, size, bucket)
     sets = stored(docs.mapInArrow(_prefixes(frequent, size, percent), "row long, id long, n long, k1 long, k2 long, prefix array<long>, common array<long>"))
     key = ["n", "k1", "k2"]
-    classes = sets.where("n > 0").groupBy(key).agg(F.min("row").alias("node"))
+    classes = stored(sets.where("n > 0").groupBy(key).agg(F.min("row").alias("node")))
     first = sets.where("n > 0").join(classes, key).where("row = node").dropDuplicates(["node"])
     first = stored(first.select("node", "n", "prefix", "common"))
 
     candidates = cut_lineage(_candidates(first, len(frequent[0]), bucket, percent))
     regions = components(candidates)
-    links = _regions_joined(docs, regions, size, percent, leaf, pivots, levels)
-    members = components(links)
-
-    ids = sets.where("n > 0").groupBy(key).agg(F.min("row").alias("node"), F.min("id").alias("own"))
-    named = ids.join(members.withColumnRenamed("root", "top"), "node", "left").withColumn("top", F.coalesce("top", "node"))
-    least = named.groupBy("top").agg(F.min("own").alias("component_id"))
-    named = named.join(least, "top").select(*key, "component_id")
-    out = sets.select("id", *key).join(named, key, "left")
-    return out.select(
-        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id")
-    )
+    members = components(_regions_joined(docs, regions, size, percent, leaf, pivots, levels))
+    tops = classes.join(members, "node", "left").select(*key, F.coalesce("root", "node").alias("top"))
+    return sets.select("row", "id", *key).join(tops, key, "left").select("row", "id", "n", "top")
 
 
 def _set_of(words: np.ndarray, size: int) -> np.ndarray:

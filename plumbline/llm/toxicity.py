@@ -220,6 +220,28 @@ def toxicity(
     return rows.mapInArrow(run, SCHEMA).select("doc_id", held, "score", "predicted")
 
 
+def drop_toxic(
+    df: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text",
+    folds: int = 5, fold: int = 0, per_class: int = PER_CLASS, chars: int = SAMPLE_CHARS,
+) -> DataFrame:
+    """The rows of `df`, all columns, whose score is below 0.5; every row where labels of both classes are missing."""
+    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    model = _fitted(rows, labels, label, folds, fold, per_class, chars)
+    if model is None:
+        return df
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = Letters()
+        for batch in batches:
+            column = batch.column(at)
+            for a, b in slices(column, 1 << 23):
+                s = model.scores(model.tops(*distinct_words(split, *text_bytes(column.slice(a, b - a)))))
+                yield batch.slice(a, b - a).filter(pa.array(s < 0.5))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def _fitted(rows: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, per_class: int, chars: int) -> Model | None:
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("y in (0, 1) and doc_id is not null")
     known = known.where(bucket("doc_id", folds) != fold).withColumn("h", F.xxhash64("doc_id", F.lit("toxicity")))
