@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import join_small, row_key, stored
-from plumbline.llm.words import MULTIPLIER, Words, list_array, mix, slices, text_bytes
+from plumbline.llm.common import row_key, stored
+from plumbline.llm.words import MULTIPLIER, Words, mix, slices, text_bytes
 
 WINDOW = 35
 ANCHOR = 8
@@ -49,13 +49,12 @@ def drop_repeated_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "t
     whole = flagged.where("c > 1").select("rid", F.col("a").alias("low"), F.expr(f"a + m + {window - 1}").alias("high"))
     asked = flagged.where("c = 1 or (singles > 0 and first.rid = rid and first.a = a)")
     asked = asked.groupBy("rid").agg(F.collect_list(F.struct("h", "parts", "a", "m")).alias("asked"))
-    n = flagged.count()
-    stretches = stored(join_small(docs.select("rid", "text"), asked, ["rid"], "inner", n // 4).mapInArrow(_stretches(window), "h long, parts int, rid long, a int, code binary"))
+    stretches = stored(docs.select("rid", "text").join(asked, "rid").mapInArrow(_stretches(window), "h long, parts int, rid long, a int, code binary"))
     located = _located(stretches, window)
 
     covered = whole.unionByName(located).groupBy("rid").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
     covered = stored(covered)
-    changed = join_small(docs.select("rid", "text"), covered, ["rid"], "inner", n // 4).mapInArrow(_removed, "rid long, n_removed long, kept string").dropDuplicates(["rid"])
+    changed = docs.select("rid", "text").join(covered, "rid").mapInArrow(_removed, "rid long, n_removed long, kept string").dropDuplicates(["rid"])
     out = first.select("rid", "doc_id", "n_words", "sha").join(changed, "rid", "left")
     return out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept", "sha").alias("kept_sha256"))
 
