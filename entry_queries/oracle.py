@@ -112,15 +112,15 @@ def top(columns: dict[str, tuple[str, ...]]) -> str:
 def pattern_sql() -> str:
     return each(Q.PATTERN, f"""SELECT * FROM (SELECT '{{t}}' AS asset, '{{c}}' AS "column", {shape('value')} AS pattern, CAST(sum(n) AS BIGINT) AS n,
  row_number() OVER (ORDER BY sum(n) DESC, {shape('value')}) AS rank FROM (SELECT {{c}} AS value, count(*) AS n FROM {{t}} WHERE {{c}} IS NOT NULL
- GROUP BY 1 ORDER BY n DESC, value LIMIT 1000) GROUP BY 3) WHERE rank <= 10""")
+ GROUP BY 1) GROUP BY 3) WHERE rank <= 10""")
 
 
 def semantic_sql() -> str:
-    """Shares from the 1,000 most frequent values, for the type the columns were made for."""
+    """Shares from all values, for the type the columns were made for."""
     cols = [(k, t, c) for k, t, c in Q.VALIDATED]
     parts = [
         f"""SELECT '{t}' AS asset, '{c}' AS "column", '{k}' AS semantic_type, round(CAST(sum(CASE WHEN {VALID[k]('trim(value)')} THEN n ELSE 0 END) AS DOUBLE)
- / CAST(sum(n) AS DOUBLE), 6) AS semantic_share FROM (SELECT {c} AS value, count(*) AS n FROM {t} WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY n DESC, value LIMIT 1000)"""
+ / CAST(sum(n) AS DOUBLE), 6) AS semantic_share FROM (SELECT {c} AS value, count(*) AS n FROM {t} WHERE {c} IS NOT NULL GROUP BY 1)"""
         for k, t, c in cols
     ]
     return sql_with(views_of(*[t for _, t, _ in cols]), f"SELECT * FROM ({' UNION ALL '.join(parts)}) WHERE semantic_share >= 0.8")

@@ -15,7 +15,7 @@ from plumbline.operators import accuracy, examples, findings, history, lifecycle
 from plumbline.operators.checks import new_spec
 from plumbline.operators.evaluate import Store, check_results, count_checks, failing_rows, orphans, type_frame
 from plumbline.operators.health import health_items
-from plumbline.operators.histogram import histogram_value, top_values
+from plumbline.operators.histogram import histogram_value, text_values, top_values
 from plumbline.operators.quantiles import quantiles
 from plumbline.plans import scan as plan
 from plumbline.session import local_frame, tune
@@ -134,7 +134,7 @@ def top_values_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pattern_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     st = narrowed(spark, sf_dir, PATTERN)
-    rows = profile.patterns(top_values(st.hist, st.meta), st.meta)
+    rows = profile.patterns(text_values(st.hist, st.meta))
     return with_names(rows.withColumn("rank", F.col("rank").cast("bigint")), st.meta, "pattern", "n", "rank")
 
 
@@ -150,7 +150,7 @@ def infer_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def semantic_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     st = narrowed(spark, sf_dir, {"dirty_customers": TEXT["dirty_customers"], "pages": ("url",), "part": ("p_brand",),
                                   "contacts": ("phone", "currency", "postcode", "country", "token")})
-    rows = profile.semantic_measures(top_values(st.hist, st.meta), st.meta).filter("semantic_type IS NOT NULL")
+    rows = profile.semantic_measures(text_values(st.hist, st.meta), st.meta).filter("semantic_type IS NOT NULL")
     return with_names(rows.withColumn("semantic_share", F.round("semantic_share", 6)), st.meta, "semantic_type", "semantic_share")
 
 

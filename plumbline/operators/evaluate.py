@@ -25,7 +25,6 @@ from .checks import CheckType, age_hours, check_types, spec_id
 from .histogram import ColumnMeta, Value, encode, histogram_value, quote, row_value, slot_letter
 
 # Row hashes that may repeat, up to which they are broadcast to filter the rows to compare.
-BROADCAST_HASHES = 1_000_000
 
 COUNTS_SCHEMA = "check_id string, n bigint, k bigint"
 
@@ -295,7 +294,7 @@ def copy_counts(store: Store, specs: list[CheckSpec], held: list[DataFrame] | No
     repeated = hashes.groupBy("c", "h").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").persist()
     if held is not None:
         held.append(repeated)
-    suspects = {r.c: r.hashes for r in repeated.groupBy("c").agg(F.count(F.lit(1)).alias("hashes")).collect()}
+    suspects = {r.c for r in repeated.select("c").distinct().collect()}
     frames = []
     for i, s in enumerate(specs):
         rows = _with_keys(store.read[s.asset], s)
@@ -304,7 +303,7 @@ def copy_counts(store: Store, specs: list[CheckSpec], held: list[DataFrame] | No
             frames.append(total.select(F.lit(s.id).alias("check_id"), "n", F.lit(0).cast("bigint").alias("k")))
             continue
         # (1, -) rows carry the evaluated count, (-, k) rows the failing count of each group.
-        groups = _suspect_groups(rows, s, repeated.filter(F.col("c") == i).select("h"), suspects[i])
+        groups = _suspect_groups(rows, s, repeated.filter(F.col("c") == i).select("h"))
         extra = groups.agg(F.coalesce(F.sum(F.col("m") - 1), F.lit(0)).alias("k"))
         both = total.select("n", F.lit(0).cast("bigint").alias("k")).unionByName(
             extra.select(F.lit(0).cast("bigint").alias("n"), "k")
@@ -313,11 +312,8 @@ def copy_counts(store: Store, specs: list[CheckSpec], held: list[DataFrame] | No
     return union_all(frames)
 
 
-def _suspect_groups(rows: DataFrame, spec: CheckSpec, hashes: DataFrame, count: int) -> DataFrame:
-    if count <= BROADCAST_HASHES:
-        rows = rows.withColumn("_h", _row_hash(spec)).join(
-            F.broadcast(hashes.withColumnRenamed("h", "_h")), "_h", "left_semi"
-        )
+def _suspect_groups(rows: DataFrame, spec: CheckSpec, hashes: DataFrame) -> DataFrame:
+    rows = rows.withColumn("_h", _row_hash(spec)).join(hashes.withColumnRenamed("h", "_h"), "_h", "left_semi")
     return rows.groupBy(*[F.col(quote(c)) for c in spec.columns]).agg(F.count(F.lit(1)).alias("m"))
 
 
@@ -479,10 +475,17 @@ def failing_rows(store: Store, spec: CheckSpec) -> DataFrame:
         a, b = (F.col(quote(c)) for c in spec.columns)
         return df.filter(a > b)
     if t.how == "parent":
-        bad = orphans(store, [spec]).select(F.col("value").alias("_v"))
-        return df.join(bad, F.col(quote(spec.column)).cast("string") == F.col("_v"), "left_semi")
+        child, parent = store.column(spec.asset, spec.column), store.column(spec.params["parent"], spec.params["parent_column"])
+        as_text = child.logical != parent.logical or slot_letter(child.slot) != slot_letter(parent.slot)
+        theirs = store.full(parent.asset).select(_key_of(parent, as_text).alias("_k")).filter("_k IS NOT NULL").distinct()
+        rows = df.filter(F.col(quote(spec.column)).isNotNull()).withColumn("_k", _key_of(child, as_text))
+        return rows.join(theirs, "_k", "left_anti").drop("_k")
     if t.how == "casing":
-        bad = casing_variants(store, [spec]).select(F.col("value").alias("_v"))
+        # Spellings are those of the rows that are returned, which a sample need not have.
+        forms = df.select(F.col(quote(spec.column)).cast("string").alias("_v")).filter("_v IS NOT NULL").groupBy("_v").agg(F.count(F.lit(1)).alias("n"))
+        forms = forms.withColumn("folded", X.folded(F.col("_v")))
+        best = forms.groupBy("folded").agg(F.min(F.struct((-F.col("n")).alias("o"), "_v")).alias("best"))
+        bad = forms.join(best, "folded").filter("_v <> best._v").select("_v")
         return df.join(bad, F.col(quote(spec.column)) == F.col("_v"), "left_semi")
     if t.how in ("copies", "value"):
         cols = spec.columns or (spec.column,)
@@ -491,6 +494,14 @@ def failing_rows(store: Store, spec: CheckSpec) -> DataFrame:
     raise ValueError(f"{spec.type} has no failing rows")
 
 
+def _key_of(meta: ColumnMeta, as_text: bool) -> Column:
+    """A key of a raw row as the histogram has it: in its slot, or as the text of that."""
+    c = F.col(quote(meta.column))
+    if not as_text:
+        return encode(c, meta.slot)
+    return (c.cast("double") if meta.slot == "dbl" else c).cast("string")
+
+
 def _literal(value: Any) -> Column:
     if isinstance(value, list):
         return F.array(*[F.lit(x) for x in value])

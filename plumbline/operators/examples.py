@@ -17,14 +17,14 @@ from .evaluate import (
 from .histogram import histogram_value, top_k
 
 EXAMPLES = 5
-CHECKS_PER_ASSET = 10
-SHOWN_CHARACTERS = 200
 
 
-def choose_checks(results: DataFrame) -> DataFrame:
-    """The failing checks that get examples: ten per table, scoring ones first, then by severity.
+def choose_checks(results: DataFrame, per_asset: int | None = None) -> DataFrame:
+    """The failing checks that get examples: all, or `per_asset` per table, scoring ones first, then by severity.
 
     Format and spelling checks and facts of the table do not count. One row per check goes in."""
+    if per_asset is None:
+        return results.filter("failed > 0")
     ranked = [t.name for t in check_types().values() if not t.from_values and t.how != "table"]
     plain = F.col("type").isin(*ranked)
     order = Window.partitionBy("asset", plain).orderBy(
@@ -33,7 +33,7 @@ def choose_checks(results: DataFrame) -> DataFrame:
     return (
         results.filter("failed > 0")
         .withColumn("_r", F.row_number().over(order))
-        .filter(~plain | (F.col("_r") <= CHECKS_PER_ASSET))
+        .filter(~plain | (F.col("_r") <= per_asset))
         .drop("_r")
     )
 
@@ -91,8 +91,10 @@ def examples(store: Store, specs: list[CheckSpec], personal: set[tuple[str, str]
     )
 
 
-def shown_value(value: Column, masked: Column) -> Column:
-    return F.when(masked, X.mask(value)).otherwise(F.substring(value, 1, SHOWN_CHARACTERS))
+def shown_value(value: Column, masked: Column, characters: int | None = None) -> Column:
+    """The value, masked if personal; with `characters`, a longer one is cut and ends in an ellipsis."""
+    plain = value if characters is None else F.when(F.char_length(value) > characters, F.concat(F.substring(value, 1, characters), F.lit("…"))).otherwise(value)
+    return F.when(masked, X.mask(value)).otherwise(plain)
 
 
 def findings(results: DataFrame, evidence: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ from ..session import local_frame
 # Columns unpivoted in one pass; beyond this a table is read once per group of columns, so that the
 # row stays narrow enough for generated code.
 COLUMNS_PER_PASS = 80
-TOP_TEXT = 1000  # most frequent text values that type and pattern inference looks at
+TOP_TEXT = 1000  # most frequent text values kept as a result
 TOP_OTHER = 25
 
 
@@ -227,6 +227,12 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, spread: C
     return cut.withColumn("rank", F.row_number().over(last)).filter(F.col("rank") <= k)
 
 
+def text_values(hist: DataFrame, meta: DataFrame) -> DataFrame:
+    """`(cid, value, n)`: every distinct value of the text columns, from which types and shapes are inferred."""
+    text = meta.filter("logical_type = 'text'").select("cid")
+    return hist.join(F.broadcast(text), "cid").filter(F.col("s").isNotNull()).select("cid", F.col("s").alias("value"), "n")
+
+
 def top_values(hist: DataFrame, meta: DataFrame) -> DataFrame:
     """`(cid, value, n, rank)`: the most frequent values of each scalar column, ties by text."""
     v = histogram_value()

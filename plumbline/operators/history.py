@@ -33,7 +33,8 @@ def score_records(scores: DataFrame, scan_id: str, measured_at: datetime) -> Dat
 
 
 def _last_points(rows: DataFrame, scans: DataFrame, limit: int, until_scan: str | None) -> DataFrame:
-    limit = max(1, min(limit, MAX_POINTS))
+    if not 1 <= limit <= MAX_POINTS:
+        raise ValueError(f"ask for 1 to {MAX_POINTS} points, not {limit}")
     if until_scan is not None:
         end = rows.filter(F.col("scan_id") == until_scan).select("measured_at").first()
         if end is None:
@@ -42,7 +43,7 @@ def _last_points(rows: DataFrame, scans: DataFrame, limit: int, until_scan: str
             at, last = F.col("measured_at"), instant(end.measured_at)
             rows = rows.filter((at < last) | ((at == last) & (F.col("scan_id") <= until_scan)))
     newest = rows.orderBy(F.desc("measured_at"), F.desc("scan_id")).limit(limit)
-    return newest.join(F.broadcast(scans.select("scan_id", "trigger")), "scan_id").orderBy("measured_at", "scan_id")
+    return newest.join(scans.select("scan_id", "trigger"), "scan_id").orderBy("measured_at", "scan_id")
 
 
 def score_history(records: DataFrame, scans: DataFrame, asset: str | None = None, limit: int = DEFAULT_POINTS, until_scan: str | None = None) -> DataFrame:

@@ -110,11 +110,11 @@ def spread_measures(
     )
 
 
-def semantic_measures(top: DataFrame, meta: DataFrame) -> DataFrame:
-    """The semantic type of each text column and its share, from the most frequent values."""
+def semantic_measures(values: DataFrame, meta: DataFrame) -> DataFrame:
+    """The semantic type of each text column and its share, over all `text_values`."""
     types = S.semantic_types()
     text = meta.filter("logical_type = 'text'").select("cid", "allowed_types")
-    rows = top.join(F.broadcast(text), "cid").withColumn("_v", X.strip(F.col("value")))
+    rows = values.join(F.broadcast(text), "cid").withColumn("_v", X.strip(F.col("value")))
     per = rows.groupBy("cid").agg(
         F.first("allowed_types").alias("allowed_types"),
         F.sum("n").alias("total"),
@@ -129,12 +129,10 @@ def semantic_measures(top: DataFrame, meta: DataFrame) -> DataFrame:
     )
 
 
-def patterns(top: DataFrame, meta: DataFrame, limit: int = SHOWN_PATTERNS) -> DataFrame:
-    """`(cid, pattern, n, rank)`: the shapes of each text column's most frequent values."""
-    text = meta.filter("logical_type = 'text'").select("cid")
+def patterns(values: DataFrame, limit: int = SHOWN_PATTERNS) -> DataFrame:
+    """`(cid, pattern, n, rank)`: the most frequent shapes of each text column, over all `text_values`."""
     shapes = (
-        top.join(F.broadcast(text), "cid")
-        .groupBy("cid", X.pattern_class(F.col("value")).alias("pattern"))
+        values.groupBy("cid", X.pattern_class(F.col("value")).alias("pattern"))
         .agg(F.sum("n").alias("n"))
     )
     return top_k(shapes, ["cid"], [F.desc("n"), F.asc("pattern")], limit, F.col("pattern"))

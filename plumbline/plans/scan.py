@@ -25,7 +25,7 @@ from ..operators.evaluate import (
 )
 from ..operators.examples import choose_checks, examples, failing_values, findings
 from ..operators.health import health_items
-from ..operators.histogram import ColumnMeta, build_histogram, column_meta, meta_frame, top_values
+from ..operators.histogram import ColumnMeta, build_histogram, column_meta, meta_frame, text_values, top_values
 from ..operators.lifecycle import missing_reason, reconcile
 from ..operators.quantiles import quantiles
 from ..operators.score import scores
@@ -149,7 +149,7 @@ def profile_assets(spark: SparkSession, assets: list[Asset], options: ScanOption
     batches = [assets[i : i + TABLES_PER_BATCH] for i in range(0, len(assets), TABLES_PER_BATCH)]
     parts: list[Profiled] = []
     failed: dict[str, P.AssetProfile] = {}
-    first = 0
+    first = 0  # one running number for all columns of the scan, whichever tables fail
     for batch in batches:
         try:
             parts.append(_profile_batch(spark, batch, options, now, first))
@@ -157,12 +157,14 @@ def profile_assets(spark: SparkSession, assets: list[Asset], options: ScanOption
             if len(batch) == 1:
                 failed[batch[0].label] = _failed(batch[0], e)
             else:
-                for n, a in enumerate(batch):
+                at = first
+                for a in batch:
                     try:
-                        parts.append(_profile_batch(spark, [a], options, now, first + 1000 * n))
+                        parts.append(_profile_batch(spark, [a], options, now, at))
                     except PySparkException as one:
                         failed[a.label] = _failed(a, one)
-        first += 100_000
+                    at += len(a.df.columns)
+        first += sum(len(a.df.columns) for a in batch)
     if not parts:
         raise ValueError("no table could be read: " + "; ".join(f"{k}: {v.error}" for k, v in failed.items()))
     done = {label: p for part in parts for label, p in part.assets.items()} | failed
@@ -238,14 +240,14 @@ def _profile_tables(
         return quants, collect_small(P.spread_measures(hist, meta, centres, large, held))
 
     def kinds() -> DataFrame:
-        return collect_small(P.semantic_measures(top, meta))
+        return collect_small(P.semantic_measures(text_values(hist, meta), meta))
 
-    # The second pass over the numbers and the inference from frequent values do not need each other.
+    # The second pass over the numbers and the inference of types do not need each other.
     (quants, spread), semantic = run_together([numbers, kinds])  # type: ignore[misc]
     profile_lazy = P.profile_frame(meta, basic, quants, spread, semantic)
     rows = profile_lazy.collect()
     profile = local_frame(spark, rows, profile_lazy.schema)
-    patterns = P.patterns(top, meta)
+    patterns = P.patterns(text_values(hist, meta))
     values, shapes = run_together([lambda: _few_values(top, rows), lambda: _main_shapes(patterns, profile, rows)])
 
     out: dict[str, P.AssetProfile] = {}

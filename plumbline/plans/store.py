@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -30,20 +31,25 @@ def saved_checks(spark: SparkSession, root: str) -> list[CheckSpec]:
 
 
 def record_scan(scan: Scan, root: str, trigger: str = "manual") -> Recorded:
-    """Write a scan's tables and the next state. The previous snapshots stay as they are."""
+    """Write a scan's tables and the next state. The previous snapshots stay as they are.
+
+    A scan that is recorded already changes nothing: its fold starts from the snapshot it started from before, so a call that
+    was cut short can be repeated. The list of scans is written last."""
     spark = scan.profiled.store.spark
     at = scan.started_at
     name = f"{at:%Y%m%dT%H%M%S}-{scan.scan_id}"
     specs = scan.check_specs
-    old_checks = sinks.read_snapshot(spark, root, "checks")
+    base, done = sinks.base_of(spark, root, "checks", name)
+    old_checks = sinks.read_snapshot(spark, root, "checks", base) if base else None
     checks = lifecycle.persist_checks(old_checks if old_checks is not None else lifecycle.empty_check_state(specs), specs, scan.scan_id, at)
-    sinks.write_snapshot(checks.state, root, "checks", name)
-    stored = sinks.read_snapshot(spark, root, "checks", name)
+    done = done or sinks.write_snapshot(checks.state, root, "checks", name, base)
+    stored = sinks.read_snapshot(spark, root, "checks", done)
 
-    old = sinks.read_snapshot(spark, root, "findings")
+    base, done = sinks.base_of(spark, root, "findings", name)
+    old = sinks.read_snapshot(spark, root, "findings", base) if base else None
     fold = fd.fold_findings(old if old is not None else fd.empty_state(spark), stored, scan.results, scan.findings, scan.scan_id, at)
-    sinks.write_snapshot(fold.state, root, "findings", name)
-    broken = fd.broken_invariants(sinks.read_snapshot(spark, root, "findings", name)).count()
+    done = done or sinks.write_snapshot(fold.state, root, "findings", name, base)
+    broken = fd.broken_invariants(sinks.read_snapshot(spark, root, "findings", done)).count()
     if broken:
         raise ValueError(f"{broken} checks have more than one unresolved finding")
 
@@ -83,9 +89,12 @@ def change_findings(spark: SparkSession, root: str, actions: DataFrame, at: date
 
 
 def _change(spark: SparkSession, root: str, name: str, actions: DataFrame, at: datetime, apply) -> DataFrame:
-    fold = apply(sinks.read_snapshot(spark, root, name), actions)
-    mark = f"{at:%Y%m%dT%H%M%S}-people"
-    sinks.write_snapshot(fold.state, root, name, mark)
+    names = sinks.snapshots(spark, root, name)
+    if not names:
+        raise ValueError(f"no {name} are stored yet")
+    fold = apply(sinks.read_snapshot(spark, root, name, names[-1]), actions)
+    mark = f"{at:%Y%m%dT%H%M%S}-people-{uuid.uuid4().hex[:12]}"
+    sinks.write_snapshot(fold.state, root, name, mark, names[-1])
     events = fold.events.withColumn("scan_id", F.lit(mark))
     sinks.write_tables({f"{'check' if name == 'checks' else 'finding'}_events": events}, root)
     return fold.refused

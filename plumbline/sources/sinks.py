@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,21 +31,53 @@ def write_report(tables: dict[str, DataFrame], path: str) -> None:
     out.select(text.alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
-def write_snapshot(df: DataFrame, root: str, name: str, snapshot: str) -> None:
-    df.coalesce(1).write.mode("overwrite").parquet(f"{root}/state/{name}/{snapshot}")
+def _file_system(spark: SparkSession, path: str):
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(conf)
 
 
 def snapshots(spark: SparkSession, root: str, name: str) -> list[str]:
-    """Complete snapshots of a state table, oldest first; unfinished writes have no success marker."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    marks = jvm.org.apache.hadoop.fs.Path(f"{root}/state/{name}/*/_SUCCESS")
-    found = marks.getFileSystem(conf).globStatus(marks)
-    return sorted(m.getPath().getParent().getName() for m in found or [])
+    """Complete snapshots of a state table, oldest first: a number and a label each. Unfinished writes are not among them."""
+    marks, fs = _file_system(spark, f"{root}/state/{name}/*-*/_SUCCESS")
+    found = sorted(m.getPath().getParent().getName() for m in fs.globStatus(marks) or [])
+    return [n for n in found if not n.startswith("pending")]
+
+
+def base_of(spark: SparkSession, root: str, name: str, label: str) -> tuple[str | None, str | None]:
+    """The snapshot to fold `label` into, and the one that has it folded in already, if any."""
+    names = snapshots(spark, root, name)
+    for at, known in enumerate(names):
+        if known.split("-", 1)[1] == label:
+            return (names[at - 1] if at else None), known
+    return (names[-1] if names else None), None
+
+
+def write_snapshot(df: DataFrame, root: str, name: str, label: str, base: str | None) -> str:
+    """A new snapshot after `base`, never in place of another; returns its name.
+
+    It is written aside and then moved to the number after its base. That number can be claimed once: if another writer has
+    moved on from the same base, this fails and the state stays as it is."""
+    spark = df.sparkSession
+    number = int(base.split("-", 1)[0]) + 1 if base else 1
+    folder = f"{root}/state/{name}"
+    aside, fs = _file_system(spark, f"{folder}/pending-{uuid.uuid4().hex}")
+    df.write.parquet(aside.toString())
+    claim, _ = _file_system(spark, f"{folder}/claims/{number:012d}")
+    fs.mkdirs(claim.getParent())
+    if not fs.createNewFile(claim):
+        fs.delete(aside, True)
+        raise RuntimeError(f"the {name} have changed since snapshot {base}; read them again")
+    final = f"{number:012d}-{label}"
+    fs.rename(aside, _file_system(spark, f"{folder}/{final}")[0])
+    return final
 
 
 def read_snapshot(spark: SparkSession, root: str, name: str, snapshot: str | None = None) -> DataFrame | None:
     """A snapshot of a state table, the latest by default; None before the first."""
-    names = snapshots(spark, root, name)
-    if not names:
-        return None
-    return spark.read.parquet(f"{root}/state/{name}/{snapshot or names[-1]}")
+    if snapshot is None:
+        names = snapshots(spark, root, name)
+        if not names:
+            return None
+        snapshot = names[-1]
+    return spark.read.parquet(f"{root}/state/{name}/{snapshot}")

@@ -97,3 +97,10 @@ def test_percentages(spark):
     pct = lambda k, n: value_of(spark, X.percentage(F.lit(k), F.lit(n)))
     assert (pct(0, 0), pct(1, 1000), pct(236, 1000), pct(1, 1)) == ("0 %", "0.10 %", "23.6 %", "100.0 %")
     assert canonical_json({"b": 1, "a": [2]}) == '{"a": [2], "b": 1}'
+
+
+def test_numbers_with_any_white_space_are_valid(spark):
+    from plumbline.functions import semantics as S
+
+    df = spark.createDataFrame([("DE 123 456 789", "+49 30 123456")], "vat string, phone string")
+    assert tuple(df.select(S.is_eu_vat(F.col("vat")), S.is_phone_e164(F.col("phone"))).first()) == (True, True)

@@ -9,7 +9,7 @@ from plumbline.model import Asset
 from plumbline.operators import profile as P
 from plumbline.operators import quantiles as Q
 from plumbline.operators.checks import new_spec
-from plumbline.operators.evaluate import Store, copy_counts
+from plumbline.operators.evaluate import Store, copy_counts, failing_rows
 from plumbline.operators.histogram import top_k
 from plumbline.plans.scan import histogram_of, profile_assets, ScanOptions
 from shop import NOW
@@ -61,9 +61,7 @@ def test_copies_survive_hash_collisions(spark, monkeypatch):
     want = {specs[0].id: (1000, 1000 - len(set(rows))), specs[1].id: (len(keyed), len(keyed) - len(set(keyed)))}
     for hashing in (E._row_hash, lambda s: F.pmod(F.xxhash64(*s.columns), F.lit(3))):
         monkeypatch.setattr(E, "_row_hash", hashing)
-        for limit in (1_000_000, 0):
-            monkeypatch.setattr(E, "BROADCAST_HASHES", limit)
-            assert {r.check_id: (r.n, r.k) for r in copy_counts(st, specs).collect()} == want
+        assert {r.check_id: (r.n, r.k) for r in copy_counts(st, specs).collect()} == want
 
 
 def test_non_finite_numbers_are_set_apart(spark):
@@ -90,3 +88,38 @@ def test_plans_stay_free_of_python_and_cross_joins(spark):
     plan = P.basic_measures(hist, meta, NOW)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
     assert plan.count("Exchange hashpartitioning") == 2  # one for the histogram, one for the columns
+
+
+def stored_as(spark, tables, sampled=()):
+    """A store whose sampled tables were read in half."""
+    assets = [Asset(n, df) for n, df in tables.items()]
+    read = {n: df.limit(df.count() // 2) if n in sampled else df for n, df in tables.items()}
+    hist, meta, metas = histogram_of(spark, assets, read)
+    return Store(spark, {a.label: a for a in assets}, read, {n: n in sampled for n in tables}, hist, meta, metas, NOW)
+
+
+def test_failing_rows_of_float_keys_and_samples_are_those_of_the_full_table(spark):
+    child = spark.range(200).selectExpr("id", "CAST(id AS FLOAT) / 10 AS k", "CASE WHEN id % 40 = 39 THEN 'berlin' ELSE 'Berlin' END AS city")
+    parent = spark.range(110).selectExpr("CAST(id AS FLOAT) / 10 AS k")
+    whole = stored_as(spark, {"c": child, "p": parent})
+    reference = new_spec("foreign_key", "c", "k", params={"parent": "p", "parent_column": "k"})
+    assert failing_rows(whole, reference).count() == 90
+    half = stored_as(spark, {"c": child, "p": parent}, sampled=("c",))
+    assert failing_rows(half, reference).count() == 90
+    assert failing_rows(half, new_spec("casing_variants", "c", "city")).count() == 5
+
+
+def test_column_numbers_never_meet(spark):
+    """A very wide table beside one that cannot be read: every table keeps its own counts."""
+    wide = spark.range(24).select("id", *[F.lit(1).alias(f"c{i}") for i in range(1002)])
+    small = spark.range(7).selectExpr("id AS only_id", "'x' AS t")
+    broken = spark.range(3).selectExpr("IF(id >= 0, raise_error('no'), 1) AS bad")
+    p = profile_assets(spark, [Asset("wide", wide), Asset("broken", broken), Asset("small", small)], ScanOptions(sample_rows=0, now=NOW))
+    assert p.assets["broken"].error and p.assets["small"].column("t").rows == 7 and p.assets["wide"].column("c1001").rows == 24
+
+
+def test_types_do_not_depend_on_the_number_of_values(spark):
+    """Most values are addresses, but the first by text are not."""
+    mails = spark.range(20_000).selectExpr("IF(id < 1100, concat('#', lpad(id, 6, '0')), concat('user', id, '@example.org')) AS mail")
+    p = profile_assets(spark, [Asset("t", mails)], ScanOptions(sample_rows=0, now=NOW)).assets["t"].column("mail")
+    assert p.semantic_type == "email" and p.personal

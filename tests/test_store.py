@@ -7,6 +7,7 @@ from shop import NOW
 
 from plumbline import Asset, ScanOptions, change_checks, change_findings, scan_and_record
 from plumbline.operators import history
+from plumbline.plans.store import record_scan
 from plumbline.operators.findings import list_findings
 from plumbline.sources import sinks
 from plumbline.sources.files import expand_paths, file_assets, guess_delimiter
@@ -138,3 +139,36 @@ def test_report_as_json_lines(spark, tmp_path):
     sinks.write_report({"a": spark.range(2), "b": spark.sql("SELECT 'x' AS y")}, path)
     rows = [json.loads(r.value) for r in spark.read.text(path).collect()]
     assert sorted((r["table"], str(r["row"])) for r in rows) == [("a", "{'id': 0}"), ("a", "{'id': 1}"), ("b", "{'y': 'x'}")]
+
+
+def test_a_scan_recorded_twice_and_two_batches_in_one_second_keep_every_row(spark, tmp_path):
+    root = str(tmp_path / "twice")
+    scan, first = scan_and_record(spark, invoices(spark, True), root, "s0", ScanOptions(sample_rows=0, now=NOW))
+    again = record_scan(scan, root)
+    scan.release()
+    assert again == first and len(sinks.snapshots(spark, root, "findings")) == 1
+    state = sinks.read_snapshot(spark, root, "findings").filter(F.col("check_id") == CHECK).first()
+    assert (state.status, state.occurrences) == ("open", 1)
+    assert sinks.read_table(spark, root, "finding_events").count() == 1
+    checks = sinks.read_snapshot(spark, root, "checks").collect()
+    at = datetime(2026, 11, 1)
+    schema = "check_id string, action string, version bigint, actor string, at timestamp_ntz"
+    c = next(c for c in checks if c.status == "proposed")
+    for stale in (0, 1):  # the second batch comes too late, but is a snapshot of its own
+        assert change_checks(spark, root, spark.createDataFrame([(c.check_id, "approve", c.version, "ana", at)], schema), at).count() == stale
+    after = sinks.read_snapshot(spark, root, "checks").collect()
+    assert len(after) == len(checks) and len(sinks.snapshots(spark, root, "checks")) == 3
+
+
+def test_a_writer_whose_base_has_moved_on_is_refused(spark, tmp_path):
+    root = str(tmp_path / "race")
+    one = sinks.write_snapshot(spark.range(2), root, "findings", "a", None)
+    sinks.write_snapshot(spark.range(3), root, "findings", "b", one)
+    with pytest.raises(RuntimeError):
+        sinks.write_snapshot(spark.range(9), root, "findings", "c", one)
+    assert sinks.read_snapshot(spark, root, "findings").count() == 3 and len(sinks.snapshots(spark, root, "findings")) == 2
+
+
+def test_more_points_than_are_served_are_refused(spark):
+    with pytest.raises(ValueError):
+        history.score_history(spark.range(0).selectExpr("'a' AS asset", "'s' AS scan_id"), spark.range(0), limit=101)
