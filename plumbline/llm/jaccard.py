@@ -5,7 +5,7 @@ documents that are all at distance 1 from each other and from every pivot, as un
 everybody. So the regions at the root come from shared shingles, which is exact: two sets within the threshold share one of the
 first shingles of both in any common order. Inside a root region texts are alike, distances vary, and pivots do cut.
 
-1. Shingle sets; equal sets are one node. The order puts the corpus' most frequent shingles last, the rest by hash.
+1. Shingle sets; equal sets are one node. The order puts the corpus' most frequent shingles last, by count, the rest by hash.
 2. Each set's prefix meets others by shingle: pairs with a count of shared shingles, where a bound on that count drops most
    pairs without reading their sets. A shingle with more than BUCKET sets gives a star to its least set instead of pairs.
 3. Connected components of what is left are the root regions; each set is sent to its own region once.
@@ -35,7 +35,6 @@ from plumbline.session import cut_lineage
 SIZE = 5
 PERCENT = 75
 FREQUENT = 1 << 20
-LOOKED_AT = 0.4
 BUCKET = 24
 LEAF = 1024
 PIVOTS = 32
@@ -83,17 +82,15 @@ def _named(df: DataFrame, doc_id: str, text: str, size: int, percent: int, bucke
     docs = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     docs = docs.select(row_key("id", "text").alias("row"), "id", "text")
     frequent = _frequent(docs, size, bucket)
-    sets = stored(docs.mapInArrow(_prefixes(frequent, size, percent), "row long, id long, n long, k1 long, k2 long, prefix array<long>, common array<long>"))
-    key = ["n", "k1", "k2"]
-    classes = stored(sets.where("n > 0").groupBy(key).agg(F.min("row").alias("node")))
-    first = sets.where("n > 0").join(classes, key).where("row = node").dropDuplicates(["node"])
-    first = stored(first.select("node", "n", "prefix", "common"))
+    sets = stored(docs.mapInArrow(_prefixes(frequent, size, percent), "row long, id long, n long, node long, prefix array<long>, common array<long>"))
+    rows = sets.select("row", "id", "n", "node")
 
-    candidates = cut_lineage(_candidates(first, len(frequent[0]), bucket, percent))
+    candidates = cut_lineage(_candidates(sets, len(frequent[0]), bucket, percent))
     regions = components(candidates)
+    # One row stands for all of an equal set.
+    regions = rows.join(regions, "node").groupBy("node", "root").agg(F.min("row").alias("row"))
     members = components(_regions_joined(docs, regions, size, percent, leaf, pivots, levels))
-    tops = classes.join(members, "node", "left").select(*key, F.coalesce("root", "node").alias("top"))
-    return sets.select("row", "id", *key).join(tops, key, "left").select("row", "id", "n", "top")
+    return rows.join(members, "node", "left").select("row", "id", "n", F.when(F.col("n") > 0, F.coalesce("root", "node")).alias("top"))
 
 
 def _set_of(words: np.ndarray, size: int) -> np.ndarray:
@@ -103,8 +100,7 @@ def _set_of(words: np.ndarray, size: int) -> np.ndarray:
 def _frequent(docs: DataFrame, size: int, bucket: int) -> tuple[np.ndarray, np.ndarray]:
     """Up to FREQUENT of the shingles that more than `bucket` texts hold: low halves of their hashes, sorted, and counts.
 
-    They only order shingles: any order gives the same result. Counted are the first LOOKED_AT of every text's shingles by
-    hash, of which prefixes are made."""
+    They only order shingles: any order gives the same result."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = Words(lower=True)
@@ -114,8 +110,7 @@ def _frequent(docs: DataFrame, size: int, bucket: int) -> tuple[np.ndarray, np.n
                 for data, offsets in _texts(batch.column("text").slice(a, b - a)):
                     _, _, hashes, firsts = split.split(data, offsets)
                     for i, j in zip(firsts[:-1], firsts[1:], strict=True):
-                        own = _set_of(hashes[i:j], size)
-                        found.append(own[: int(LOOKED_AT * len(own)) + 1].astype(np.uint32))
+                        found.append(_set_of(hashes[i:j], size).astype(np.uint32))
                 values, counts = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.record_batch([pa.array(values.view(np.int32)), pa.array(counts.astype(np.int32))], names=["s", "c"])
 
@@ -142,15 +137,17 @@ def _counts(own: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndar
 
 
 def _prefixes(frequent: tuple[np.ndarray, np.ndarray], size: int, percent: int):
-    """Per row: set size, two keys of the whole set, and the prefix, with its frequent shingles apart."""
+    """Per row: set size, a hash of the whole set, and the prefix, with its frequent shingles apart.
+
+    Of equal sets in a batch, the first alone has its prefix: an equal set adds no pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = Words(lower=True)
         for batch in batches:
-            done = 0
+            done, seen = 0, set()
             for data, offsets in _texts(batch.column("text")):
                 _, _, hashes, firsts = split.split(data, offsets)
-                sizes, k1, k2, rare, common = [], [], [], [], []
+                sizes, nodes, rare, common = [], [], [], []
                 for i, j in zip(firsts[:-1], firsts[1:], strict=True):
                     own = _set_of(hashes[i:j], size)
                     n = len(own)
@@ -159,30 +156,32 @@ def _prefixes(frequent: tuple[np.ndarray, np.ndarray], size: int, percent: int):
                     cold, hot = own[count == 0], own[count > 0]
                     hot = hot[np.lexsort((hot, count[count > 0]))]
                     sizes.append(n)
-                    k1.append(int(np.sum(mix(own))) if n else 0)
-                    k2.append(int(np.sum(mix(own ^ np.uint64(0x5BF0363543A2F1C7)))) if n else 0)
+                    nodes.append(int(mix(np.array([np.sum(mix(own)) + np.uint64(n)], dtype=np.uint64))[0]) if n else 0)
+                    if nodes[-1] in seen:
+                        length = 0
+                    seen.add(nodes[-1])
                     rare.append(cold[:length])
                     common.append(hot[: max(0, length - len(cold))])
                 part = batch.slice(done, len(offsets) - 1)
                 done += len(offsets) - 1
-                as_long = lambda x: pa.array(np.array(x, dtype=np.uint64).view(np.int64))
+                node = pa.array(np.array(nodes, dtype=np.uint64).view(np.int64))
                 yield pa.record_batch(
-                    [part.column("row"), part.column("id").cast(pa.int64()), pa.array(sizes, pa.int64()), as_long(k1), as_long(k2), list_array(rare, pa.int64()), list_array(common, pa.int64())],
-                    names=["row", "id", "n", "k1", "k2", "prefix", "common"],
+                    [part.column("row"), part.column("id"), pa.array(sizes, pa.int64()), node, list_array(rare, pa.int64()), list_array(common, pa.int64())],
+                    names=["row", "id", "n", "node", "prefix", "common"],
                 )
 
     return run
 
 
-def _candidates(first: DataFrame, n_frequent: int, bucket: int, percent: int) -> DataFrame:
+def _candidates(sets: DataFrame, n_frequent: int, bucket: int, percent: int) -> DataFrame:
     """Edges (a, b) whose components hold every pair that can link."""
-    rare = first.select("node", "n", F.explode("prefix").alias("s"))
+    rare = sets.select("node", "n", F.explode("prefix").alias("s"))
     met = rare.repartition("s").mapInArrow(_met(bucket, percent), "a long, b long, na long, nb long, star boolean")
     need = "ceil({p} * (na + nb) / {q}D - 1e-9) - greatest(ceil({p} * na / 100D - 1e-9), ceil({p} * nb / 100D - 1e-9)) + 1".format(p=percent, q=100 + percent)
     pairs = met.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.max("star").alias("star"))
     pairs = pairs.withColumn("need", F.expr(need))
-    common = first.where(F.size("common") > 0).select("node", F.explode("common").alias("s"))
-    least = common.groupBy("s").agg(F.min("node").alias("least"), F.count("*").alias("c")).where("c > 1").drop("c")
+    common = sets.select("node", F.explode("common").alias("s"))
+    least = common.groupBy("s").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").drop("most")
     # A frequent shingle is known by half its hash, so a few more hashes than frequent shingles can be here.
     stars = join_small(common, least, ["s"], "inner", 2 * n_frequent).where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
     # A pair with frequent shingles in both prefixes may share those: its count is no bound, and its star holds it.
@@ -200,6 +199,8 @@ def _met(bucket: int, percent: int):
         del table
         order = np.lexsort((node, s))
         node, n, s = node[order], n[order], s[order]
+        keep = np.concatenate([[True], (s[1:] != s[:-1]) | (node[1:] != node[:-1])])
+        node, n, s = node[keep], n[keep], s[keep]
         starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
         counts = np.diff(np.append(starts, len(s)))
         place = np.arange(len(s)) - np.repeat(starts, counts)
@@ -239,7 +240,7 @@ def _regions_joined(docs: DataFrame, regions: DataFrame, size: int, percent: int
 
     regions = cut_lineage(regions)
     count = regions.count()
-    here = join_small(docs.withColumnRenamed("row", "node"), regions, ["node"], "inner", count).select("root", "node", "text")
+    here = join_small(docs, regions, ["row"], "inner", count).select("root", "node", "text")
     now = stored(here.mapInArrow(read, "region long, node long, own array<long>").withColumn("open", F.lit(True)))
     links = None
     for level in range(levels + 1):
