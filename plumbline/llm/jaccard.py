@@ -70,11 +70,13 @@ def drop_near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "tex
     rows = named.join(first, "top").groupBy("row").agg(F.max(F.col("row") != F.col("first.row")).alias("gone"), F.count("*").alias("c"))
     marks = stored(rows.where("gone or c > 1"))
     n = marks.count()
-    keyed = df.withColumn("near_row", row_key(doc_id, text))
+    names = df.columns
+    keyed = df.toDF(*[f"c{i}" for i in range(len(names))])
+    keyed = keyed.withColumn("near_row", row_key(*(f"c{names.index(c)}" for c in (doc_id, text))))
     kept = join_small(keyed, marks.select(F.col("row").alias("near_row")), ["near_row"], "left_anti", n)
     # Of rows that repeat as they are, one stays.
     repeated = join_small(keyed, marks.where("not gone").select(F.col("row").alias("near_row")), ["near_row"], "left_semi", n).dropDuplicates(["near_row"])
-    return kept.unionByName(repeated).drop("near_row")
+    return kept.unionByName(repeated).drop("near_row").toDF(*names)
 
 
 def _named(df: DataFrame, doc_id: str, text: str, size: int, percent: int, bucket: int, leaf: int, pivots: int, levels: int) -> DataFrame:
@@ -192,9 +194,10 @@ def _met(bucket: int, percent: int):
     """Pairs of sets that share a shingle, from the rows of whole shingles; stars where more than `bucket` sets do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        if table.num_rows == 0:
+        held = list(batches)
+        if not held:
             return
+        table = pa.Table.from_batches(held)
         node, n, s = (table.column(c).to_numpy() for c in ("node", "n", "s"))
         del table
         order = np.lexsort((node, s))

@@ -9,7 +9,7 @@ epoch, so no task sorts a leaf, and only the range where the prefix ends is summ
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,7 +30,7 @@ def domain_of(source: Column) -> Column:
 
 
 def mix_sources(
-    df: DataFrame, domain: Column | None = None, lang: str = "lang", source: str = "source", doc_id: str = "doc_id", text: str = "text",
+    df: DataFrame, domain: Callable[[Column], Column] = domain_of, lang: str = "lang", source: str = "source", doc_id: str = "doc_id", text: str = "text",
     weights: Mapping[str, Mapping[str, float]] | None = None, fraction: float = FRACTION, epochs: int = EPOCHS, seed: str = SEED,
 ) -> DataFrame:
     """The rows of `df` that the mix takes, with columns epoch, n_tokens, domain, language and origin added under `mix`.
@@ -41,8 +41,12 @@ def mix_sources(
     and sources are leaves called `unknown`. An empty table gives an empty mix.
     """
     weights = weights if weights is not None else {"language": LANGUAGE_WEIGHTS}
+    # Numbered names keep the table's own columns apart from those made here.
+    names = df.columns
+    df = df.toDF(*[f"c{i}" for i in range(len(names))])
+    lang, source, doc_id, text = (f"c{names.index(c)}" for c in (lang, source, doc_id, text))
     leaf = F.struct(
-        (domain if domain is not None else domain_of(F.col(source))).alias("domain"),
+        domain(F.col(source)).alias("domain"),
         F.coalesce(F.col(lang), F.lit(UNKNOWN)).alias("language"), F.coalesce(F.col(source), F.lit(UNKNOWN)).alias("origin"),
     )
     tokens = F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
@@ -57,7 +61,8 @@ def mix_sources(
     at = F.md5(F.concat_ws(":", F.lit(seed), F.col("mix_epoch"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).cast("binary"))
     rows = rows.withColumn("mix_place", at).withColumn("mix_key", F.concat_ws("\x01", "mix_leaf.domain", "mix_leaf.language", "mix_leaf.origin", F.col("mix_epoch").cast("string")))
     ends = ends.select(F.concat_ws("\x01", "domain", "language", "origin", F.col("epoch").cast("string")).alias("mix_key"), F.col("end").alias("mix_end"))
-    return join_small(rows, ends, ["mix_key"], "inner", n_ends).where("mix_place <= mix_end").select(*[F.col(f"`{c}`") for c in df.columns], "mix")
+    chosen = join_small(rows, ends, ["mix_key"], "inner", n_ends).where("mix_place <= mix_end")
+    return chosen.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], "mix")
 
 
 def quotas(leaves: DataFrame, weights: Mapping[str, Mapping[str, float]], budget: float) -> DataFrame:

@@ -184,9 +184,10 @@ def _confirm(window: int):
     """Patterns of the stretches of a part, and, of anchors that are dealt over several parts, the windows that are single here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        if table.num_rows == 0:
+        held = list(batches)
+        if not held:
             return
+        table = pa.Table.from_batches(held)
         h, parts = table.column("h").to_numpy(), table.column("parts").to_numpy()
         words, hashes, owner, at = _windows(table, window)
         order = np.argsort(hashes, kind="stable")
