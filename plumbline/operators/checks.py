@@ -303,14 +303,14 @@ register_check(CheckType(
 # --- generation -------------------------------------------------------------------------------------
 
 
-def generate(asset: AssetProfile, assets: dict[str, AssetProfile], now: datetime) -> list[CheckSpec]:
-    """All checks a table's profile calls for, in registry order."""
+def generate(asset: AssetProfile, assets: dict[str, AssetProfile], parents: dict[str, list[tuple[str, str]]], now: datetime) -> list[CheckSpec]:
+    """All checks a table's profile calls for, in registry order. `parents` are the `parent_keys` of all tables."""
     special = {
         "row_count": lambda c: [make_spec(c, asset.label)],
-        "foreign_key": lambda c: _references(c, asset, assets),
-        "column_order": lambda c: _pairs(c, asset),
+        "foreign_key": lambda c: _references(c, asset, assets, parents),
+        "column_order": lambda c: _ordered_pairs(c, asset),
         "duplicate_rows": lambda c: _row_identity(c, asset),
-        "freshness": lambda c: _feed_age(c, asset, now),
+        "freshness": lambda c: _feeds(c, asset, now),
     }
     out: list[CheckSpec] = []
     for c in _REGISTRY.values():
@@ -337,48 +337,59 @@ def _part_of_tuple(asset: AssetProfile, column: str) -> bool:
     return len(pk) > 1 and column in pk and (column,) not in asset.asset.unique
 
 
-def _references(c: CheckType, asset: AssetProfile, assets: dict[str, AssetProfile]) -> list[CheckSpec]:
-    declared = {fk.column: fk for fk in asset.asset.foreign_keys}
-    out = []
-    for col in asset.columns:
-        if col.non_null == 0:
-            continue
-        fk = declared.get(col.column)
-        if fk is not None and fk.parent in assets:
-            params = {"parent": fk.parent, "parent_column": fk.parent_column, "inferred": False}
-            out.append(make_spec(c, asset.label, col.column, params=params, origin="declared"))
-        elif col.role == "foreign_key" and col.column.lower().endswith("_id"):
-            found = _likely_parent(col.column.lower()[:-3], asset, assets)
-            if found:
-                params = {"parent": found[0], "parent_column": found[1], "inferred": True}
-                out.append(make_spec(c, asset.label, col.column, params=params))
-    return out
+def parent_keys(assets: list[AssetProfile]) -> dict[str, list[tuple[str, str]]]:
+    """Key columns of all tables by the name a reference to them has: `orders.id` and `orders.order_id` under `order_id`.
 
+    Built once for a scan, so that a reference finds its parent without going through the tables."""
+    found: dict[str, list[tuple[str, str]]] = {}
+    for parent in assets:
+        name = parent.asset.name.lower()
+        plurals = (("", ""), ("s", ""), ("es", ""), ("ies", "y"))
+        for stem in dict.fromkeys(name[: len(name) - len(end)] + one for end, one in plurals if name.endswith(end)):
+            for key in (f"{stem}_id", "id"):
+                for col in parent.columns:
+                    if col.role == "key" and col.column.lower() == key:
+                        found.setdefault(f"{stem}_id", []).append((parent.asset.label, col.column))
+    return found
 
-def _likely_parent(stem: str, child: AssetProfile, assets: dict[str, AssetProfile]) -> tuple[str, str] | None:
-    names = {stem, f"{stem}s", f"{stem}es", f"{stem[:-1]}ies"}
-    for label, parent in assets.items():
-        if parent is child or parent.error or parent.asset.name.lower() not in names:
-            continue
-        for col in parent.columns:
-            if col.role == "key" and col.column.lower() in ("id", f"{stem}_id"):
-                return label, col.column
-    return None
-
-
-def _pairs(c: CheckType, asset: AssetProfile) -> list[CheckSpec]:
-    cols = {p.column.lower(): p for p in asset.columns if p.logical_type in (*NUMERIC, *TEMPORAL)}
-    wanted = list(NAMED_PAIRS)
-    for name in cols:
-        wanted += [(name, name[: -len(a)] + b) for a, b in PAIR_SUFFIXES if name.endswith(a)]
-        wanted += [(name, b + name[len(a):]) for a, b in PAIR_PREFIXES if name.startswith(a)]
+
+def _references(c: CheckType, asset: AssetProfile, assets: dict[str, AssetProfile], parents: dict[str, list[tuple[str, str]]]) -> list[CheckSpec]:
+    """Declared references of filled columns, else the first table that a foreign key's name stands for."""
+    rows: dict[str, tuple[str, str, bool]] = {}
+    for col in asset.columns:
+        if col.role == "foreign_key":
+            others = [p for p in parents.get(col.column.lower(), ()) if p[0] != asset.asset.label]
+            rows |= {col.column: (*p, True) for p in others[:1]}
+    rows |= {fk.column: (fk.parent, fk.parent_column, False) for fk in asset.asset.foreign_keys if fk.parent in assets}
     return [
-        make_spec(c, asset.label, columns=(cols[a].column, cols[b].column))
-        for a, b in dict.fromkeys(wanted)
-        if a in cols and b in cols and cols[a].logical_type == cols[b].logical_type
+        make_spec(
+            c, asset.label, col.column, params=dict(zip(("parent", "parent_column", "inferred"), rows[col.column], strict=True)),
+            **({} if rows[col.column][2] else {"origin": "declared"}),
+        )
+        for col in asset.columns
+        if col.non_null and col.column in rows
     ]
 
 
+def _ordered_pairs(c: CheckType, asset: AssetProfile) -> list[CheckSpec]:
+    """Columns of one kind whose names stand for the start and the end of the same thing.
+
+    Every name has a place for each rule it fits, as (kind, rule, what is left of the name); a start and an end meet there."""
+    starts: dict[tuple, str] = {}
+    ends: dict[tuple, str] = {}
+    for col in asset.columns:
+        name, kind = col.column.lower(), col.logical_type
+        if kind not in (*NUMERIC, *TEMPORAL):
+            continue
+        for side, held in ((0, starts), (1, ends)):
+            held |= {(kind, rule): col.column for rule in NAMED_PAIRS if rule[side] == name}
+            held |= {(kind, rule, name.removesuffix(rule[side])): col.column for rule in PAIR_SUFFIXES if name.endswith(rule[side])}
+            held |= {(kind, rule, name.removeprefix(rule[side])): col.column for rule in PAIR_PREFIXES if name.startswith(rule[side])}
+    rank = {rule: n for n, rule in enumerate((*NAMED_PAIRS, *PAIR_SUFFIXES, *PAIR_PREFIXES))}
+    met = sorted((place for place in starts if place in ends), key=lambda place: rank[place[1]])
+    return [make_spec(c, asset.label, columns=pair) for pair in dict.fromkeys((starts[place], ends[place]) for place in met)]
+
+
 def _row_identity(c: CheckType, asset: AssetProfile) -> list[CheckSpec]:
     scalar = tuple(p.column for p in asset.columns if p.logical_type not in NOT_SCALAR)
     return [make_spec(c, asset.label, columns=scalar)] if len(scalar) > 1 else []
@@ -388,16 +399,14 @@ def age_hours(newest_us: int, now: datetime) -> float:
     return (to_micros(now) - newest_us) / 3_600_000_000
 
 
-def _feed_age(c: CheckType, asset: AssetProfile, now: datetime) -> list[CheckSpec]:
-    feeds = [
-        p for p in asset.columns
-        if p.role == "timestamp" and p.max_us is not None
-        and (p.column.lower().endswith(FEED_SUFFIXES) or p.column.lower() in FEED_NAMES)
-    ]
-    if not feeds:
-        return []
-    newest = max(feeds, key=lambda p: p.max_us)
-    age = max(0.0, age_hours(newest.max_us, now))
-    if age > 24 * 365:  # a historical table rather than a feed
+def _feeds(c: CheckType, asset: AssetProfile, now: datetime) -> list[CheckSpec]:
+    """Freshness of the newest feed column: twice its present age, a day at least. A year-old table is no feed."""
+    ages = {
+        p.column: age_hours(p.max_us, now)
+        for p in asset.columns
+        if p.role == "timestamp" and p.max_us is not None and (p.column.lower() in FEED_NAMES or p.column.lower().endswith(FEED_SUFFIXES))
+    }
+    youngest = min(ages, key=ages.get, default=None)
+    if youngest is None or ages[youngest] > 24 * 365:
         return []
-    return [make_spec(c, asset.label, newest.column, params={"max_age_hours": max(24, math.ceil(2 * age))})]
+    return [make_spec(c, asset.label, youngest, params={"max_age_hours": max(24, math.ceil(2 * ages[youngest]))})]

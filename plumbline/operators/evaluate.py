@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
-from functools import partial, reduce
+from functools import cached_property, partial, reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,7 +43,11 @@ class Store:
     now: datetime
 
     def column(self, asset: str, column: str | None) -> ColumnMeta | None:
-        return next((m for m in self.metas if m.asset == asset and m.column == column), None)
+        return self._by_name.get((asset, column))
+
+    @cached_property
+    def _by_name(self) -> dict[tuple[str, str], ColumnMeta]:
+        return {(m.asset, m.column): m for m in reversed(self.metas)}
 
     def full(self, label: str) -> DataFrame:
         return self.assets[label].df
@@ -291,9 +295,9 @@ def copy_counts(store: Store, specs: list[CheckSpec], held: list[DataFrame] | No
     hashes = union_all(
         [_with_keys(store.read[s.asset], s).select(F.lit(i).alias("c"), _row_hash(s).alias("h")) for i, s in enumerate(specs)]
     )
-    repeated = hashes.groupBy("c", "h").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").persist()
-    if held is not None:
-        held.append(repeated)
+    repeated = hashes.groupBy("c", "h").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    if held is not None:  # the caller releases it
+        held.append(repeated.persist())
     suspects = {r.c for r in repeated.select("c").distinct().collect()}
     frames = []
     for i, s in enumerate(specs):

@@ -17,16 +17,16 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..model import Asset, CheckSpec, specs_frame
+from ..model import Asset, CheckSpec, specs_frame, specs_from_rows
 from ..operators import profile as P
-from ..operators.checks import check_types, generate
+from ..operators.checks import check_types, generate, parent_keys
 from ..operators.evaluate import (
     Store, check_results, count_checks_now, drop_weak_candidates, type_frame, union_all,
 )
 from ..operators.examples import choose_checks, examples, failing_values, findings
 from ..operators.health import health_items
 from ..operators.histogram import ColumnMeta, build_histogram, column_meta, meta_frame, text_values, top_values
-from ..operators.lifecycle import missing_reason, reconcile
+from ..operators.lifecycle import not_runnable, reconcile_frames
 from ..operators.quantiles import quantiles
 from ..operators.score import scores
 from ..session import collect_small, instant, local_frame, require_utc, run_together
@@ -40,7 +40,7 @@ TABLES_PER_BATCH = 16
 
 @dataclass(frozen=True)
 class ScanOptions:
-    sample_rows: int = 100_000  # 0 reads every table in full
+    sample_rows: int = 0  # 0 reads every table in full; more draws a sample of larger ones
     seed: int = 42
     by_key: bool = False  # draw samples by key hash, independent of the file layout
     assets: tuple[str, ...] | None = None  # labels or names; all when unset
@@ -326,20 +326,20 @@ def plan_checks(
     profiled: Profiled, saved: list[CheckSpec] | None = None
 ) -> tuple[list[CheckSpec], list[CheckSpec], list[tuple[CheckSpec, str]]]:
     """Generate checks, reconcile them with saved ones: all, the ones to evaluate, the ones that cannot be."""
-    types = check_types()
-    everything, runnable, unable = [], [], []
-    for label, p in profiled.assets.items():
-        if p.error:
-            continue
-        mine = [s for s in saved or [] if s.asset == label]
-        for s in reconcile(generate(p, profiled.assets, profiled.store.now), mine):
-            everything.append(s)
-            reason = missing_reason(s, p, profiled.assets, types)
-            if reason:
-                unable.append((s, reason))
-            else:
-                runnable.append(s)
-    return everything, runnable, unable
+    spark = profiled.store.spark
+    readable = {label: p for label, p in profiled.assets.items() if not p.error}
+    parents = parent_keys(list(readable.values()))
+    fresh = {s.id: s for p in readable.values() for s in generate(p, profiled.assets, parents, profiled.store.now)}
+    kept = [s for s in saved or [] if s.asset in readable]
+    if not kept and len(readable) == len(profiled.assets):
+        return list(fresh.values()), list(fresh.values()), []
+    specs = reconcile_frames(specs_frame(spark, list(fresh.values())), specs_frame(spark, kept)).filter("outcome NOT IN ('retired', 'dropped')").persist()
+    columns = local_frame(spark, [(label, c.column) for label, p in readable.items() for c in p.columns], "asset string, column string")
+    reasons = {r.check_id: r.reason for r in not_runnable(specs, columns, list(check_types())).collect()}
+    place = {check_id: n for n, check_id in enumerate([*fresh, *(s.id for s in kept)])}
+    everything = sorted(specs_from_rows(specs.collect()), key=lambda s: place[s.id])
+    specs.unpersist()
+    return everything, [s for s in everything if s.id not in reasons], [(s, reasons[s.id]) for s in everything if s.id in reasons]
 
 
 def evaluate(profiled: Profiled, specs: list[CheckSpec], options: ScanOptions) -> tuple[DataFrame, list[DataFrame]]:

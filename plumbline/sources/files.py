@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..model import Asset
@@ -57,7 +58,7 @@ def expand_paths(spark: SparkSession, paths: list[str]) -> list[str]:
 
 
 def _first_line(spark: SparkSession, path: str) -> str:
-    row = spark.read.text(path).first()
+    row = spark.read.text(path).select(F.substring("value", 1, 65_536).alias("value")).first()
     return row.value if row else ""
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 def write_tables(tables: dict[str, DataFrame], root: str) -> None:
     """Each table under `root`, replacing only this scan's partition, so that a repeated write is harmless."""
     for name, df in tables.items():
-        writer = df.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer = df.repartition(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         writer.partitionBy("scan_id").parquet(f"{root}/{name}")
 
 
@@ -28,7 +28,7 @@ def write_report(tables: dict[str, DataFrame], path: str) -> None:
     for r in rows[1:]:
         out = out.union(r)
     text = F.concat(F.lit('{"table":"'), "table", F.lit('","row":'), "row", F.lit("}"))
-    out.select(text.alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    out.select(text.alias("value")).repartition(1).write.mode("overwrite").text(path)
 
 
 def _file_system(spark: SparkSession, path: str):

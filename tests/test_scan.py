@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from shop import NOW, assets, frames
 
-from plumbline import Asset, CheckType, SemanticType, failing_rows, new_spec, register_check, register_semantic_type
+from plumbline import Asset, CheckType, failing_rows, new_spec, register_check, register_semantic_type
 from plumbline.functions import semantics
 from plumbline.model import CheckSpec
 from plumbline.operators import checks
@@ -170,7 +170,7 @@ def test_failing_rows_match_the_counts(spark, faulty):
 
 
 def test_registries_accept_new_types(spark):
-    register_semantic_type(SemanticType("sku", "SKU", lambda v: v.rlike("^SKU-[0-9]{5}$")))
+    register_semantic_type("sku", lambda v: v.rlike("^SKU-[0-9]{5}$"), label="SKU")
     register_check(CheckType("even", "Odd numbers", "validity", "value", "are odd in", "Look.", applies=lambda c: c.column == "code",
                              fail=lambda v, p: v.number % 2 != 0))
     try:
