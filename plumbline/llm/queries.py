@@ -39,7 +39,8 @@ def op4_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_find_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_pii(documents(spark, sf_dir))
+    found = find_pii(documents(spark, sf_dir))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_other")
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
