@@ -36,7 +36,7 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix by domain, language and source weights; a document is there once for each epoch that takes it."""
-    return mix_sources(docs).drop("mix")
+    return mix_sources(docs, into=None)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

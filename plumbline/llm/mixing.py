@@ -31,9 +31,10 @@ def domain_of(source: Column) -> Column:
 
 def mix_sources(
     df: DataFrame, domain: Callable[[Column], Column] = domain_of, lang: str = "lang", source: str = "source", doc_id: str = "doc_id", text: str = "text",
-    weights: Mapping[str, Mapping[str, float]] | None = None, fraction: float = FRACTION, epochs: int = EPOCHS, seed: str = SEED,
+    weights: Mapping[str, Mapping[str, float]] | None = None, fraction: float = FRACTION, epochs: int = EPOCHS, seed: str = SEED, into: str | None = "mix",
 ) -> DataFrame:
-    """The rows of `df` that the mix takes, with columns epoch, n_tokens, domain, language and origin added under `mix`.
+    """The rows of `df` that the mix takes, with epoch, n_tokens, domain, language and origin as fields of the column `into`, which
+    takes the place of one of that name; with None, the table's own columns alone.
 
     `weights` has a mapping for any of domain, language and origin (the source); what it does not name weighs 1. The budget is
     `fraction` of all tokens (words between blanks). A row is given once in each epoch that reaches it; rows with equal ids
@@ -62,7 +63,8 @@ def mix_sources(
     rows = rows.withColumn("mix_place", at).withColumn("mix_key", F.concat_ws("\x01", "mix_leaf.domain", "mix_leaf.language", "mix_leaf.origin", F.col("mix_epoch").cast("string")))
     ends = ends.select(F.concat_ws("\x01", "domain", "language", "origin", F.col("epoch").cast("string")).alias("mix_key"), F.col("end").alias("mix_end"))
     chosen = join_small(rows, ends, ["mix_key"], "inner", n_ends).where("mix_place <= mix_end")
-    return chosen.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], "mix")
+    added = [] if into is None else [F.col("mix").alias(into)]
+    return chosen.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names) if c != into], *added)
 
 
 def quotas(leaves: DataFrame, weights: Mapping[str, Mapping[str, float]], budget: float) -> DataFrame:
