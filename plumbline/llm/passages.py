@@ -47,7 +47,7 @@ def drop_repeated_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "t
     flagged = stored(_repeated_anchors(first, dealt))
 
     whole = flagged.where("c > 1").select("rid", F.col("a").alias("low"), F.expr(f"a + m + {window - 1}").alias("high"))
-    asked = flagged.where("c = 1 or (singles > 0 and first.rid = rid and first.a = a)")
+    asked = flagged.where("c = 1 or (singles > 0 and leads)")
     asked = asked.groupBy("rid").agg(F.collect_list(F.struct("h", "parts", "a", "m")).alias("asked"))
     stretches = stored(docs.select("rid", "text").join(asked, "rid").mapInArrow(_stretches(window), "h long, parts int, rid long, a int, code binary"))
     located = _located(stretches, window)
@@ -139,12 +139,13 @@ def anchors(hashes: np.ndarray, firsts: np.ndarray, window: int) -> tuple[np.nda
 
 
 def _repeated_anchors(first: DataFrame, dealt: int) -> DataFrame:
-    """Stretches whose anchor occurs again: with the count of equal stretches, and the first of them."""
+    """Stretches whose anchor occurs again: with the count of equal stretches, and whether it leads them."""
     stretch = first.select("rid", F.explode(F.arrays_zip("h", "sh", "a", "m")).alias("x")).select("rid", "x.*")
     kinds = stretch.groupBy("h", "sh").agg(F.count("*").alias("c"), F.min(F.struct("rid", "a")).alias("first"))
     totals = kinds.groupBy("h").agg(F.sum("c").alias("total"), F.count_if(F.col("c") == 1).alias("singles"), F.count("*").alias("kinds")).where("total > 1")
     kinds = kinds.join(totals, "h").select("h", "sh", "c", "first", "singles", F.ceil(F.col("kinds") / dealt).cast("int").alias("parts"))
-    return stretch.join(kinds, ["h", "sh"])
+    leads = (F.col("first.rid") == F.col("rid")) & (F.col("first.a") == F.col("a"))
+    return stretch.join(kinds, ["h", "sh"]).select("rid", "h", "a", "m", "c", "singles", "parts", leads.alias("leads"))
 
 
 def _stretches(window: int):
