@@ -180,7 +180,8 @@ def test_registries_accept_new_types(spark):
         assert s.profiled.assets["t"].column("item").semantic_type == "sku"
     finally:
         checks._REGISTRY.pop("even")
-        semantics._REGISTRY.pop("sku")
+        semantics.FACTS.pop("sku")
+        semantics.TESTS.pop("sku")
 
 
 def test_masked_values_do_not_leak(faulty):
