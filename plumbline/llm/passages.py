@@ -6,8 +6,8 @@ Equal windows have equal anchors at equal places, so a window can repeat only wh
 
 1. The windows that share an anchor's place make a stretch. Stretches that occur twice as they are repeat as a whole.
 2. Of the others whose anchor repeats, the windows that repeat are confirmed among all stretches of that anchor; an anchor with
-   very many is dealt out, and what is not confirmed in one part is counted over all parts.
-3. The first and last window of every confirmed run are patterns. Patterns are sharded by anchor; each shard is compiled into
+   very many is dealt out, and all its windows are counted over the parts.
+3. The first and last window of every confirmed run are patterns, and so are windows that several parts hold. Patterns are sharded by anchor; each shard is compiled into
    an Aho-Corasick automaton over words, and all stretches of the shard's anchors stream through it in as many tasks as their
    number asks for. Patterns and texts are compared by 52 bits a word.
 4. A text's removed words are the union of what was located.
@@ -182,7 +182,7 @@ def _windows(table: pa.Table, window: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def _confirm(window: int):
-    """Patterns of the stretches of a part, and, of anchors that are dealt over several parts, the windows that are single here."""
+    """Patterns of the stretches of a part, and, of anchors that are dealt over several parts, every other window once a part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
@@ -200,7 +200,8 @@ def _confirm(window: int):
         again[order] = twin
         joined = again[1:] & again[:-1] & (owner[1:] == owner[:-1])
         edge = again & ~(np.concatenate([[False], joined]) & np.concatenate([joined, [False]]))
-        for pick, settled in ((np.flatnonzero(edge), True), (np.flatnonzero(~again & (parts[owner] > 1)), False)):
+        # A window inside a run here may be single in another part, which then needs it as a pattern.
+        for pick, settled in ((np.flatnonzero(edge), True), (np.flatnonzero(~edge & (parts[owner] > 1)), False)):
             _, one = np.unique(hashes[pick], return_index=True)
             pick = pick[one]
             for i in range(0, len(pick), 20_000):

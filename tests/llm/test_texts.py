@@ -95,6 +95,23 @@ def test_repeated_passages(spark, small, awkward, nothing):
     assert drop_repeated_passages(nothing).collect() == []
 
 
+def test_repeats_of_unequal_extent_around_a_shared_line(spark):
+    rng = random.Random(8)
+    words = lambda n: [rng.choice("abcdefghij") + rng.choice("abcdefghij") for _ in range(n)]
+    rows = []
+    for line in [words(24) for _ in range(4)]:
+        for _ in range(12):
+            before, after = words(22), words(22)
+            for wide in (22, 22, 15):  # the third shares only windows inside the run of the others
+                rows.append((len(rows), " ".join([*words(20), *before[-wide:], *line, *after[:wide], *words(20)])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else few parts end up in one task
+    try:
+        assert ordered(drop_repeated_passages(df, dealt=1).collect()) == without_repeats(rows)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 # --- repetition rules -------------------------------------------------------------------------------
 
 
