@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -139,8 +139,8 @@ def _as_edges(seen: dict[tuple[str, int], bool]) -> pa.RecordBatch:
     )
 
 
-def learned_patterns(rows: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE, most: int = PATTERNS) -> list[str]:
-    """Patterns of high confidence, the `most` best of them. Patterns and instances are scored in turn, `rounds` times, over all texts."""
+def learned_patterns(rows: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+    """All patterns of high confidence, as rows. Patterns and instances are scored in turn, `rounds` times, over all texts."""
     edges = stored(rows.select("text").mapInArrow(_edges, "pattern string, instance long, seed boolean").groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))
     belief = edges.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("belief"))
     good = None
@@ -151,35 +151,72 @@ def learned_patterns(rows: DataFrame, rounds: int = ROUNDS, support: int = SUPPO
             by_pattern = edges.join(good, "pattern", "left")
             doubt = F.sum(F.log1p(-F.least(F.coalesce("confidence", F.lit(0.0)), F.lit(0.99))))
             belief = by_pattern.groupBy("instance").agg(F.greatest(F.max(F.col("seed").cast("double")), 1 - F.exp(doubt)).alias("belief"))
-    best = good.orderBy(F.desc(F.col("confidence") * F.log2("support")), "pattern").limit(most)
-    return [r[0] for r in best.select("pattern").collect()]
+    return good.select("pattern")
 
 
-def all_spans(text: str, patterns: frozenset[str]) -> list[tuple[int, int, int]]:
+def all_spans(text: str, patterns: frozenset[str], found: Iterable[Iterable[int]] = ()) -> list[tuple[int, int, int]]:
+    """Base spans, and the candidate tokens that are in one of `patterns` or listed in `found`."""
     spans = base_spans(text)
+    more = [(s, e, 4) for s, e in found]
     if patterns:
-        more = [(s, e, 4) for s, e in other_tokens(text, spans) if any(p in patterns for p in contexts(text, s, e))]
-        if more:
-            spans = sorted([*spans, *more], key=lambda s: (s[0], s[2]))
+        more += [(s, e, 4) for s, e in other_tokens(text, spans) if any(p in patterns for p in contexts(text, s, e))]
+    if more:
+        spans = sorted([*spans, *more], key=lambda s: (s[0], s[2]))
     return spans
 
 
-def find_pii(df: DataFrame, doc_id: str = "doc_id", text: str = "text", patterns: list[str] | None = None) -> DataFrame:
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Key of the text, pattern, start and end of every candidate token; those of equal texts of a batch once."""
+    for batch in batches:
+        seen: dict[tuple[int, str, int, int], None] = {}
+        for key, value in zip(batch.column("key").to_pylist(), batch.column("text"), strict=True):
+            text = value.as_py()
+            for start, end in other_tokens(text, base_spans(text)) if text else []:
+                seen.update(((key, pattern, start, end), None) for pattern in contexts(text, start, end))
+            if len(seen) > 100_000:
+                yield _as_candidates(seen)
+                seen = {}
+        yield _as_candidates(seen)
+
+
+def _as_candidates(seen: dict[tuple[int, str, int, int], None]) -> pa.RecordBatch:
+    columns = list(zip(*seen, strict=True)) or [(), (), (), ()]
+    return pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int32(), pa.int32()), strict=True)], names=["key", "pattern", "start", "end"])
+
+
+def _searched(df: DataFrame, text: str, patterns: list[str] | None, sent: int) -> tuple[DataFrame, frozenset[str]]:
+    """`df` with a last column of the tokens found by a join, and the patterns to look for in tasks: of more than `sent` none."""
+    rows = df.select(F.col(text).alias("text"))
+    last = "found" + "_" * max(map(len, df.columns))
+    none = F.lit(None).cast("array<array<int>>").alias(last)
+    if patterns is not None:
+        return df.select("*", none), frozenset(patterns)
+    good = learned_patterns(rows)
+    if good.count() <= sent:
+        return df.select("*", none), frozenset(r[0] for r in good.collect())
+    key = F.xxhash64(F.col(text))
+    tokens = rows.select(F.xxhash64("text").alias("key"), "text").mapInArrow(_candidates, "key long, pattern string, start int, end int")
+    tokens = tokens.join(good, "pattern").select("key", "start", "end").distinct()
+    found = tokens.groupBy(F.col("key").alias(f"{last}_key")).agg(F.collect_list(F.array("start", "end")).alias(last))
+    return df.select("*", key.alias(f"{last}_key")).join(found, f"{last}_key", "left").drop(f"{last}_key"), frozenset()
+
+
+def find_pii(df: DataFrame, doc_id: str = "doc_id", text: str = "text", patterns: list[str] | None = None, sent: int = PATTERNS) -> DataFrame:
     """Counts and spans of personal data in every row: n_email, n_ip, n_card, n_phone (the base), n_other (by learned patterns),
     base_sha256 of the base spans and `spans`, all spans as kind:start:end in code points, by start, then kind.
 
-    `patterns` are learned from these rows where none are given. Null and empty texts have no span. Rows repeat and ids may be
+    `patterns` are learned from these rows where none are given; up to `sent` of them go to every task, more are joined with the
+    tokens. Only tokens of LEAST_TOKEN characters or more that hold a digit can be `other`. Null and empty texts have no span. Rows repeat and ids may be
     null: each row is searched alone.
     """
-    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    known = frozenset(patterns if patterns is not None else learned_patterns(rows))
+    rows, known = _searched(df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), "text", patterns, sent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: list[list[int]] = [[] for _ in KINDS]
             shas, joined = [], []
-            for value in batch.column("text"):
-                spans = all_spans(value.as_py() or "", known)
+            for value, found in zip(batch.column("text"), batch.column(2).to_pylist(), strict=True):
+                spans = all_spans(value.as_py() or "", known, found or ())
                 texts = [f"{KINDS[k]}:{s}:{e}" for s, e, k in spans]
                 for kind, held in enumerate(counts):
                     held.append(sum(k == kind for _, _, k in spans))
@@ -193,25 +230,25 @@ def find_pii(df: DataFrame, doc_id: str = "doc_id", text: str = "text", patterns
     return rows.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, n_other long, base_sha256 string, spans string")
 
 
-def redact_pii(df: DataFrame, text: str = "text", patterns: list[str] | None = None) -> DataFrame:
+def redact_pii(df: DataFrame, text: str = "text", patterns: list[str] | None = None, sent: int = PATTERNS) -> DataFrame:
     """`df` with each span of personal data replaced by its kind, as in `<EMAIL>`; overlapping spans are one, of the first's kind.
 
     All other columns stay. Null texts stay null."""
-    rows = df.select(F.col(text).alias("text"))
-    known = frozenset(patterns if patterns is not None else learned_patterns(rows))
+    rows, known = _searched(df, text, patterns, sent)
     at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for value in batch.column(at):
+            for value, found in zip(batch.column(at), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
                 whole = value.as_py()
                 parts, done, held = [], 0, 0
-                for start, end, kind in all_spans(whole, known) if whole else []:
+                for start, end, kind in all_spans(whole, known, found or ()) if whole else []:
                     if start >= held:
                         parts += [whole[done:start], f"<{KINDS[kind].upper()}>"]
                     done = held = max(held, end)
                 out.append("".join([*parts, whole[done:]]) if parts else whole)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(out, batch.schema.field(at).type), *batch.columns[at + 1 :]], schema=batch.schema)
+            columns = [*batch.columns[:at], pa.array(out, batch.schema.field(at).type), *batch.columns[at + 1 : -1]]
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema.remove(batch.num_columns - 1))
 
-    return df.mapInArrow(run, df.schema)
+    return rows.mapInArrow(run, df.schema)

@@ -195,6 +195,19 @@ def test_patterns_find_identifiers_of_another_form(spark, awkward, nothing):
     assert pii.find_pii(nothing).collect() == [] and pii.redact_pii(nothing).collect() == []
 
 
+def test_every_learned_pattern_counts(spark, awkward, small):
+    people = [(10 * i + j, f"note{i} alpha write{'abc'[i]} user{i}{j}@mail.example soon") for i in range(3) for j in range(8)]
+    people += [(100 + i, f"note{i} alpha write{'abc'[i]} agent-00{i}/x soon") for i in (0, 1, 2)] * 2 + [(None, None), (None, "")]
+    df = spark.createDataFrame(people, "doc_id long, text string").repartition(3)
+    assert pii.learned_patterns(df).count() > 1
+    for sent in (1, 10_000):
+        assert sum(r.n_other for r in pii.find_pii(df, sent=sent).collect()) == 6
+        assert pii.redact_pii(df, sent=sent).where("text like '%<OTHER>%'").count() == 6
+        assert pii.redact_pii(awkward, sent=sent).columns == awkward.columns
+    assert ordered(pii.find_pii(small, sent=0).collect()) == ordered(pii.find_pii(small).collect())
+    assert ordered(pii.redact_pii(small, sent=0).collect()) == ordered(pii.redact_pii(small).collect())
+
+
 # --- classifiers ------------------------------------------------------------------------------------
 
 
