@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import bucket, row_key
@@ -17,7 +17,7 @@ DIMENSIONS = 4
 GRAMS = (3, 5, 6, 7, 8)
 WINDOW = 4
 PER_CLASS = 1_000
-SAMPLE_CHARS = 12_000
+SAMPLE_CHARS = 12_000_000
 EPOCHS = 25
 RATE = 0.1
 LEAST_PRIOR = 0.3
@@ -198,8 +198,8 @@ def toxicity(
 ) -> DataFrame:
     """doc_id, held_out, score (0 to 1) and predicted of every row, from all its windows of WINDOW words.
 
-    Labels are learned from at most `per_class` rows of each class, by hash, of those whose crc32(doc_id) mod `folds` is not
-    `fold`, and from at most `chars` characters of each; scores read whole texts. A text without a letter (null, empty) has
+    Labels are learned from whole texts of at most `per_class` rows of each class, by hash, of those whose crc32(doc_id) mod
+    `folds` is not `fold`; fewer rows where their texts together exceed `chars` characters, none longer than that alone. A text without a letter (null, empty) has
     score 0, and so has every text when labels of both classes are missing. A null id is not held out; null labels teach
     nothing; repeated rows are scored alike.
     """
@@ -251,10 +251,21 @@ def _fitted(rows: DataFrame, labels: DataFrame, label: str, folds: int, fold: in
     # The ids of the sample are few; a spare half makes up for labels of rows that are not there.
     chosen = [known.where(F.col("y") == y).orderBy("h", "doc_id").limit(per_class + per_class // 2) for y in (0, 1)]
     ids = chosen[0].unionByName(chosen[1]).select("doc_id", "y")
-    sample = rows.join(F.broadcast(ids), "doc_id").select("doc_id", F.substring("text", 1, chars).alias("text"), "y")
-    table = sample.orderBy(F.xxhash64("doc_id", F.lit("toxicity")), row_key("doc_id", "text"), "y").limit(3 * per_class).toArrow()
-    y = table.column("y").to_numpy()
-    keep = np.sort(np.concatenate([np.flatnonzero(y == k)[:per_class] for k in (0, 1)]))
-    if len(np.unique(y[keep])) < 2:
+    sample = rows.join(F.broadcast(ids), "doc_id").withColumn("key", row_key("doc_id", "text"))
+    size = F.coalesce(F.length("text"), F.lit(0))
+    narrow = sample.select(F.xxhash64("doc_id", F.lit("toxicity")).alias("h"), "key", "y", size.alias("size")).where(F.col("size") <= chars)
+    drawn = [_within(narrow.where(F.col("y") == y).orderBy("h", "key").limit(per_class).collect(), chars) for y in (0, 1)]
+    if not all(drawn):
         return None
-    return train(table.column("text").combine_chunks().take(pa.array(keep)), y[keep], counts[1] / (counts[0] + counts[1]))
+    drawn = sorted(drawn[0] + drawn[1])
+    keys = rows.sparkSession.createDataFrame(sorted({(key,) for _, key, _ in drawn}), "key long")
+    texts = sample.join(F.broadcast(keys), "key", "left_semi").select("key", "text").dropDuplicates(["key"]).toArrow()
+    place = {key: i for i, key in enumerate(texts.column("key").to_pylist())}
+    chosen = texts.column("text").combine_chunks().take(pa.array([place[key] for _, key, _ in drawn]))
+    return train(chosen, np.array([y for _, _, y in drawn]), counts[1] / (counts[0] + counts[1]))
+
+
+def _within(found: list[Row], chars: int) -> list[tuple[int, int, int]]:
+    """Hash, key and label of the first rows whose texts together have at most `chars` characters."""
+    held = np.cumsum([r.size for r in found], dtype=np.int64)
+    return [(r.h, r.key, r.y) for r, total in zip(found, held.tolist(), strict=True) if total <= chars]

@@ -18,7 +18,7 @@ from plumbline.llm import langid, pii, repetition
 from plumbline.llm.bpe import decode, digests, encode, read_ranks
 from plumbline.llm.passages import drop_repeated_passages
 from plumbline.llm.ranking import rank_quality
-from plumbline.llm.toxicity import drop_toxic, toxicity
+from plumbline.llm.toxicity import drop_toxic, toxicity, train
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -227,6 +227,20 @@ def test_held_out_toxicity_and_quality(spark, awkward, nothing, labels):
     assert drop_toxic(awkward, few).columns == awkward.columns and drop_toxic(awkward, few.limit(0)).count() == 16
 
 
+def test_toxicity_learns_from_whole_texts(spark, monkeypatch):
+    rng = random.Random(6)
+    words = lambda n: " ".join(rng.choice("abcdefgh") * 2 + rng.choice("abcdefgh") for _ in range(n))
+    late = [words(3_500) + (" zorkly vexing" if i % 2 else "") for i in range(20)]
+    docs = spark.createDataFrame([*enumerate(late), *enumerate(late[:4])], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    taught = []
+    monkeypatch.setattr("plumbline.llm.toxicity.train", lambda texts, y, prior: taught.append(list(zip(texts.to_pylist(), y.tolist(), strict=True))) or train(texts, y, prior))
+    assert toxicity(docs, labels, folds=50, fold=49).count() == 24
+    assert sorted(taught[0]) == sorted((t, i % 2) for rows in (late, late[:4]) for i, t in enumerate(rows))
+    toxicity(docs, labels, folds=50, fold=49, chars=50_000)
+    assert all(t in late for t, _ in taught[1]) and all(0 < sum(len(t) for t, y in taught[1] if y == k) <= 50_000 for k in (0, 1))
+
+
 # --- tokens -----------------------------------------------------------------------------------------
 
 
