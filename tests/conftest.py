@@ -14,10 +14,3 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
-
-
-def one(df, *cols):
-    """The only row of `df` as a tuple."""
-    rows = df.select(*cols).collect() if cols else df.collect()
-    assert len(rows) == 1, rows
-    return tuple(rows[0])

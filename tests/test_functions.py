@@ -1,8 +1,8 @@
 import math
 
 import pytest
-from conftest import one
 from pyspark.sql import functions as F
+from results import one
 
 from plumbline.functions import intervals as I
 from plumbline.functions import semantics as S
