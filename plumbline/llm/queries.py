@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm.bpe import digests, encode, read_ranks
+from plumbline.llm.collocations import collocations
 from plumbline.llm.common import documents
 from plumbline.llm.imatch import fingerprints
 from plumbline.llm.jaccard import jaccard_join
@@ -65,6 +66,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(encode(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN), ranks)
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_detect_language": op2_detect_language,
@@ -76,4 +81,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_rank_quality": op8_rank_quality,
     "op9_fingerprints": op9_fingerprints,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_phrase_collocations": op11_phrase_collocations,
 }

@@ -52,4 +52,32 @@ summed AS (
 SELECT doc_id, domain, language, origin, CAST(epoch AS INT) AS epoch, n_tokens FROM summed WHERE upto <= part AND part > 0
 """
 
-ORACLE: dict[str, str] = {"op6_mix_sources": MIX}
+FOLDED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+PHRASES = f"""
+WITH pieces AS (
+  SELECT row_number() OVER () AS piece, lang, [w FOR w IN regexp_split_to_array(text, '[\\x20\\x09]+') IF w <> ''] AS words
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(coalesce({FOLDED}, ''), '[.,;:!?\\x0A-\\x0D]')) AS text FROM documents)
+),
+totals AS (SELECT lang, sum(len(words)) AS n FROM pieces GROUP BY lang),
+starts AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM pieces),
+grams AS (SELECT lang, words[i : i + k - 1] AS ws, k, count(*) AS a FROM starts, (SELECT unnest(range(1, 6)) AS k) WHERE i + k - 1 <= len(words) GROUP BY ALL HAVING count(*) >= 100),
+inside AS (
+  SELECT lang, ws, max(a) AS longer
+  FROM (SELECT lang, a, unnest([ws[1 : k - 1], ws[2 : k]]) AS ws FROM grams WHERE k > 2) GROUP BY ALL
+),
+kept AS (SELECT g.* FROM grams g LEFT JOIN inside i USING (lang, ws) WHERE g.k > 1 AND (i.longer IS NULL OR i.longer < g.a)),
+cuts AS (
+  SELECT c.lang, c.ws, c.a, c.cut, l.a AS l, r.a AS r, n, 1000 * c.a::HUGEINT * n::HUGEINT // (l.a::HUGEINT * r.a::HUGEINT) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM kept) c
+  JOIN grams l ON l.lang = c.lang AND l.ws = c.ws[1 : c.cut]
+  JOIN grams r ON r.lang = c.lang AND r.ws = c.ws[c.cut + 1 : c.k]
+  JOIN totals t ON t.lang = c.lang
+),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, ws ORDER BY score, cut) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(ws, ' ')) AS rank, array_to_string(ws, ' ') AS phrase,
+  a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM lowest QUALIFY rank <= 2000
+"""
+
+ORACLE: dict[str, str] = {"op6_mix_sources": MIX, "op11_phrase_collocations": PHRASES}
