@@ -13,6 +13,7 @@ from plumbline.llm.common import documents
 from plumbline.llm.imatch import fingerprints
 from plumbline.llm.jaccard import jaccard_join
 from plumbline.llm.langid import detect_language
+from plumbline.llm.lexical import lexical_search
 from plumbline.llm.mixing import mix_sources
 from plumbline.llm.passages import drop_repeated_passages
 from plumbline.llm.pii import find_pii
@@ -70,6 +71,10 @@ def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(documents(spark, sf_dir))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_detect_language": op2_detect_language,
@@ -82,4 +87,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_fingerprints": op9_fingerprints,
     "op10_byte_bpe": op10_byte_bpe,
     "op11_phrase_collocations": op11_phrase_collocations,
+    "op13_lexical_search": op13_lexical_search,
 }

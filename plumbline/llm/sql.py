@@ -80,4 +80,26 @@ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, a
 FROM lowest QUALIFY rank <= 2000
 """
 
-ORACLE: dict[str, str] = {"op6_mix_sources": MIX, "op11_phrase_collocations": PHRASES}
+SEARCH = f"""
+WITH terms AS (
+  SELECT doc_id, unnest(regexp_extract_all(coalesce({FOLDED}, ''), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+  FROM documents
+),
+tfs AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY ALL),
+sizes AS (SELECT doc_id, sum(tf) AS n FROM tfs GROUP BY doc_id),
+whole AS (SELECT count(*) AS docs, sum(n) AS length FROM sizes),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM tfs GROUP BY term), whole),
+wanted AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(coalesce({FOLDED}, ''), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+  FROM benchmark
+),
+scored AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * CAST(10 + (90 * n * docs) // length AS BIGINT)))) AS score
+  FROM wanted JOIN weights USING (term) JOIN tfs USING (term) JOIN sizes USING (doc_id), whole
+  GROUP BY ALL HAVING score > 0
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, CAST(score AS BIGINT) AS score
+FROM scored QUALIFY rank <= 10
+"""
+
+ORACLE: dict[str, str] = {"op6_mix_sources": MIX, "op11_phrase_collocations": PHRASES, "op13_lexical_search": SEARCH}
