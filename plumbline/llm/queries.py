@@ -19,6 +19,7 @@ from plumbline.llm.passages import drop_repeated_passages
 from plumbline.llm.pii import find_pii
 from plumbline.llm.ranking import rank_quality
 from plumbline.llm.repetition import repetition_rules
+from plumbline.llm.sharding import shard_rows
 from plumbline.llm.toxicity import toxicity
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -71,6 +72,10 @@ def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(documents(spark, sf_dir))
 
 
+def op12_shard_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_rows(documents(spark, sf_dir))
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -87,5 +92,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_fingerprints": op9_fingerprints,
     "op10_byte_bpe": op10_byte_bpe,
     "op11_phrase_collocations": op11_phrase_collocations,
+    "op12_shard_ring": op12_shard_ring,
     "op13_lexical_search": op13_lexical_search,
 }
