@@ -11,14 +11,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import stored
+from plumbline.llm.common import BROADCAST_ROWS, stored
 from plumbline.llm.fmindex import FmIndex
+from plumbline.llm.words import MULTIPLIER, mix
 
 LEAST = 100
 LONGEST = 5
 PER_LANG = 2_000
 SHARD_BYTES = 6 << 20
 RANKED_ROWS = 100_000
+FAN = 256
 PIECE_BREAK, WORD_BREAK = 10, 32
 SHARDS = "shard long, lang string, n long, seq binary, words array<string>, counts array<int>"
 # A-Z become a-z, every piece break a line feed, every word break a space.
@@ -27,7 +29,7 @@ FOLD = bytes(c + 32 if 65 <= c <= 90 else PIECE_BREAK if chr(c) in ".,;:!?\n\v\f
 
 def collocations(
     df: DataFrame, lang: str = "lang", text: str = "text", least: int = LEAST, longest: int = LONGEST, per_lang: int | None = PER_LANG,
-    shard_bytes: int = SHARD_BYTES,
+    shard_bytes: int = SHARD_BYTES, fan: int = FAN, sent_pairs: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's phrases of 2 to `longest` words that occur `least` times or more.
 
@@ -36,6 +38,10 @@ def collocations(
     lowest cut counts, the shortest first part among equals. Phrases inside a longer one (up to `longest` words) that occurs as
     often are dropped. Ranks are by score, then a, both descending, then phrase; `per_lang` None returns them all.
 
+    Counts of pairs are summed in a tree: `fan` shards' packed counts meet by `fan` ranges of the pairs' hash, their sums meet by
+    `fan` times as many ranges, until one node is left. Up to `sent_pairs` frequent pairs are sent to all shards, more are joined
+    with each shard's own.
+
     A null language is `und`, a null or empty text has no words, repeated rows count each time, a text of any length is cut into
     shards between pieces, an empty table has no phrases. Other columns of `df` are not read.
     """
@@ -47,15 +53,18 @@ def collocations(
     entries = entries.select("shard", "lang", (F.col("place") + 1).alias("place"), F.col("entry.words").alias("word"), F.col("entry.counts").alias("count"))
     words = entries.groupBy("lang", "word").agg(F.sum("count").alias("a")).where(F.col("a") >= least)
     words = stored(words.withColumn("id", F.monotonically_increasing_id() + 1))
-    # What a shard is told: its own numbers of frequent words, then the pairs of them that are frequent everywhere.
+    # What a shard is told: its own numbers of frequent words.
     known = entries.join(words, ["lang", "word"]).select("shard", F.lit(False).alias("pair"), F.col("place").cast("long").alias("x"), F.col("id").alias("y"))
     seqs = shards.select(F.col("shard").alias("home"), "seq")
-    pairs = stored(seqs.groupBy("home").cogroup(known.groupBy("shard")).applyInArrow(_pairs, "shard long, x long, y long, count long"))
-    frequent = pairs.groupBy("x", "y").agg(F.sum("count").alias("a")).where(F.col("a") >= least)
-    counted = [stored(frequent).select(F.array("x", "y").alias("ids"), "a")]
+    frequent = stored(_pair_sums(seqs, known, shards.count(), fan, least))
+    counted = [frequent.select(F.array("x", "y").alias("ids"), "a")]
     if longest > 2:
-        told = pairs.join(counted[0].select(F.col("ids")[0].alias("x"), F.col("ids")[1].alias("y")), ["x", "y"]).select("shard", F.lit(True).alias("pair"), "x", "y")
-        grams = seqs.groupBy("home").cogroup(known.unionByName(told).groupBy("shard")).applyInArrow(_longer(longest), "ids array<long>, count long")
+        if frequent.count() <= sent_pairs:
+            sent = frequent.select("x", "y").toArrow()
+        else:
+            sent, told = None, seqs.groupBy("home").cogroup(known.groupBy("shard")).applyInArrow(_told, "shard long, pair boolean, x long, y long")
+            known = known.unionByName(told.join(frequent.select("x", "y"), ["x", "y"]).select(known.columns))
+        grams = seqs.groupBy("home").cogroup(known.groupBy("shard")).applyInArrow(_longer(longest, sent), "ids array<long>, count long")
         counted.append(stored(grams.groupBy("ids").agg(F.sum("count").alias("a")).where(F.col("a") >= least)))
         counted[1] = counted[1].select("ids", "a")
     phrases = counted[0].unionByName(counted[1]) if longest > 2 else counted[0]
@@ -173,24 +182,107 @@ def _squeezed(seq: np.ndarray) -> np.ndarray:
     return seq[(seq > 0) | (np.roll(seq, 1) > 0)]
 
 
-def _pairs(seq: pa.Table, known: pa.Table) -> pa.Table:
+def _pair_sums(seqs: DataFrame, known: DataFrame, shards: int, fan: int, least: int) -> DataFrame:
+    """x, y, a of the pairs of words that occur `least` times or more in all shards together."""
+    nodes = max(1, -(-shards // fan))
+    packed = seqs.groupBy("home").cogroup(known.groupBy("shard")).applyInArrow(_packed_pairs(nodes, fan), PACKED)
+    depth = 1
+    while nodes > 1:
+        nodes = -(-nodes // fan)
+        packed = packed.groupBy("node", "part").applyInArrow(_merged(fan, depth), PACKED)
+        depth += 1
+    return packed.groupBy("part").applyInArrow(_summed(least), "x long, y long, a long")
+
+
+PACKED = "node long, part long, counts binary"
+PACKED_KIND = pa.schema([("node", pa.int64()), ("part", pa.int64()), ("counts", pa.binary())])
+
+
+def _shard_pairs(seq: pa.Table, known: pa.Table) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """A shard's number, the ids of its pairs of frequent words, and their counts."""
     if len(seq) == 0 or len(known) == 0:
-        return pa.table({c: pa.array([], pa.int64()) for c in ("shard", "x", "y", "count")})
+        return 0, *(np.zeros(0, dtype=np.int64) for _ in range(3))
     number = seq.column("home")[0].as_py()
     seq, ids = _frequent(seq, known)
     *_, (words, count) = FmIndex(seq, 2).ngrams(2)
-    return pa.table({"shard": np.full(len(count), number), "x": ids[words[:, 0]], "y": ids[words[:, 1]], "count": count})
+    return number, ids[words[:, 0]], ids[words[:, 1]], count
+
+
+def _told(seq: pa.Table, known: pa.Table) -> pa.Table:
+    number, x, y, _ = _shard_pairs(seq, known)
+    return pa.table({"shard": np.full(len(x), number), "pair": np.ones(len(x), dtype=bool), "x": x, "y": y})
+
+
+def _dealt(node: int, x: np.ndarray, y: np.ndarray, count: np.ndarray, fan: int, depth: int) -> pa.Table:
+    """One row for each of the fan^depth ranges of the pairs' hash: its pairs in order, packed."""
+    part = mix(x.astype(np.uint64) * np.uint64(MULTIPLIER) + y.astype(np.uint64)) % np.uint64(fan**depth)
+    order = np.lexsort((y, x, part))
+    part, x, y, count = part[order], x[order], y[order], count[order]
+    edges = np.flatnonzero(np.diff(part, prepend=part[:1] + np.uint64(1)))
+    ends = np.append(edges[1:], len(part))
+    blobs = [_squeeze(x[a:b], y[a:b], count[a:b]) for a, b in zip(edges, ends, strict=True)] if len(part) else []
+    return pa.table([pa.array(np.full(len(blobs), node)), pa.array(part[edges].astype(np.int64) if len(part) else []), pa.array(blobs, pa.binary())], schema=PACKED_KIND)
+
+
+def _squeeze(x: np.ndarray, y: np.ndarray, count: np.ndarray) -> bytes:
+    """Sorted pairs as compressed bytes: steps of x, then y, then counts, bytes of equal weight together."""
+    table = np.stack([np.diff(x, prepend=0), y, count]).astype("<i8")
+    return len(x).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(table.view(np.uint8).reshape(3, -1, 8).transpose(0, 2, 1)).tobytes(), "zstd", asbytes=True)
+
+
+def _loosen(blobs: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sums over packed counts of sorted pairs."""
+    tables = []
+    for blob in blobs.to_pylist():
+        n = int.from_bytes(blob[:8], "little")
+        raw = np.frombuffer(pa.decompress(blob[8:], 24 * n, "zstd", asbytes=True), dtype=np.uint8)
+        table = np.ascontiguousarray(raw.reshape(3, 8, n).transpose(0, 2, 1)).view("<i8").reshape(3, n)
+        tables.append(np.stack([np.cumsum(table[0]), table[1], table[2]]))
+    x, y, count = np.concatenate(tables, axis=1)
+    order = np.lexsort((y, x))
+    x, y, count = x[order], y[order], count[order]
+    first = np.flatnonzero((np.diff(x, prepend=-1) != 0) | (np.diff(y, prepend=-1) != 0))
+    return x[first], y[first], np.add.reduceat(count, first)
+
 
+def _packed_pairs(nodes: int, fan: int):
+    def run(seq: pa.Table, known: pa.Table) -> pa.Table:
+        number, x, y, count = _shard_pairs(seq, known)
+        return _dealt(int(mix(np.array([number], dtype=np.uint64))[0] % np.uint64(nodes)), x, y, count, fan, 1)
+
+    return run
+
+
+def _merged(fan: int, depth: int):
+    def run(table: pa.Table) -> pa.Table:
+        return _dealt(table.column("node")[0].as_py() // fan, *_loosen(table.column("counts")), fan, depth + 1)
+
+    return run
+
+
+def _summed(least: int):
+    def run(table: pa.Table) -> pa.Table:
+        x, y, a = _loosen(table.column("counts"))
+        return pa.table({"x": x[a >= least], "y": y[a >= least], "a": a[a >= least]})
+
+    return run
+
+
+def _longer(longest: int, sent: pa.Table | None):
+    """n-grams of three words and more, all of whose pairs are frequent: pairs `sent` to all shards, or told to each its own."""
 
-def _longer(longest: int):
     def run(seq: pa.Table, known: pa.Table) -> pa.Table:
         kind = pa.schema([("ids", pa.list_(pa.int64())), ("count", pa.int64())])
-        pairs = known.filter(known.column("pair"))
-        if len(seq) == 0 or len(pairs) == 0:
+        pairs = known.filter(known.column("pair")) if sent is None else sent
+        if len(seq) == 0 or len(known) == 0 or len(pairs) == 0:
             return kind.empty_table()
         seq, ids = _frequent(seq, known)
         # Between two words that are no frequent pair no longer phrase passes.
-        pair = np.sort(np.searchsorted(ids, pairs.column("x").to_numpy()) * len(ids) + np.searchsorted(ids, pairs.column("y").to_numpy()))
+        x, y = (np.searchsorted(ids, pairs.column(c).to_numpy()) for c in ("x", "y"))
+        here = (ids[np.minimum(x, len(ids) - 1)] == pairs.column("x").to_numpy()) & (ids[np.minimum(y, len(ids) - 1)] == pairs.column("y").to_numpy())
+        pair = np.sort(x[here] * len(ids) + y[here])
+        if len(pair) == 0:
+            return kind.empty_table()
         found = seq[:-1] * len(ids) + seq[1:]
         at = np.minimum(np.searchsorted(pair, found), len(pair) - 1)
         cut = (pair[at] != found) & (seq[:-1] > 0) & (seq[1:] > 0)
