@@ -29,7 +29,7 @@ FOLD = bytes(c + 32 if 65 <= c <= 90 else PIECE_BREAK if chr(c) in ".,;:!?\n\v\f
 
 def collocations(
     df: DataFrame, lang: str = "lang", text: str = "text", least: int = LEAST, longest: int = LONGEST, per_lang: int | None = PER_LANG,
-    shard_bytes: int = SHARD_BYTES, fan: int = FAN, sent_pairs: int = BROADCAST_ROWS,
+    shard_bytes: int = SHARD_BYTES, fan: int = FAN, sent: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's phrases of 2 to `longest` words that occur `least` times or more.
 
@@ -39,8 +39,8 @@ def collocations(
     often are dropped. Ranks are by score, then a, both descending, then phrase; `per_lang` None returns them all.
 
     Counts of pairs are summed in a tree: `fan` shards' packed counts meet by `fan` ranges of the pairs' hash, their sums meet by
-    `fan` times as many ranges, until one node is left. Up to `sent_pairs` frequent pairs are sent to all shards, more are joined
-    with each shard's own.
+    `fan` times as many ranges, until one node is left. Up to `sent` frequent words and pairs are sent to all shards, more are
+    joined with each shard's own.
 
     A null language is `und`, a null or empty text has no words, repeated rows count each time, a text of any length is cut into
     shards between pieces, an empty table has no phrases. Other columns of `df` are not read.
@@ -53,18 +53,18 @@ def collocations(
     entries = entries.select("shard", "lang", (F.col("place") + 1).alias("place"), F.col("entry.words").alias("word"), F.col("entry.counts").alias("count"))
     words = entries.groupBy("lang", "word").agg(F.sum("count").alias("a")).where(F.col("a") >= least)
     words = stored(words.withColumn("id", F.monotonically_increasing_id() + 1))
-    # What a shard is told: its own numbers of frequent words.
-    known = entries.join(words, ["lang", "word"]).select("shard", F.lit(False).alias("pair"), F.col("place").cast("long").alias("x"), F.col("id").alias("y"))
-    seqs = shards.select(F.col("shard").alias("home"), "seq")
-    frequent = stored(_pair_sums(seqs, known, shards.count(), fan, least))
+    told = Told(shards, entries.join(words, ["lang", "word"]).select("shard", F.lit(False).alias("pair"), F.col("place").cast("long").alias("x"), F.col("id").alias("y")))
+    if words.count() <= sent:
+        told.words = words.select("lang", "word", "id").toArrow()
+    frequent = stored(_pair_sums(told, shards.count(), fan, least))
     counted = [frequent.select(F.array("x", "y").alias("ids"), "a")]
     if longest > 2:
-        if frequent.count() <= sent_pairs:
-            sent = frequent.select("x", "y").toArrow()
+        if frequent.count() <= sent:
+            told.pairs = frequent.select("x", "y").toArrow()
         else:
-            sent, told = None, seqs.groupBy("home").cogroup(known.groupBy("shard")).applyInArrow(_told, "shard long, pair boolean, x long, y long")
-            known = known.unionByName(told.join(frequent.select("x", "y"), ["x", "y"]).select(known.columns))
-        grams = seqs.groupBy("home").cogroup(known.groupBy("shard")).applyInArrow(_longer(longest, sent), "ids array<long>, count long")
+            own = told.run(_own_pairs, "shard long, pair boolean, x long, y long").join(frequent.select("x", "y"), ["x", "y"])
+            told = Told(shards, told.known.unionByName(own))
+        grams = told.run(_longer(longest), "ids array<long>, count long")
         counted.append(stored(grams.groupBy("ids").agg(F.sum("count").alias("a")).where(F.col("a") >= least)))
         counted[1] = counted[1].select("ids", "a")
     phrases = counted[0].unionByName(counted[1]) if longest > 2 else counted[0]
@@ -167,11 +167,46 @@ def unpack(blob: bytes) -> np.ndarray:
     return np.frombuffer(pa.decompress(blob[8:], 4 * size, "zstd", asbytes=True), dtype=np.int32).astype(np.int64)
 
 
-def _frequent(seq: pa.Table, known: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+class Told:
+    """The shards and what they are told: their frequent words and, later, pairs. `words` and `pairs` are sent to all; where one
+    of them is too large for that, `known` has rows for each shard, of its place and id of a word or of two ids of a pair."""
+
+    def __init__(self, shards: DataFrame, known: DataFrame) -> None:
+        self.shards, self.known = shards, known
+        self.words: pa.Table | None = None
+        self.pairs: pa.Table | None = None
+
+    def run(self, job, schema: str) -> DataFrame:
+        """`job` of each shard: its number, the sequence of its frequent words numbered from 1, their ids by that number, pairs."""
+        words, pairs = self.words, self.pairs
+        if words is None:
+            def cogrouped(shard: pa.Table, known: pa.Table) -> pa.Table:
+                pair = known.column("pair")
+                mine = known.filter(pair) if pairs is None else pairs
+                known = known.filter(pc.invert(pair))
+                seq = unpack(shard.column("seq")[0].as_py()) if len(shard) else np.zeros(0, dtype=np.int64)
+                return job(shard.column("home")[0].as_py() if len(shard) else 0, *_frequent(seq, known.column("x").to_numpy(), known.column("y").to_numpy()), mine)
+
+            seqs = self.shards.select(F.col("shard").alias("home"), "seq")
+            return seqs.groupBy("home").cogroup(self.known.groupBy("shard")).applyInArrow(cogrouped, schema)
+
+        def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            of_lang = {name: words.filter(pc.equal(words.column("lang"), name)) for name in pc.unique(words.column("lang")).to_pylist()}
+            for batch in batches:
+                for i in range(len(batch)):
+                    shard = {c: batch.column(c)[i] for c in batch.schema.names}
+                    mine = of_lang.get(shard["lang"].as_py())
+                    if mine is not None:
+                        at = pc.index_in(shard["words"].values, value_set=mine.column("word").combine_chunks())
+                        place = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
+                        ids = mine.column("id").take(at.drop_null()).to_numpy()
+                        yield from job(shard["shard"].as_py(), *_frequent(unpack(shard["seq"].as_py()), place + 1, ids), pairs).to_batches()
+
+        return self.shards.select("shard", "lang", "seq", "words").mapInArrow(mapped, schema)
+
+
+def _frequent(seq: np.ndarray, place: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A shard's sequence of frequent words only, numbered from 1 in the order of their ids; the ids by that number."""
-    seq = unpack(seq.column("seq")[0].as_py())
-    known = known.filter(pc.invert(known.column("pair")))
-    place, ids = known.column("x").to_numpy(), known.column("y").to_numpy()
     code = np.zeros(int(max(seq.max(initial=0), place.max(initial=0))) + 1, dtype=np.int64)
     code[place] = np.searchsorted(np.sort(ids), ids) + 1
     return _squeezed(code[seq]), np.concatenate([[0], np.sort(ids)])
@@ -182,10 +217,10 @@ def _squeezed(seq: np.ndarray) -> np.ndarray:
     return seq[(seq > 0) | (np.roll(seq, 1) > 0)]
 
 
-def _pair_sums(seqs: DataFrame, known: DataFrame, shards: int, fan: int, least: int) -> DataFrame:
+def _pair_sums(told: Told, shards: int, fan: int, least: int) -> DataFrame:
     """x, y, a of the pairs of words that occur `least` times or more in all shards together."""
     nodes = max(1, -(-shards // fan))
-    packed = seqs.groupBy("home").cogroup(known.groupBy("shard")).applyInArrow(_packed_pairs(nodes, fan), PACKED)
+    packed = told.run(_packed_pairs(nodes, fan), PACKED)
     depth = 1
     while nodes > 1:
         nodes = -(-nodes // fan)
@@ -198,18 +233,14 @@ PACKED = "node long, part long, counts binary"
 PACKED_KIND = pa.schema([("node", pa.int64()), ("part", pa.int64()), ("counts", pa.binary())])
 
 
-def _shard_pairs(seq: pa.Table, known: pa.Table) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
-    """A shard's number, the ids of its pairs of frequent words, and their counts."""
-    if len(seq) == 0 or len(known) == 0:
-        return 0, *(np.zeros(0, dtype=np.int64) for _ in range(3))
-    number = seq.column("home")[0].as_py()
-    seq, ids = _frequent(seq, known)
+def _shard_pairs(seq: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ids of a shard's pairs of frequent words, and their counts."""
     *_, (words, count) = FmIndex(seq, 2).ngrams(2)
-    return number, ids[words[:, 0]], ids[words[:, 1]], count
+    return ids[words[:, 0]], ids[words[:, 1]], count
 
 
-def _told(seq: pa.Table, known: pa.Table) -> pa.Table:
-    number, x, y, _ = _shard_pairs(seq, known)
+def _own_pairs(number: int, seq: np.ndarray, ids: np.ndarray, pairs: pa.Table | None) -> pa.Table:
+    x, y, _ = _shard_pairs(seq, ids)
     return pa.table({"shard": np.full(len(x), number), "pair": np.ones(len(x), dtype=bool), "x": x, "y": y})
 
 
@@ -246,11 +277,10 @@ def _loosen(blobs: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def _packed_pairs(nodes: int, fan: int):
-    def run(seq: pa.Table, known: pa.Table) -> pa.Table:
-        number, x, y, count = _shard_pairs(seq, known)
-        return _dealt(int(mix(np.array([number], dtype=np.uint64))[0] % np.uint64(nodes)), x, y, count, fan, 1)
+    def job(number: int, seq: np.ndarray, ids: np.ndarray, pairs: pa.Table | None) -> pa.Table:
+        return _dealt(int(mix(np.array([number], dtype=np.uint64))[0] % np.uint64(nodes)), *_shard_pairs(seq, ids), fan, 1)
 
-    return run
+    return job
 
 
 def _merged(fan: int, depth: int):
@@ -268,15 +298,13 @@ def _summed(least: int):
     return run
 
 
-def _longer(longest: int, sent: pa.Table | None):
-    """n-grams of three words and more, all of whose pairs are frequent: pairs `sent` to all shards, or told to each its own."""
+def _longer(longest: int):
+    """n-grams of three words and more, all of whose pairs are frequent."""
 
-    def run(seq: pa.Table, known: pa.Table) -> pa.Table:
+    def job(number: int, seq: np.ndarray, ids: np.ndarray, pairs: pa.Table) -> pa.Table:
         kind = pa.schema([("ids", pa.list_(pa.int64())), ("count", pa.int64())])
-        pairs = known.filter(known.column("pair")) if sent is None else sent
-        if len(seq) == 0 or len(known) == 0 or len(pairs) == 0:
+        if len(seq) == 0 or len(pairs) == 0:
             return kind.empty_table()
-        seq, ids = _frequent(seq, known)
         # Between two words that are no frequent pair no longer phrase passes.
         x, y = (np.searchsorted(ids, pairs.column(c).to_numpy()) for c in ("x", "y"))
         here = (ids[np.minimum(x, len(ids) - 1)] == pairs.column("x").to_numpy()) & (ids[np.minimum(y, len(ids) - 1)] == pairs.column("y").to_numpy())
@@ -298,4 +326,4 @@ def _longer(longest: int, sent: pa.Table | None):
                 tables.append(pa.table([spelt, pa.array(count)], schema=kind))
         return pa.concat_tables(tables)
 
-    return run
+    return job
