@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import bucket, row_key
+from plumbline.llm.common import bucket, row_key, stored
 from plumbline.llm.words import MULTIPLIER, Words, mix, slices, text_bytes
 
 BUCKETS = 1 << 17
@@ -245,21 +245,19 @@ def drop_toxic(
 def _fitted(rows: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, per_class: int, chars: int) -> Model | None:
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("y in (0, 1) and doc_id is not null")
     known = known.where(bucket("doc_id", folds) != fold).withColumn("h", F.xxhash64("doc_id", F.lit("toxicity")))
-    counts = {r[0]: r[1] for r in known.groupBy("y").count().collect()}
+    # Labels count where their documents are; texts stay behind until the rows of the sample are known.
+    size = F.coalesce(F.length("text"), F.lit(0)).alias("size")
+    here = stored(rows.select("doc_id", row_key("doc_id", "text").alias("key"), size).join(known, "doc_id"))
+    counts = {r[0]: r[1] for r in here.groupBy("y").count().collect()}
     if len(counts) < 2:
         return None
-    # The ids of the sample are few; a spare half makes up for labels of rows that are not there.
-    chosen = [known.where(F.col("y") == y).orderBy("h", "doc_id").limit(per_class + per_class // 2) for y in (0, 1)]
-    ids = chosen[0].unionByName(chosen[1]).select("doc_id", "y")
-    sample = rows.join(F.broadcast(ids), "doc_id").withColumn("key", row_key("doc_id", "text"))
-    size = F.coalesce(F.length("text"), F.lit(0))
-    narrow = sample.select(F.xxhash64("doc_id", F.lit("toxicity")).alias("h"), "key", "y", size.alias("size")).where(F.col("size") <= chars)
+    narrow = here.where(F.col("size") <= chars).select("h", "key", "y", "size")
     drawn = [_within(narrow.where(F.col("y") == y).orderBy("h", "key").limit(per_class).collect(), chars) for y in (0, 1)]
     if not all(drawn):
         return None
     drawn = sorted(drawn[0] + drawn[1])
     keys = rows.sparkSession.createDataFrame(sorted({(key,) for _, key, _ in drawn}), "key long")
-    texts = sample.join(F.broadcast(keys), "key", "left_semi").select("key", "text").dropDuplicates(["key"]).toArrow()
+    texts = rows.withColumn("key", row_key("doc_id", "text")).join(F.broadcast(keys), "key", "left_semi").select("key", "text").dropDuplicates(["key"]).toArrow()
     place = {key: i for i, key in enumerate(texts.column("key").to_pylist())}
     chosen = texts.column("text").combine_chunks().take(pa.array([place[key] for _, key, _ in drawn]))
     return train(chosen, np.array([y for _, _, y in drawn]), counts[1] / (counts[0] + counts[1]))

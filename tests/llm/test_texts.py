@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import tiktoken
+import pytest
 from pyspark.sql import functions as F
 from rows import ordered, pairs
 
@@ -264,3 +265,21 @@ def test_tokens_equal_the_library(spark, small, awkward, nothing):
         assert ordered(digests(encode(other, table, public_tokenizers.PATTERN), table).collect()) == want(pairs(other))
     assert encode(nothing, table, public_tokenizers.PATTERN).collect() == []
     assert decode(np.array([0, 1, 2]), np.array([0, 2, 2, 3]), pa.array(table, pa.large_binary())) == [table[0] + table[1], b"", table[2]]
+
+
+def test_labels_of_absent_documents_take_no_place_in_the_sample(spark):
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "calm water runs by the old mill every day").otherwise("you filthy rotten scum go away now please").alias("text"))
+    labels = spark.range(40_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    got = toxicity(docs, labels, per_class=30).collect()
+    assert [r.doc_id for r in got if r.predicted != r.doc_id % 2] == []
+
+
+def test_pieces_come_from_whole_texts_and_languages_are_never_dropped(spark):
+    head = "0123456789 " * 200
+    rows = [(i, head + ("der hund lief durch den wald und " if i % 2 else "the dog ran through a wood and ") * 300, "de" if i % 2 else "en") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    tests = spark.createDataFrame([(1000, "und der hund lief", None), (1001, "and the dog ran", None)], docs.schema)
+    got = {r.doc_id: r.lang_pred for r in langid.detect_language(docs.unionByName(tests)).collect()}
+    assert (got[1000], got[1001]) == ("de", "en")
+    with pytest.raises(ValueError, match="more than 1 languages"):
+        langid.detect_language(docs, languages=1)
