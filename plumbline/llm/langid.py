@@ -10,11 +10,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import bucket
+from plumbline.llm.common import bucket, stored
 from plumbline.llm.words import slices
 
 SLOTS = 48
-SLOT_CHARS = 1_500
+SLOT_CHARS = 500
 LEARNED_CHARS = 24_000
 LANGUAGES = 200
 BLOCK = 256
@@ -80,23 +80,29 @@ class Automaton:
 
 def detect_language(
     df: DataFrame, lang: str = "lang", doc_id: str = "doc_id", text: str = "text", folds: int = 3, fold: int = 1,
-    slots: int = SLOTS, slot_chars: int = SLOT_CHARS, learned_chars: int = LEARNED_CHARS,
+    slots: int = SLOTS, slot_chars: int = SLOT_CHARS, learned_chars: int = LEARNED_CHARS, languages: int = LANGUAGES,
 ) -> DataFrame:
     """doc_id, held_out, lang_pred and score (0 to 1) of every row.
 
     Per language a suffix automaton is built over at most `learned_chars` characters, from up to `slots` rows drawn by hash and
-    `slot_chars` characters of each, of the rows with a language whose crc32(doc_id) mod `folds` is not `fold`. A whole text is
-    cut into longest matches; phrases are counted per character, and the language that needs fewest wins, the first by name
-    among equals. Blocks of BLOCK characters are parsed on their own, so a text of any length is many short columns. The score
-    is one minus the winner's share of the runner-up's phrases (1 with one language). Null texts and texts without a letter
+    `slot_chars` characters of each, from a place drawn by hash, of the rows with a language whose crc32(doc_id) mod `folds` is
+    not `fold`. More than `languages` languages are refused. A whole text is cut into longest matches; each phrase weighs
+    log2 of the language's learned length, and the language with the least sum wins, the first by name among equals. Blocks of
+    BLOCK characters are parsed on their own, so a text of any length is many short columns. The score is one minus the
+    winner's share of the runner-up's sum (1 with one language). Null texts and texts without a letter
     are `und` with score 0, and so is every text when nothing was learned. A null id is not held out; rows repeat as given.
     """
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     held = (F.col("doc_id").isNotNull() & (bucket("doc_id", folds) == fold)).alias("held_out")
     learn = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (bucket("doc_id", folds) != fold))
     drawn = F.xxhash64("doc_id", "text", F.lit("language"))
-    learn = learn.select("lang", F.substring("text", 1, slot_chars).alias("text"), F.pmod(drawn, F.lit(slots)).alias("slot"), drawn.alias("h"))
-    sample = learn.groupBy("lang", "slot").agg(F.min(F.struct("h", "text")).alias("x")).orderBy("slot", "lang").limit(LANGUAGES * slots)
+    # A piece begins anywhere in its text, by hash.
+    start = F.pmod(F.xxhash64("doc_id", "text", F.lit("piece")), F.greatest(F.length("text") - slot_chars + 1, F.lit(1))) + 1
+    learn = learn.select("lang", F.substr("text", start.cast("int"), F.lit(slot_chars)).alias("text"), F.pmod(drawn, F.lit(slots)).alias("slot"), drawn.alias("h"))
+    sample = stored(learn.groupBy("lang", "slot").agg(F.min(F.struct("h", "text")).alias("x")))
+    if sample.select("lang").distinct().limit(languages + 1).count() > languages:
+        raise ValueError(f"the table has more than {languages} languages; raise `languages` where workers have the memory for their automata")
+    sample = sample.orderBy("slot", "lang")
     known: dict[str, list[str]] = {}
     for r in sample.select("lang", "x.text", "slot").toArrow().to_pylist():
         known.setdefault(r["lang"], []).append(r["text"])
@@ -105,10 +111,10 @@ def detect_language(
     if not names:
         return rows.select("doc_id", held, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     alphabet = np.unique(points(pa.array(texts))[0])
-    alphabet = alphabet[alphabet < 0x10000]
     symbols = len(alphabet) + 1
-    code = np.zeros(0x110000, dtype=np.uint8 if symbols < 128 else np.int16).astype(np.int16)
+    code = np.zeros(0x110000, dtype=np.int32)
     code[alphabet] = np.arange(1, symbols)
+    weight = np.log2([len(t) + 1 for t in texts])
     machines = [Automaton(code[points(pa.array([t]))[0]], symbols) for t in texts]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,6 +128,8 @@ def detect_language(
                 letters = pc.match_substring_regex(pc.fill_null(part, ""), r"\p{L}").to_numpy(zero_copy_only=False).astype(bool)
                 # A text's last phrase ends with the text, whichever language.
                 counts += 1
+                # A phrase points into the learned text: the longer that is, the more bits it takes.
+                counts = counts * weight[:, None]
                 best = counts.argmin(axis=0)
                 ordered = np.sort(counts, axis=0)
                 score = 1 - ordered[0] / ordered[1] if len(names) > 1 else np.ones(b - a)
