@@ -38,8 +38,8 @@ def collocations(
     lowest cut counts, the shortest first part among equals. Phrases inside a longer one (up to `longest` words) that occurs as
     often are dropped. Ranks are by score, then a, both descending, then phrase; `per_lang` None returns them all.
 
-    Counts of pairs are summed in a tree: `fan` shards' packed counts meet by `fan` ranges of the pairs' hash, their sums meet by
-    `fan` times as many ranges, until one node is left. Up to `sent` frequent words and pairs are sent to all shards, more are
+    Counts are summed in a tree: `fan` shards' packed counts meet by `fan` ranges of the phrases' hash, their sums meet by `fan`
+    times as many ranges, until one node is left. Up to `sent` frequent words and pairs are sent to all shards, more are
     joined with each shard's own.
 
     A null language is `und`, a null or empty text has no words, repeated rows count each time, a text of any length is cut into
@@ -56,17 +56,16 @@ def collocations(
     told = Told(shards, entries.join(words, ["lang", "word"]).select("shard", F.lit(False).alias("pair"), F.col("place").cast("long").alias("x"), F.col("id").alias("y")))
     if words.count() <= sent:
         told.words = words.select("lang", "word", "id").toArrow()
-    frequent = stored(_pair_sums(told, shards.count(), fan, least))
-    counted = [frequent.select(F.array("x", "y").alias("ids"), "a")]
+    number = shards.count()
+    counted = [stored(_sums(told.run(_packed_pairs(_nodes(number, fan), fan), PACKED), number, fan, least))]
     if longest > 2:
+        frequent = counted[0].select(F.col("ids")[0].alias("x"), F.col("ids")[1].alias("y"))
         if frequent.count() <= sent:
-            told.pairs = frequent.select("x", "y").toArrow()
+            told.pairs = frequent.toArrow()
         else:
-            own = told.run(_own_pairs, "shard long, pair boolean, x long, y long").join(frequent.select("x", "y"), ["x", "y"])
+            own = told.run(_own_pairs, "shard long, pair boolean, x long, y long").join(frequent, ["x", "y"])
             told = Told(shards, told.known.unionByName(own))
-        grams = told.run(_longer(longest), "ids array<long>, count long")
-        counted.append(stored(grams.groupBy("ids").agg(F.sum("count").alias("a")).where(F.col("a") >= least)))
-        counted[1] = counted[1].select("ids", "a")
+        counted.append(stored(_sums(told.run(_longer(longest, _nodes(number, fan), fan), PACKED), number, fan, least)))
     phrases = counted[0].unionByName(counted[1]) if longest > 2 else counted[0]
     return _ranked(_scored(phrases, words, totals), per_lang)
 
@@ -217,68 +216,78 @@ def _squeezed(seq: np.ndarray) -> np.ndarray:
     return seq[(seq > 0) | (np.roll(seq, 1) > 0)]
 
 
-def _pair_sums(told: Told, shards: int, fan: int, least: int) -> DataFrame:
-    """x, y, a of the pairs of words that occur `least` times or more in all shards together."""
-    nodes = max(1, -(-shards // fan))
-    packed = told.run(_packed_pairs(nodes, fan), PACKED)
-    depth = 1
+def _sums(packed: DataFrame, shards: int, fan: int, least: int) -> DataFrame:
+    """ids, a of the phrases that occur `least` times or more in all shards together, from each shard's packed counts."""
+    nodes, depth = _nodes(shards, fan), 1
     while nodes > 1:
         nodes = -(-nodes // fan)
         packed = packed.groupBy("node", "part").applyInArrow(_merged(fan, depth), PACKED)
         depth += 1
-    return packed.groupBy("part").applyInArrow(_summed(least), "x long, y long, a long")
+    return packed.groupBy("part").applyInArrow(_summed(least), "ids array<long>, a long")
+
+
+def _nodes(shards: int, fan: int) -> int:
+    return max(1, -(-shards // fan))
 
 
 PACKED = "node long, part long, counts binary"
 PACKED_KIND = pa.schema([("node", pa.int64()), ("part", pa.int64()), ("counts", pa.binary())])
 
 
-def _shard_pairs(seq: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _shard_pairs(seq: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The ids of a shard's pairs of frequent words, and their counts."""
     *_, (words, count) = FmIndex(seq, 2).ngrams(2)
-    return ids[words[:, 0]], ids[words[:, 1]], count
+    return ids[words], count
 
 
 def _own_pairs(number: int, seq: np.ndarray, ids: np.ndarray, pairs: pa.Table | None) -> pa.Table:
-    x, y, _ = _shard_pairs(seq, ids)
-    return pa.table({"shard": np.full(len(x), number), "pair": np.ones(len(x), dtype=bool), "x": x, "y": y})
-
-
-def _dealt(node: int, x: np.ndarray, y: np.ndarray, count: np.ndarray, fan: int, depth: int) -> pa.Table:
-    """One row for each of the fan^depth ranges of the pairs' hash: its pairs in order, packed."""
-    part = mix(x.astype(np.uint64) * np.uint64(MULTIPLIER) + y.astype(np.uint64)) % np.uint64(fan**depth)
-    order = np.lexsort((y, x, part))
-    part, x, y, count = part[order], x[order], y[order], count[order]
+    words, _ = _shard_pairs(seq, ids)
+    return pa.table({"shard": np.full(len(words), number), "pair": np.ones(len(words), dtype=bool), "x": words[:, 0], "y": words[:, 1]})
+
+
+def _dealt(node: int, words: np.ndarray, count: np.ndarray, fan: int, depth: int) -> pa.Table:
+    """One row for each of the fan^depth ranges of the phrases' hash: its phrases in order, packed."""
+    part = np.zeros(len(words), dtype=np.uint64)
+    for column in words.T:
+        part = part * np.uint64(MULTIPLIER) + column.astype(np.uint64)
+    part = mix(part) % np.uint64(fan**depth)
+    order = np.lexsort((*words.T[::-1], part))
+    part, words, count = part[order], words[order], count[order]
     edges = np.flatnonzero(np.diff(part, prepend=part[:1] + np.uint64(1)))
     ends = np.append(edges[1:], len(part))
-    blobs = [_squeeze(x[a:b], y[a:b], count[a:b]) for a, b in zip(edges, ends, strict=True)] if len(part) else []
-    return pa.table([pa.array(np.full(len(blobs), node)), pa.array(part[edges].astype(np.int64) if len(part) else []), pa.array(blobs, pa.binary())], schema=PACKED_KIND)
+    blobs = [_squeeze(words[a:b], count[a:b]) for a, b in zip(edges, ends, strict=True)] if len(part) else []
+    return pa.table([pa.array(np.full(len(blobs), node), pa.int64()), pa.array(part[edges].astype(np.int64) if len(part) else [], pa.int64()), pa.array(blobs, pa.binary())], schema=PACKED_KIND)
 
 
-def _squeeze(x: np.ndarray, y: np.ndarray, count: np.ndarray) -> bytes:
-    """Sorted pairs as compressed bytes: steps of x, then y, then counts, bytes of equal weight together."""
-    table = np.stack([np.diff(x, prepend=0), y, count]).astype("<i8")
-    return len(x).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(table.view(np.uint8).reshape(3, -1, 8).transpose(0, 2, 1)).tobytes(), "zstd", asbytes=True)
+def _squeeze(words: np.ndarray, count: np.ndarray) -> bytes:
+    """Sorted phrases as compressed bytes: steps of the first word, the other words (0 where there is none), counts, bytes of
+    equal weight together."""
+    table = np.stack([np.diff(words[:, 0], prepend=0), *words.T[1:], count]).astype("<i8")
+    planes = np.ascontiguousarray(table.view(np.uint8).reshape(len(table), -1, 8).transpose(0, 2, 1))
+    return len(words).to_bytes(8, "little") + len(table).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
 
 
-def _loosen(blobs: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The sums over packed counts of sorted pairs."""
+def _loosen(blobs: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The sums over packed counts of sorted phrases."""
     tables = []
     for blob in blobs.to_pylist():
-        n = int.from_bytes(blob[:8], "little")
-        raw = np.frombuffer(pa.decompress(blob[8:], 24 * n, "zstd", asbytes=True), dtype=np.uint8)
-        table = np.ascontiguousarray(raw.reshape(3, 8, n).transpose(0, 2, 1)).view("<i8").reshape(3, n)
-        tables.append(np.stack([np.cumsum(table[0]), table[1], table[2]]))
-    x, y, count = np.concatenate(tables, axis=1)
-    order = np.lexsort((y, x))
-    x, y, count = x[order], y[order], count[order]
-    first = np.flatnonzero((np.diff(x, prepend=-1) != 0) | (np.diff(y, prepend=-1) != 0))
-    return x[first], y[first], np.add.reduceat(count, first)
+        n, k = int.from_bytes(blob[:8], "little"), int.from_bytes(blob[8:16], "little")
+        raw = np.frombuffer(pa.decompress(blob[16:], 8 * k * n, "zstd", asbytes=True), dtype=np.uint8)
+        table = np.ascontiguousarray(raw.reshape(k, 8, n).transpose(0, 2, 1)).view("<i8").reshape(k, n)
+        tables.append(np.vstack([np.cumsum(table[0]), table[1:]]))
+    table = np.concatenate(tables, axis=1)
+    table = table[:, np.lexsort(table[-2::-1])]
+    first = np.flatnonzero((np.diff(table[:-1], axis=1, prepend=-1) != 0).any(axis=0))
+    return table[:-1, first].T, np.add.reduceat(table[-1], first)
+
+
+def _node(number: int, nodes: int) -> int:
+    return int(mix(np.array([number], dtype=np.uint64))[0] % np.uint64(nodes))
 
 
 def _packed_pairs(nodes: int, fan: int):
     def job(number: int, seq: np.ndarray, ids: np.ndarray, pairs: pa.Table | None) -> pa.Table:
-        return _dealt(int(mix(np.array([number], dtype=np.uint64))[0] % np.uint64(nodes)), *_shard_pairs(seq, ids), fan, 1)
+        return _dealt(_node(number, nodes), *_shard_pairs(seq, ids), fan, 1)
 
     return job
 
@@ -292,25 +301,27 @@ def _merged(fan: int, depth: int):
 
 def _summed(least: int):
     def run(table: pa.Table) -> pa.Table:
-        x, y, a = _loosen(table.column("counts"))
-        return pa.table({"x": x[a >= least], "y": y[a >= least], "a": a[a >= least]})
+        words, a = _loosen(table.column("counts"))
+        words, a = words[a >= least], a[a >= least]
+        size = np.count_nonzero(words, axis=1)
+        offsets = np.concatenate([[0], np.cumsum(size)])
+        return pa.table({"ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(words[words > 0], pa.int64())), "a": pa.array(a, pa.int64())})
 
     return run
 
 
-def _longer(longest: int):
-    """n-grams of three words and more, all of whose pairs are frequent."""
+def _longer(longest: int, nodes: int, fan: int):
+    """Packed n-grams of three words and more, all of whose pairs are frequent."""
 
     def job(number: int, seq: np.ndarray, ids: np.ndarray, pairs: pa.Table) -> pa.Table:
-        kind = pa.schema([("ids", pa.list_(pa.int64())), ("count", pa.int64())])
         if len(seq) == 0 or len(pairs) == 0:
-            return kind.empty_table()
+            return PACKED_KIND.empty_table()
         # Between two words that are no frequent pair no longer phrase passes.
         x, y = (np.searchsorted(ids, pairs.column(c).to_numpy()) for c in ("x", "y"))
         here = (ids[np.minimum(x, len(ids) - 1)] == pairs.column("x").to_numpy()) & (ids[np.minimum(y, len(ids) - 1)] == pairs.column("y").to_numpy())
         pair = np.sort(x[here] * len(ids) + y[here])
         if len(pair) == 0:
-            return kind.empty_table()
+            return PACKED_KIND.empty_table()
         found = seq[:-1] * len(ids) + seq[1:]
         at = np.minimum(np.searchsorted(pair, found), len(pair) - 1)
         cut = (pair[at] != found) & (seq[:-1] > 0) & (seq[1:] > 0)
@@ -318,12 +329,8 @@ def _longer(longest: int):
         # Words with a gap on either side are in no pair.
         around = np.concatenate([[0], seq, [0]])
         seq = _squeezed(np.where((around[:-2] > 0) | (around[2:] > 0), seq, 0))
-        tables = []
-        for words, count in FmIndex(seq, longest).ngrams(longest):
-            k = words.shape[1]
-            if k > 2:
-                spelt = pa.ListArray.from_arrays(pa.array(np.arange(0, words.size + 1, k), pa.int32()), pa.array(ids[words].ravel()))
-                tables.append(pa.table([spelt, pa.array(count)], schema=kind))
-        return pa.concat_tables(tables)
+        longer = [(words, count) for words, count in FmIndex(seq, longest).ngrams(longest) if words.shape[1] > 2]
+        words = np.vstack([np.pad(ids[words], ((0, 0), (0, longest - words.shape[1]))) for words, _ in longer])
+        return _dealt(_node(number, nodes), words, np.concatenate([count for _, count in longer]), fan, 1)
 
     return job
