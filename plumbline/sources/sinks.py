@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# A claim is written at once; one that is still empty after this time was left behind.
+CLAIM_SECONDS = 600
+
 # Result tables are one row per table, column or check; one file per scan is enough.
 
 
@@ -56,23 +61,66 @@ def base_of(spark: SparkSession, root: str, name: str, label: str) -> tuple[str
 def write_snapshot(df: DataFrame, root: str, name: str, label: str, base: str | None) -> str:
     """A new snapshot after `base`, never in place of another; returns its name.
 
-    It is written aside and then moved to the number after its base. That number can be claimed once: if another writer has
-    moved on from the same base, this fails and the state stays as it is."""
+    It is written aside, its number is claimed with the name of what was written, and then it is moved to that number. A number
+    can be claimed once: if another writer has moved on from the same base, this fails and the state stays as it is. A writer that
+    died after its claim has written everything, so the next one moves its snapshot into place first (and then fails as above,
+    since the state has changed); a claim that names nothing that is still there is taken over."""
     spark = df.sparkSession
     number = int(base.split("-", 1)[0]) + 1 if base else 1
     folder = f"{root}/state/{name}"
-    aside, fs = _file_system(spark, f"{folder}/pending-{uuid.uuid4().hex}")
+    pending = f"pending-{uuid.uuid4().hex}"
+    aside, fs = _file_system(spark, f"{folder}/{pending}")
     df.write.parquet(aside.toString())
-    claim, _ = _file_system(spark, f"{folder}/claims/{number:012d}")
-    fs.mkdirs(claim.getParent())
-    if not fs.createNewFile(claim):
+    final = f"{number:012d}-{label}"
+    if not _claimed(spark, folder, number, f"{pending} {final}") and (_finish_claim(spark, folder, number) or not _claimed(spark, folder, number, f"{pending} {final}")):
         fs.delete(aside, True)
         raise RuntimeError(f"the {name} have changed since snapshot {base}; read them again")
-    final = f"{number:012d}-{label}"
-    fs.rename(aside, _file_system(spark, f"{folder}/{final}")[0])
+    _moved(spark, folder, pending, final)
     return final
 
 
+def _claimed(spark: SparkSession, folder: str, number: int, content: str) -> bool:
+    """Claim `number` with `content`; False if it is claimed."""
+    claim, fs = _file_system(spark, f"{folder}/claims/{number:012d}")
+    fs.mkdirs(claim.getParent())
+    try:
+        out = fs.create(claim, False)
+    except Py4JJavaError:
+        if fs.exists(claim):
+            return False
+        raise
+    out.writeBytes(content)
+    out.close()
+    return True
+
+
+def _finish_claim(spark: SparkSession, folder: str, number: int) -> bool:
+    """Whether the claim of `number` stands for a snapshot, moved into place if its writer did not. A claim of nothing is removed,
+    an empty one once it is too old to be still in writing."""
+    claim, fs = _file_system(spark, f"{folder}/claims/{number:012d}")
+    stream = fs.open(claim)
+    content = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split(" ", 1)
+    stream.close()
+    if fs.globStatus(_file_system(spark, f"{folder}/{number:012d}-*/_SUCCESS")[0]):
+        return True
+    if len(content) == 2 and fs.exists(_file_system(spark, f"{folder}/{content[0]}/_SUCCESS")[0]):
+        _moved(spark, folder, *content)
+        return True
+    age = time.time() - fs.getFileStatus(claim).getModificationTime() / 1000
+    if len(content) < 2 and age < CLAIM_SECONDS:
+        return True
+    fs.delete(claim, False)
+    return False
+
+
+def _moved(spark: SparkSession, folder: str, pending: str, final: str) -> None:
+    """Move a written snapshot into place; another writer may have done so already."""
+    (source, fs), (target, _) = _file_system(spark, f"{folder}/{pending}"), _file_system(spark, f"{folder}/{final}")
+    if fs.exists(target) or fs.rename(source, target) or fs.exists(target):
+        return
+    raise RuntimeError(f"cannot move {pending} to {final} in {folder}")
+
+
 def read_snapshot(spark: SparkSession, root: str, name: str, snapshot: str | None = None) -> DataFrame | None:
     """A snapshot of a state table, the latest by default; None before the first."""
     if snapshot is None:
