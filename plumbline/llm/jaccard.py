@@ -40,6 +40,7 @@ LEAF = 1024
 PIVOTS = 32
 BALL = 0.5
 LEVELS = 8
+COUNTED_BYTES = 1 << 25
 
 
 def jaccard_join(
@@ -61,11 +62,14 @@ def jaccard_join(
     )
 
 
-def drop_near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+def drop_near_duplicates(
+    df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT, counted_bytes: int = COUNTED_BYTES // 4,
+) -> DataFrame:
     """`df` with one row of each component of the join: the one with the least id, a null id last, then the least text hash.
 
-    Texts without a word are linked with nothing and stay, all of them. All columns stay as they are."""
-    named = stored(_named(df, doc_id, text, size, percent, BUCKET, LEAF, PIVOTS, LEVELS).where("n > 0").select("row", "top", F.col("id").isNull().alias("unnamed"), "id"))
+    Texts without a word are linked with nothing and stay, all of them. All columns stay as they are.
+    Shingles are counted by tasks over `counted_bytes` of text at once: less of it takes less memory beside a pipeline's other stages."""
+    named = stored(_named(df, doc_id, text, size, percent, BUCKET, LEAF, PIVOTS, LEVELS, counted_bytes).where("n > 0").select("row", "top", F.col("id").isNull().alias("unnamed"), "id"))
     first = named.groupBy("top").agg(F.min(F.struct("unnamed", "id", "row")).alias("first"))
     rows = named.join(first, "top").groupBy("row").agg(F.max(F.col("row") != F.col("first.row")).alias("gone"), F.count("*").alias("c"))
     marks = stored(rows.where("gone or c > 1"))
@@ -79,11 +83,11 @@ def drop_near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "tex
     return kept.unionByName(repeated).drop("near_row").toDF(*names)
 
 
-def _named(df: DataFrame, doc_id: str, text: str, size: int, percent: int, bucket: int, leaf: int, pivots: int, levels: int) -> DataFrame:
+def _named(df: DataFrame, doc_id: str, text: str, size: int, percent: int, bucket: int, leaf: int, pivots: int, levels: int, counted_bytes: int = COUNTED_BYTES) -> DataFrame:
     """Row key, id and set size of every row, and `top`, the same for the rows of a component; null without a word."""
     docs = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     docs = docs.select(row_key("id", "text").alias("row"), "id", "text")
-    frequent = _frequent(docs, size, bucket)
+    frequent = _frequent(docs, size, bucket, counted_bytes)
     sets = stored(docs.mapInArrow(_prefixes(frequent, size, percent), "row long, id long, n long, node long, prefix array<long>, common array<long>"))
     rows = sets.select("row", "id", "n", "node")
 
@@ -99,7 +103,7 @@ def _set_of(words: np.ndarray, size: int) -> np.ndarray:
     return np.unique(shingles(words, size))
 
 
-def _frequent(docs: DataFrame, size: int, bucket: int) -> tuple[np.ndarray, np.ndarray]:
+def _frequent(docs: DataFrame, size: int, bucket: int, counted_bytes: int) -> tuple[np.ndarray, np.ndarray]:
     """Up to FREQUENT of the shingles that more than `bucket` texts hold: low halves of their hashes, sorted, and counts.
 
     They only order shingles: any order gives the same result."""
@@ -107,7 +111,7 @@ def _frequent(docs: DataFrame, size: int, bucket: int) -> tuple[np.ndarray, np.n
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = Words(lower=True)
         for batch in batches:
-            for a, b in slices(batch.column("text"), 1 << 25):
+            for a, b in slices(batch.column("text"), counted_bytes):
                 found = [np.zeros(0, np.uint32)]
                 for data, offsets in _texts(batch.column("text").slice(a, b - a)):
                     _, _, hashes, firsts = split.split(data, offsets)
