@@ -10,8 +10,8 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import tiktoken
 import pytest
+import tiktoken
 from pyspark.sql import functions as F
 from rows import ordered, pairs
 
