@@ -116,13 +116,39 @@ def _frequent(docs: DataFrame, size: int, bucket: int) -> tuple[np.ndarray, np.n
                 values, counts = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.record_batch([pa.array(values.view(np.int32)), pa.array(counts.astype(np.int32))], names=["s", "c"])
 
-    counts = docs.select("text").mapInArrow(count, "s int, c int").groupBy("s").agg(F.sum("c").alias("c"))
-    top = counts.where(F.col("c") > bucket).orderBy(F.desc("c"), "s").limit(FREQUENT).toArrow()
+    # Hardly a shingle is in two slices, so an aggregation before the shuffle would fill memory for nothing.
+    dealt = docs.select("text").mapInArrow(count, "s int, c int").repartition("s").sortWithinPartitions("s")
+    counts = dealt.mapInArrow(_summed(bucket), "s int, c long")
+    top = counts.orderBy(F.desc("c"), "s").limit(FREQUENT).toArrow()
     low, many = top.column("s").to_numpy().view(np.uint32), top.column("c").to_numpy()
     order = np.argsort(low)
     return low[order], many[order]
 
 
+def _summed(bucket: int):
+    """Sums of `c` above `bucket` of each `s`, from rows in order of `s`; one batch is held at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, total = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        for batch in batches:
+            s = np.concatenate([last, batch.column("s").to_numpy()])
+            c = np.concatenate([total, batch.column("c").to_numpy()])
+            if len(s) == 0:
+                continue
+            starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+            values, sums = s[starts], np.add.reduceat(c, starts)
+            last, total = values[-1:], sums[-1:]
+            yield _above(values[:-1], sums[:-1], bucket)
+        yield _above(last, total, bucket)
+
+    return run
+
+
+def _above(values: np.ndarray, sums: np.ndarray, bucket: int) -> pa.RecordBatch:
+    keep = sums > bucket
+    return pa.record_batch([pa.array(values[keep], pa.int32()), pa.array(sums[keep], pa.int64())], names=["s", "c"])
+
+
 def _texts(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for a, b in slices(column):
         yield text_bytes(column.slice(a, b - a))

@@ -3,9 +3,10 @@ import re
 from collections import Counter
 from itertools import combinations
 
+import pyarrow as pa
 from rows import ordered, pairs
 
-from plumbline.llm.jaccard import drop_near_duplicates, jaccard_join
+from plumbline.llm.jaccard import _summed, drop_near_duplicates, jaccard_join
 
 
 def sets_of(rows):
@@ -83,3 +84,11 @@ def test_one_of_each_group_stays(awkward, nothing):
     left = pairs(kept)
     assert sorted(i for i, t in left if i is not None) == [1, 3, 4, 5, 6, 7, 8, 10, 11, 12] and len(left) == 12
     assert drop_near_duplicates(nothing).collect() == []
+
+
+def test_counts_are_summed_over_batches():
+    values = [1, 1, 1, 2, 2, 5, 5, 5, 5, 9]
+    rows = [pa.record_batch([pa.array(values[i:j], pa.int32()), pa.array([2] * (j - i), pa.int32())], names=["s", "c"]) for i, j in ((0, 2), (2, 2), (2, 3), (3, 7), (7, 10))]
+    found = [(r["s"], r["c"]) for b in _summed(3)(iter(rows)) for r in b.to_pylist()]
+    assert found == [(1, 6), (2, 4), (5, 8)]
+    assert [b.num_rows for b in _summed(3)(iter([]))] == [0]
