@@ -9,7 +9,7 @@ Equal windows have equal anchors at equal places, so a window can repeat only wh
    very many is dealt out, and all its windows are counted over the parts.
 3. The first and last window of every confirmed run are patterns, and so are windows that several parts hold. Patterns are sharded by anchor; each shard is compiled into
    an Aho-Corasick automaton over words, and all stretches of the shard's anchors stream through it in as many tasks as their
-   number asks for. Patterns and texts are compared by 52 bits a word.
+   number asks for. Patterns and texts are compared by 32 bits a word.
 4. A text's removed words are the union of what was located.
 """
 
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import row_key, stored
+from plumbline.llm.common import join_small, row_key, stored
 from plumbline.llm.words import MULTIPLIER, Words, mix, slices, text_bytes
 
 WINDOW = 35
@@ -48,17 +48,28 @@ def drop_repeated_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "t
 
     whole = flagged.where("c > 1").select("rid", F.col("a").alias("low"), F.expr(f"a + m + {window - 1}").alias("high"))
     asked = flagged.where("c = 1 or (singles > 0 and leads)")
-    asked = asked.groupBy("rid").agg(F.collect_list(F.struct("h", "parts", "a", "m")).alias("asked"))
-    stretches = stored(docs.select("rid", "text").join(asked, "rid").mapInArrow(_stretches(window), "h long, parts int, rid long, a int, code binary"))
+    asked = asked.groupBy("rid").agg(F.collect_set(F.struct("h", "parts", "a", "m")).alias("asked"))
+    texts = _one_of_equal(docs.select("rid", "text"), first)
+    stretches = stored(texts.join(asked, "rid").mapInArrow(_stretches(window), "h long, parts int, rid long, a int, code binary"))
     located = _located(stretches, window)
 
     covered = whole.unionByName(located).groupBy("rid").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
     covered = stored(covered)
-    changed = docs.select("rid", "text").join(covered, "rid").mapInArrow(_removed, "rid long, n_removed long, kept string").dropDuplicates(["rid"])
+    changed = texts.join(covered, "rid").mapInArrow(_removed, "rid long, n_removed long, kept string")
     out = first.select("rid", "doc_id", "n_words", "sha").join(changed, "rid", "left")
     return out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept", "sha").alias("kept_sha256"))
 
 
+def _one_of_equal(texts: DataFrame, first: DataFrame) -> DataFrame:
+    """`texts` with one row of those that repeat as they are; only the texts of these are shuffled."""
+    repeated = stored(first.groupBy("rid").count().where("count > 1").select("rid"))
+    n = repeated.count()
+    if n == 0:
+        return texts
+    alone = join_small(texts, repeated, ["rid"], "left_anti", n)
+    return alone.unionByName(join_small(texts, repeated, ["rid"], "left_semi", n).dropDuplicates(["rid"]))
+
+
 def runs(values: np.ndarray, width: int) -> np.ndarray:
     """A hash of every run of `width` values, whichever text they are from; none where there are fewer values."""
     if len(values) < width:

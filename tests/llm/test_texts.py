@@ -17,7 +17,7 @@ from rows import ordered, pairs
 
 from plumbline.llm import langid, pii, repetition
 from plumbline.llm.bpe import decode, digests, encode, read_ranks
-from plumbline.llm.passages import drop_repeated_passages
+from plumbline.llm.passages import _one_of_equal, drop_repeated_passages
 from plumbline.llm.ranking import rank_quality
 from plumbline.llm.toxicity import drop_toxic, toxicity, train
 
@@ -96,6 +96,15 @@ def test_repeated_passages(spark, small, awkward, nothing):
     assert drop_repeated_passages(nothing).collect() == []
 
 
+def test_rows_that_repeat_are_read_once(spark):
+    text = " ".join(f"w{i}" for i in range(90))
+    rows = [(1, text)] * 40 + [(2, "start " + text + " end"), (3, "alone"), (3, "alone")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    keyed = df.select(F.xxhash64("doc_id", "text").alias("rid"), "text")
+    assert sorted(r.text for r in _one_of_equal(keyed, keyed).collect()) == sorted({text for _, text in rows})
+    assert ordered(drop_repeated_passages(df).collect()) == without_repeats(rows)
+
+
 def test_repeats_of_unequal_extent_around_a_shared_line(spark):
     rng = random.Random(8)
     words = lambda n: [rng.choice("abcdefghij") + rng.choice("abcdefghij") for _ in range(n)]
