@@ -15,7 +15,7 @@ from plumbline.operators import accuracy, examples, findings, history, lifecycle
 from plumbline.operators.checks import new_spec
 from plumbline.operators.evaluate import Store, check_results, count_checks, failing_rows, orphans, type_frame
 from plumbline.operators.health import health_items
-from plumbline.operators.histogram import histogram_value, text_values, top_values
+from plumbline.operators.histogram import distinct_counts, text_values, top_values, value_hashes
 from plumbline.operators.quantiles import quantiles
 from plumbline.plans import scan as plan
 from plumbline.session import local_frame, tune
@@ -51,6 +51,13 @@ def make_store(assets: list[Asset]) -> Store:
     return Store(spark, {a.label: a for a in assets}, read, dict.fromkeys(read, False), hist, meta, metas, NOW)
 
 
+def basic_of(st: Store) -> DataFrame:
+    """The measures of every column: from cells, distinct values by their hashes."""
+    cells = st.cells({m.cid for m in st.metas})
+    scalar = cells.join(F.broadcast(st.meta.filter("slot <> 'opaque'").select("cid")), "cid")
+    return profile.basic_measures(cells, distinct_counts(value_hashes(scalar)), st.meta, NOW)
+
+
 def narrowed(spark: SparkSession, sf_dir: str, columns: dict[str, tuple[str, ...]]) -> Store:
     return make_store([asset(spark, sf_dir, t, c, declared=False) for t, c in columns.items()])
 
@@ -64,7 +71,7 @@ def with_names(df: DataFrame, meta: DataFrame, *columns: str) -> DataFrame:
 
 def profile_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
     st = narrowed(spark, sf_dir, NUMERIC)
-    basic = profile.basic_measures(st.hist, st.meta, NOW)
+    basic = basic_of(st)
     large: list[int] = []
     if max(row_counts(list(st.assets.values())).values()) > profile.SMALL_COLUMN:
         large = profile.large_columns(basic.collect())
@@ -85,14 +92,14 @@ def profile_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def profile_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     st = narrowed(spark, sf_dir, TEXT)
-    rows = profile.basic_measures(st.hist, st.meta, NOW).withColumn("mean_length", F.round("mean_length", 4))
+    rows = basic_of(st).withColumn("mean_length", F.round("mean_length", 4))
     return with_names(rows, st.meta, "rows", "nulls", "distinct", "min_length", "max_length", "mean_length", "whitespace",
                       "non_printing", "blanks", "numeric_like", "date_like", "leading_zero_numbers")
 
 
 def profile_temporal(spark: SparkSession, sf_dir: str) -> DataFrame:
     st = narrowed(spark, sf_dir, TIME)
-    return with_names(profile.basic_measures(st.hist, st.meta, NOW), st.meta, "rows", "nulls", "distinct", "min_us", "max_us",
+    return with_names(basic_of(st), st.meta, "rows", "nulls", "distinct", "min_us", "max_us",
                       "future", "before_1900", "after_2200")
 
 
@@ -143,7 +150,7 @@ def infer_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = [asset(spark, sf_dir, t) for t in (*TABLES, "dirty_customers", "dirty_orders")]
     plain = [Asset(t, table(spark, sf_dir, t), namespace="plain") for t in ("events", "pages", "documents", "conversations")]
     st = make_store(named + plain)
-    basic = profile.basic_measures(st.hist, st.meta, NOW)
+    basic = basic_of(st)
     return st.meta.join(basic, "cid").select("asset", "column", profile.role_expr().alias("role"))
 
 

@@ -1,8 +1,8 @@
 """Counting evaluated and failing rows per check: `(check_id, n, k)` for any number of tables.
 
-Checks on values run over the value histogram, with their parameters joined in as one small row per
-column. References are joined between distinct values, so a hot key is one row on either side. Only
-comparisons between columns and copies of rows read the tables again.
+Checks on values run over cells, with their parameters joined in as one small row per column, and are combined
+where the table is read. Repeated keys are counted by value hashes. References are joined between distinct values, so a
+hot key is one row on either side.
 """
 
 from __future__ import annotations
@@ -22,9 +22,7 @@ from ..functions import text as X
 from ..model import SEVERITIES, Asset, CheckSpec
 from ..session import collect_small, local_frame, run_together
 from .checks import CheckType, age_hours, check_types, spec_id
-from .histogram import ColumnMeta, Value, encode, histogram_value, quote, row_value, slot_letter
-
-# Row hashes that may repeat, up to which they are broadcast to filter the rows to compare.
+from .histogram import ColumnMeta, Value, encode, histogram_value, quote, row_value, slot_letter, value_cells, value_hashes
 
 COUNTS_SCHEMA = "check_id string, n bigint, k bigint"
 
@@ -49,6 +47,14 @@ class Store:
     def _by_name(self) -> dict[tuple[str, str], ColumnMeta]:
         return {(m.asset, m.column): m for m in reversed(self.metas)}
 
+    def cells(self, cids: set[int]) -> DataFrame:
+        """The cells of some columns; the others are not read."""
+        wanted: dict[str, list[ColumnMeta]] = {}
+        for m in self.metas:
+            if m.cid in cids:
+                wanted.setdefault(m.asset, []).append(m)
+        return value_cells([(self.read[label], metas) for label, metas in wanted.items()])
+
     def full(self, label: str) -> DataFrame:
         return self.assets[label].df
 
@@ -60,8 +66,8 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 # --- checks on values -------------------------------------------------------------------------------
 
 
-def value_params(store: Store, specs: list[CheckSpec]) -> tuple[DataFrame, list[CheckType]]:
-    """One row per column with a struct of parameters per check type, null where the check is absent.
+def value_params(store: Store, specs: list[CheckSpec]) -> tuple[DataFrame, list[CheckType], set[int]]:
+    """One row per column with a struct of parameters per check type, null where the check is absent; the types and columns.
 
     The row count is the number of checked columns, so the frame is always broadcast."""
     types = check_types()
@@ -77,7 +83,7 @@ def value_params(store: Store, specs: list[CheckSpec]) -> tuple[DataFrame, list[
     rows = [
         (cid, where[cid].asset, where[cid].column, *[p.get(t.name) for t in used]) for cid, p in by_column.items()
     ]
-    return local_frame(store.spark, rows, schema), used
+    return local_frame(store.spark, rows, schema), used, set(by_column)
 
 
 def _ddl(fields: str) -> str:
@@ -88,13 +94,14 @@ def _struct_fields(t: CheckType) -> list[str]:
     return T._parse_datatype_string(t.fields).names
 
 
-def _value_rows(store: Store, params: DataFrame) -> DataFrame:
+def _value_rows(store: Store, params: DataFrame, cells: DataFrame) -> DataFrame:
+    """Cells or histogram rows of the checked columns with their parameters."""
     slots = store.meta.select("cid", "slot")
-    return store.hist.join(F.broadcast(params.join(slots, "cid")), "cid")
+    return cells.join(F.broadcast(params.join(slots, "cid")), "cid")
 
 
 def _fails(t: CheckType, v: Value) -> Column:
-    """Whether a histogram row fails a value check that is set for its column."""
+    """Whether a cell fails a value check that is set for its column."""
     p = F.col(f"p_{t.name}")
     if t.how == "nulls":
         return p.isNotNull() & ~v.present
@@ -102,18 +109,21 @@ def _fails(t: CheckType, v: Value) -> Column:
 
 
 def value_counts(store: Store, specs: list[CheckSpec]) -> DataFrame:
-    """All value checks of all columns in one grouped aggregate over the histogram."""
-    params, used = value_params(store, specs)
+    """All value checks of all columns: one aggregate over cells, combined before anything is shuffled."""
+    params, used, cids = value_params(store, specs)
     n, v = F.col("n"), histogram_value()
-    rows = _value_rows(store, params)
-    grouped = rows.groupBy("cid").agg(
-        F.first("asset").alias("asset"),
-        F.first("column").alias("column"),
+    cells = store.cells(cids)
+    once, again = [t for t in used if not t.repeats], [t for t in used if t.repeats]
+    # Only fixed-width sums are kept per column, so that the aggregate stays a hash aggregate; names and settings join after it.
+    grouped = _value_rows(store, params, cells).groupBy("cid").agg(
         F.sum("n").alias("rows"),
         F.sum(F.when(v.present, n)).alias("present"),
-        *[F.sum(F.when(_fails(t, v), n - 1 if t.repeats else n)).alias(f"k_{t.name}") for t in used],
-        *[F.first(f"p_{t.name}").isNotNull().alias(f"on_{t.name}") for t in used],
+        *[F.sum(F.when(_fails(t, v), n)).alias(f"k_{t.name}") for t in once],
     )
+    for t in again:
+        grouped = grouped.join(F.broadcast(_repeats(store, t, [s for s in specs if s.type == t.name])), "cid", "left")
+    settings = params.select("cid", "asset", "column", *[F.col(f"p_{t.name}").isNotNull().alias(f"on_{t.name}") for t in used])
+    grouped = grouped.join(F.broadcast(settings), "cid")
     per_check = F.array(
         *[
             F.struct(
@@ -131,6 +141,13 @@ def value_counts(store: Store, specs: list[CheckSpec]) -> DataFrame:
     )
 
 
+def _repeats(store: Store, t: CheckType, specs: list[CheckSpec]) -> DataFrame:
+    """`(cid, k_<type>)`: rows of failing values after the first of each value, counted by value hashes."""
+    params, _, cids = value_params(store, specs)
+    failing = _value_rows(store, params, store.cells(cids)).filter(_fails(t, histogram_value()))
+    return value_hashes(failing).groupBy("cid").agg(F.sum(F.col("n") - 1).alias(f"k_{t.name}"))
+
+
 # --- spelling variants ------------------------------------------------------------------------------
 
 
@@ -347,10 +364,7 @@ def newest_values(store: Store, specs: list[CheckSpec]) -> DataFrame:
     for s in specs:
         age = F.lit(float(s.params["max_age_hours"])).alias("max_age_hours")
         m = store.column(s.asset, s.column)
-        if store.sampled[s.asset]:
-            newest = store.full(s.asset).agg(F.max(encode(F.col(quote(s.column)), m.slot)).alias("newest"))
-        else:
-            newest = store.hist.filter(F.col("cid") == m.cid).agg(F.max("i").alias("newest"))
+        newest = store.full(s.asset).agg(F.max(encode(F.col(quote(s.column)), m.slot)).alias("newest"))
         frames.append(newest.select(F.lit(s.id).alias("check_id"), "newest", age))
     return union_all(frames)
 

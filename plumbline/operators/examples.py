@@ -45,13 +45,13 @@ def failing_values(store: Store, specs: list[CheckSpec]) -> DataFrame:
     frames = []
     single = [s for s in how("value") if s.column]
     if single:
-        params, used = value_params(store, single)
+        params, used, _ = value_params(store, single)
         v = histogram_value()
         failing = [
             F.when(_fails(t, v) & (F.col("n") > 1) if t.repeats else _fails(t, v), F.lit(t.name)) for t in used
         ]
         frames.append(
-            _value_rows(store, params)
+            _value_rows(store, params, store.hist)
             .select("asset", "column", v.text.alias("value"), "n", F.explode(F.array_compact(F.array(*failing))).alias("type"))
             .select(F.concat_ws(":", "type", "asset", "column").alias("check_id"), "value", "n")
         )

@@ -1,9 +1,10 @@
-"""The value histogram: how often each value of each column occurs, for many tables at once.
+"""Cells and the value histogram: the values of each column, for many tables at once.
 
-This is the central intermediate. One pass over a table turns its rows into `(column, value)` pairs
-and counts them with map-side combination, so a value holding a third of all rows is one row per
-task before the shuffle and one row after it. Profiles, checks, examples and references are then
-computed per distinct value, weighted by its count, instead of per row.
+One pass over a table turns its rows into `(column, value)` cells. What is a sum, a count or an extreme (measures,
+value checks) is aggregated from cells per column where the table is read, and nothing but one row per task and column is
+shuffled. What depends on how often a value occurs is counted by value with map-side combination, so a value holding a
+third of all rows is one row per task before the shuffle and one row after it: by a hash of the value where only the
+counts matter, by the value itself where values are shown, inferred from or joined.
 
 A value is kept in one of three typed slots, so nothing is turned into text to be grouped:
 
@@ -156,6 +157,27 @@ def unpivot_columns(df: DataFrame, metas: list[ColumnMeta]) -> DataFrame:
     return reduce(DataFrame.union, parts)
 
 
+def value_cells(frames: list[tuple[DataFrame, list[ColumnMeta]]]) -> DataFrame:
+    """`(cid, s, i, d, n)` with one row per cell of all given tables, `n` being 1: no shuffle."""
+    rows = reduce(DataFrame.union, [unpivot_columns(df, metas) for df, metas in frames if metas])
+    return rows.withColumn("n", F.lit(1).cast("bigint"))
+
+
+def value_hashes(cells: DataFrame, keys: tuple[str, ...] = ("cid",)) -> DataFrame:
+    """`(keys, h, g, n)`: how often each value occurs, the values being two independent 64-bit hashes.
+
+    16 bytes a value are shuffled, however long it is. Two of a million million different values agree in both hashes
+    with a probability below 1e-14."""
+    present = cells.filter(histogram_value().present)
+    slots = [F.col(c) for c in ("s", "i", "d")]
+    return present.groupBy(*keys, F.xxhash64(*slots).alias("h"), F.xxhash64(F.lit("g"), *slots).alias("g")).agg(F.sum("n").alias("n"))
+
+
+def distinct_counts(hashes: DataFrame) -> DataFrame:
+    """`(cid, distinct)` from rows that each stand for one value of a column."""
+    return hashes.groupBy("cid").agg(F.count(F.lit(1)).alias("distinct"))
+
+
 def build_histogram(frames: list[tuple[DataFrame, list[ColumnMeta]]]) -> DataFrame:
     """`(cid, s, i, d, n)` over all given tables: one shuffle for the whole batch."""
     rows = reduce(DataFrame.union, [unpivot_columns(df, metas) for df, metas in frames if metas])

@@ -1,7 +1,7 @@
-"""Column profiles, computed from the value histogram.
+"""Column profiles.
 
-Each measure is a weighted aggregate per column over distinct values. A regular expression runs once per
-distinct value, however many rows hold it.
+Counts, ranges, lengths and text classes are one aggregate per column over cells, combined where the table is read.
+Distinct counts come from value hashes; quantiles, types and shapes from the value histogram.
 """
 
 from __future__ import annotations
@@ -39,24 +39,26 @@ def counted(pred: Column) -> Column:
     return F.coalesce(F.sum(F.when(pred, F.col("n"))), F.lit(0)).cast("bigint")
 
 
-def basic_measures(hist: DataFrame, meta: DataFrame, scan_time: datetime) -> DataFrame:
-    """One row per column: counts, ranges, lengths, text classes and date plausibility."""
+def basic_measures(cells: DataFrame, distinct: DataFrame, meta: DataFrame, scan_time: datetime) -> DataFrame:
+    """One row per column: counts, ranges, lengths, text classes and date plausibility.
+
+    `cells` may be cells or a histogram; `distinct` has a row `(cid, distinct)` for each column with values."""
     v = histogram_value()
     kind = F.col("logical_type")
     is_num, is_text, is_time = kind.isin(*NUMERIC), kind == "text", kind.isin(*TEMPORAL)
-    scalar = ~kind.isin("json", "binary", "other")
+    scalar = ~F.col("logical_type").isin(*NOT_SCALAR)
     x, t, us, n = F.col("_x"), F.col("_t"), F.col("_us"), F.col("n")
     length = F.char_length(t)
     tomorrow = to_micros(scan_time + timedelta(days=1))
-    rows = hist.join(F.broadcast(meta.select("cid", "slot", "logical_type")), "cid").select(
+    rows = cells.join(F.broadcast(meta.select("cid", "slot", "logical_type")), "cid").select(
         "cid", "logical_type", "n", v.number.alias("_x"), v.string.alias("_t"), v.micros.alias("_us"),
         v.present.alias("_p"),
     )
     only = lambda cond, c: F.when(F.first(cond), c)
-    return rows.groupBy("cid").agg(
+    measured = rows.groupBy("cid").agg(
+        F.first(scalar).alias("_scalar"),
         F.sum("n").alias("rows"),
         counted(~F.col("_p")).alias("nulls"),
-        only(scalar, F.count_if(F.col("_p"))).alias("distinct"),
         F.min("_x").alias("min_number"),
         F.max("_x").alias("max_number"),
         (F.sum(x * n) / F.sum(F.when(x.isNotNull(), n))).alias("mean"),
@@ -78,6 +80,10 @@ def basic_measures(hist: DataFrame, meta: DataFrame, scan_time: datetime) -> Dat
         only(is_time, counted(us < YEAR_1900)).alias("before_1900"),
         only(is_time, counted(us > YEAR_2200)).alias("after_2200"),
     )
+    # One row per column on both sides.
+    return measured.join(F.broadcast(distinct), "cid", "left").withColumn(
+        "distinct", F.when(F.col("_scalar"), F.coalesce("distinct", F.lit(0)))
+    ).drop("_scalar")
 
 
 def number_values(hist: DataFrame, meta: DataFrame) -> DataFrame:

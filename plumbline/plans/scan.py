@@ -25,7 +25,9 @@ from ..operators.evaluate import (
 )
 from ..operators.examples import choose_checks, examples, failing_values, findings
 from ..operators.health import health_items
-from ..operators.histogram import ColumnMeta, build_histogram, column_meta, meta_frame, text_values, top_values
+from ..operators.histogram import (
+    ColumnMeta, build_histogram, column_meta, distinct_counts, histogram_value, meta_frame, text_values, top_values, value_cells,
+)
 from ..operators.lifecycle import not_runnable, reconcile_frames
 from ..operators.quantiles import quantiles
 from ..operators.score import scores
@@ -227,7 +229,9 @@ def _profile_tables(
     hist = hist.persist()
     held.append(hist)
 
-    basic_lazy = P.basic_measures(hist, meta, now)
+    cells = value_cells([(read[a.label], [m for m in metas if m.asset == a.label]) for a in assets])
+    distinct = distinct_counts(hist.filter(histogram_value().present))
+    basic_lazy = P.basic_measures(cells, distinct, meta, now)
     basic_rows = basic_lazy.collect()  # one row per column; fills the histogram's cache
     basic = local_frame(spark, basic_rows, basic_lazy.schema)
     large = P.large_columns(basic_rows)

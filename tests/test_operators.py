@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -9,8 +10,8 @@ from plumbline.model import Asset
 from plumbline.operators import profile as P
 from plumbline.operators import quantiles as Q
 from plumbline.operators.checks import new_spec
-from plumbline.operators.evaluate import Store, copy_counts, failing_rows
-from plumbline.operators.histogram import top_k
+from plumbline.operators.evaluate import Store, copy_counts, count_checks, failing_rows, value_counts
+from plumbline.operators.histogram import distinct_counts, top_k, value_hashes
 from plumbline.plans.scan import histogram_of, profile_assets, ScanOptions
 from shop import NOW
 
@@ -84,10 +85,31 @@ def test_every_type_is_profiled(spark):
 
 def test_plans_stay_free_of_python_and_cross_joins(spark):
     df = spark.range(100).selectExpr("id", "cast(id AS STRING) AS s", "id / 3.0D AS x")
-    hist, meta, _ = histogram_of(spark, [Asset("t", df)], {"t": df})
-    plan = P.basic_measures(hist, meta, NOW)._jdf.queryExecution().executedPlan().toString()
+    st = stored_as(spark, {"t": df})
+    cells = st.cells({m.cid for m in st.metas})
+    plan = P.basic_measures(cells, distinct_counts(value_hashes(cells)), st.meta, NOW)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
-    assert plan.count("Exchange hashpartitioning") == 2  # one for the histogram, one for the columns
+    # Columns, value hashes and their counts: nothing is shuffled by value, and every aggregate is a hash aggregate.
+    assert plan.count("Exchange hashpartitioning") == 3 and "SortAggregate" not in plan
+    assert not re.search(r"hashpartitioning\([^)]*\b[sid]#", plan)
+
+
+def test_value_checks_shuffle_one_row_per_column(spark):
+    df = spark.range(100).selectExpr("id", "concat('v', id % 7) AS s", "id / 3.0D AS x")
+    st = stored_as(spark, {"t": df})
+    specs = [new_spec("not_null", "t", "s"), new_spec("whitespace", "t", "s"), new_spec("range", "t", "x", params={"min": 1.0, "max": 9.0})]
+    counts = value_counts(st, specs)
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortAggregate" not in plan and "hashpartitioning(cid" in plan
+    assert {r.check_id.split(":")[0]: (r.n, r.k) for r in counts.collect()} == {"not_null": (100, 0), "whitespace": (100, 0), "range": (100, 75)}
+
+
+def test_repeats_are_counted_by_value_hashes(spark):
+    df = spark.createDataFrame([(None, 0.0), ("a", -0.0), ("a", float("nan")), ("b", float("nan")), ("a", 1.0)], "s string, x double")
+    st = stored_as(spark, {"t": df, "none": df.limit(0)})
+    specs = [new_spec("unique", t, c) for t in ("t", "none") for c in ("s", "x")]
+    got = {(r.check_id): (r.n, r.k) for r in count_checks(st, specs, {}).collect()}
+    assert got == {"unique:t:s": (4, 2), "unique:t:x": (5, 2), "unique:none:s": (0, 0), "unique:none:x": (0, 0)}
 
 
 def stored_as(spark, tables, sampled=()):
