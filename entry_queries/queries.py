@@ -54,8 +54,7 @@ def make_store(assets: list[Asset]) -> Store:
 def basic_of(st: Store) -> DataFrame:
     """The measures of every column: from cells, distinct values by their hashes."""
     cells = st.cells({m.cid for m in st.metas})
-    scalar = cells.join(F.broadcast(st.meta.filter("slot <> 'opaque'").select("cid")), "cid")
-    return profile.basic_measures(cells, distinct_counts(value_hashes(scalar)), st.meta, NOW)
+    return profile.basic_measures(cells, distinct_counts(value_hashes(cells)), st.meta, NOW)
 
 
 def narrowed(spark: SparkSession, sf_dir: str, columns: dict[str, tuple[str, ...]]) -> Store:

@@ -1,7 +1,7 @@
 """Counting evaluated and failing rows per check: `(check_id, n, k)` for any number of tables.
 
-Checks on values run over cells, with their parameters joined in as one small row per column, and are combined
-where the table is read. Repeated keys are counted by value hashes. References are joined between distinct values, so a
+Checks on values run over cells (or the histogram, where a scan holds it), with their parameters joined in as one small
+row per column, and are combined where they are read. Repeated keys are counted by value hashes. References are joined between distinct values, so a
 hot key is one row on either side.
 """
 
@@ -39,6 +39,7 @@ class Store:
     meta: DataFrame
     metas: list[ColumnMeta]
     now: datetime
+    counted: bool = False  # the histogram is held already, as in a scan that needs it for values and references
 
     def column(self, asset: str, column: str | None) -> ColumnMeta | None:
         return self._by_name.get((asset, column))
@@ -48,7 +49,9 @@ class Store:
         return {(m.asset, m.column): m for m in reversed(self.metas)}
 
     def cells(self, cids: set[int]) -> DataFrame:
-        """The cells of some columns; the others are not read."""
+        """The cells of some columns, the others not being read; the rows of the histogram if it is held."""
+        if self.counted:
+            return self.hist
         wanted: dict[str, list[ColumnMeta]] = {}
         for m in self.metas:
             if m.cid in cids:
@@ -142,10 +145,10 @@ def value_counts(store: Store, specs: list[CheckSpec]) -> DataFrame:
 
 
 def _repeats(store: Store, t: CheckType, specs: list[CheckSpec]) -> DataFrame:
-    """`(cid, k_<type>)`: rows of failing values after the first of each value, counted by value hashes."""
+    """`(cid, k_<type>)`: rows of failing values after the first of each value; values not yet counted are by their hashes."""
     params, _, cids = value_params(store, specs)
     failing = _value_rows(store, params, store.cells(cids)).filter(_fails(t, histogram_value()))
-    return value_hashes(failing).groupBy("cid").agg(F.sum(F.col("n") - 1).alias(f"k_{t.name}"))
+    return (failing if store.counted else value_hashes(failing)).groupBy("cid").agg(F.sum(F.col("n") - 1).alias(f"k_{t.name}"))
 
 
 # --- spelling variants ------------------------------------------------------------------------------

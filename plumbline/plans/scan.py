@@ -26,7 +26,7 @@ from ..operators.evaluate import (
 from ..operators.examples import choose_checks, examples, failing_values, findings
 from ..operators.health import health_items
 from ..operators.histogram import (
-    ColumnMeta, build_histogram, column_meta, distinct_counts, histogram_value, meta_frame, text_values, top_values, value_cells,
+    ColumnMeta, build_histogram, column_meta, distinct_counts, histogram_value, meta_frame, text_values, top_values,
 )
 from ..operators.lifecycle import not_runnable, reconcile_frames
 from ..operators.quantiles import quantiles
@@ -179,6 +179,7 @@ def profile_assets(spark: SparkSession, assets: list[Asset], options: ScanOption
         meta=union_all([part.store.meta for part in parts]),
         metas=[m for part in parts for m in part.store.metas],
         now=now,
+        counted=True,
     )
     return Profiled(
         store=store,
@@ -229,9 +230,8 @@ def _profile_tables(
     hist = hist.persist()
     held.append(hist)
 
-    cells = value_cells([(read[a.label], [m for m in metas if m.asset == a.label]) for a in assets])
     distinct = distinct_counts(hist.filter(histogram_value().present))
-    basic_lazy = P.basic_measures(cells, distinct, meta, now)
+    basic_lazy = P.basic_measures(hist, distinct, meta, now)
     basic_rows = basic_lazy.collect()  # one row per column; fills the histogram's cache
     basic = local_frame(spark, basic_rows, basic_lazy.schema)
     large = P.large_columns(basic_rows)
@@ -263,7 +263,7 @@ def _profile_tables(
         seen = max((int(c.rows) for c in cols), default=0)
         population = counts[a.label] if sampled[a.label] else seen
         out[a.label] = P.AssetProfile(a, population, seen, sampled[a.label], cols)
-    store = Store(spark, {a.label: a for a in assets}, read, sampled, hist, meta, metas, now)
+    store = Store(spark, {a.label: a for a in assets}, read, sampled, hist, meta, metas, now, counted=True)
     return Profiled(store, out, profile, top, patterns, {k: p.population for k, p in out.items()}, held)
 
 
