@@ -13,7 +13,7 @@ from plumbline.plans import scan as plan
 from plumbline.session import tune
 from plumbline.sources.sampling import row_counts
 
-from .oracle import _DIMS, count_if, scan_sql, shape, sql_with
+from .oracle import INFERRED_ROLES, count_if, dimensions_sql, scan_sql, shape, sql_with
 from .queries import counts_of, faulty_scan, finished, narrowed
 from .views import NOW, table
 
@@ -97,9 +97,9 @@ def _records_sql() -> str:
  s.dimension, round(100 * s.v, 1) AS dimension_value, CAST(s.checks AS BIGINT) AS dimension_checks FROM scored s
  JOIN (SELECT asset, avg(v) AS v, CAST(sum(checks) AS BIGINT) AS checks FROM scored GROUP BY asset) o ON s.asset IS NOT DISTINCT FROM o.asset"""
     scored = ", scored AS (SELECT asset, dimension, v, checks FROM tabs UNION ALL SELECT CAST(NULL AS VARCHAR), dimension, v, checks FROM stor) "
-    sql = scan_sql(body)
+    sql = scan_sql(body, roles=INFERRED_ROLES)
     i = sql.rindex(body)
-    return sql[:i].rstrip() + _DIMS + scored + body
+    return sql[:i].rstrip() + dimensions_sql(INFERRED_ROLES) + scored + body
 
 
 def _baselines_sql() -> str:
