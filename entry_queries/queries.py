@@ -18,7 +18,7 @@ from plumbline.operators.health import health_items
 from plumbline.operators.histogram import distinct_counts, text_values, top_values, value_hashes
 from plumbline.operators.quantiles import quantiles
 from plumbline.plans import scan as plan
-from plumbline.session import local_frame, tune
+from plumbline.session import collect_small, local_frame, tune
 from plumbline.sources.sampling import row_counts
 
 from .views import NOW, TABLES, all_assets, asset, table
@@ -70,13 +70,7 @@ def with_names(df: DataFrame, meta: DataFrame, *columns: str) -> DataFrame:
 
 def profile_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
     st = narrowed(spark, sf_dir, NUMERIC)
-    basic = basic_of(st)
-    large: list[int] = []
-    if max(row_counts(list(st.assets.values())).values()) > profile.SMALL_COLUMN:
-        large = profile.large_columns(basic.collect())
-    q = quantiles(profile.number_values(st.hist, st.meta), profile.QUANTILES, large)
-    centres = basic.select("cid", "mean").join(q.select("cid", F.col("q")[2].alias("p50")), "cid")
-    spread = profile.spread_measures(st.hist, st.meta, centres, large)
+    basic, q, spread = number_measures(st)
     rows = basic.join(q, "cid").join(spread, "cid")
     r = lambda c, d=6: F.round(c, d)
     return with_names(
@@ -89,6 +83,22 @@ def profile_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def number_measures(st: Store) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Basic measures, quantiles and spread of every column, as local frames of one row per column.
+
+    Values are counted once and held while the three passes over them run; each pass needs results of the one before."""
+    held = [st.hist.persist()]
+    try:
+        basic = collect_small(profile.basic_measures(st.hist, None, st.meta, NOW))
+        large = profile.large_columns(basic.collect())
+        q = collect_small(quantiles(profile.number_values(st.hist, st.meta), profile.QUANTILES, large, held))
+        centres = basic.select("cid", "mean").join(q.select("cid", F.col("q")[2].alias("p50")), "cid")
+        return basic, q, collect_small(profile.spread_measures(st.hist, st.meta, centres, large, held))
+    finally:
+        for df in held:
+            df.unpersist()
+
+
 def profile_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     st = narrowed(spark, sf_dir, TEXT)
     rows = basic_of(st).withColumn("mean_length", F.round("mean_length", 4))
@@ -108,14 +118,17 @@ def profile_mad(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mad_of(st: Store) -> DataFrame:
-    """`(cid, median, mad)`; columns too large for one task take the range-sorted way."""
-    values = profile.number_values(st.hist, st.meta)
-    large: list[int] = []
-    if max(row_counts(list(st.assets.values())).values()) > profile.SMALL_COLUMN:
+    """`(cid, median, mad)`; columns too large for one task take the range-sorted way. Values are counted once and held meanwhile."""
+    held = [st.hist.persist()]
+    try:
+        values = profile.number_values(st.hist, st.meta)
         large = profile.large_columns(values.groupBy("cid").agg(F.count(F.lit(1)).alias("distinct")).collect())
-    centre = quantiles(values, (0.5,), large).select("cid", F.col("q")[0].alias("median"))
-    dev = values.join(F.broadcast(centre), "cid").select("cid", F.abs(F.col("x") - F.col("median")).alias("x"), "n")
-    return centre.join(quantiles(dev, (0.5,), large).select("cid", F.col("q")[0].alias("mad")), "cid")
+        centre = collect_small(quantiles(values, (0.5,), large, held).select("cid", F.col("q")[0].alias("median")))
+        dev = values.join(F.broadcast(centre), "cid").select("cid", F.abs(F.col("x") - F.col("median")).alias("x"), "n")
+        return collect_small(centre.join(quantiles(dev, (0.5,), large, held).select("cid", F.col("q")[0].alias("mad")), "cid"))
+    finally:
+        for df in held:
+            df.unpersist()
 
 
 def sorted_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -142,7 +142,11 @@ def unpivot_columns(df: DataFrame, metas: list[ColumnMeta]) -> DataFrame:
     for start in range(0, len(metas), COLUMNS_PER_PASS):
         group = metas[start : start + COLUMNS_PER_PASS]
         columns = [encode(F.col(quote(m.column)), m.slot).alias(f"c{m.cid}") for m in group]
-        empty = [F.lit(None).cast(t).alias(n) for n, t in (("n_s", "string"), ("n_i", "bigint"), ("n_d", "double"))]
+        # Only the empty slots that are used: a column left out of the UNPIVOT is handed through, and with it Spark does not
+        # recognise the plan of a held histogram again on the second side of a join.
+        letters = {slot_letter(m.slot) for m in group}
+        kinds = (("s", "string"), ("i", "bigint"), ("d", "double"))
+        empty = [F.lit(None).cast(t).alias(f"n_{x}") for x, t in kinds if letters - {x}]
         tuples = []
         for m in group:
             slots = {"s": "n_s", "i": "n_i", "d": "n_d"} | {slot_letter(m.slot): f"c{m.cid}"}

@@ -39,10 +39,11 @@ def counted(pred: Column) -> Column:
     return F.coalesce(F.sum(F.when(pred, F.col("n"))), F.lit(0)).cast("bigint")
 
 
-def basic_measures(cells: DataFrame, distinct: DataFrame, meta: DataFrame, scan_time: datetime) -> DataFrame:
+def basic_measures(cells: DataFrame, distinct: DataFrame | None, meta: DataFrame, scan_time: datetime) -> DataFrame:
     """One row per column: counts, ranges, lengths, text classes and date plausibility.
 
-    `cells` may be cells or a histogram; `distinct` has a row `(cid, distinct)` for each column with values."""
+    `cells` may be cells or a histogram; `distinct` has a row `(cid, distinct)` for each column with
+    values. Without it `cells` is a histogram, of which each row is one value."""
     v = histogram_value()
     kind = F.col("logical_type")
     is_num, is_text, is_time = kind.isin(*NUMERIC), kind == "text", kind.isin(*TEMPORAL)
@@ -79,9 +80,11 @@ def basic_measures(cells: DataFrame, distinct: DataFrame, meta: DataFrame, scan_
         only(is_time, counted(us > tomorrow)).alias("future"),
         only(is_time, counted(us < YEAR_1900)).alias("before_1900"),
         only(is_time, counted(us > YEAR_2200)).alias("after_2200"),
+        *([F.count_if("_p").alias("distinct")] if distinct is None else []),
     )
-    # One row per column on both sides.
-    return measured.join(F.broadcast(distinct), "cid", "left").withColumn(
+    if distinct is not None:  # one row per column on both sides
+        measured = measured.join(F.broadcast(distinct), "cid", "left")
+    return measured.withColumn(
         "distinct", F.when(F.col("_scalar"), F.coalesce("distinct", F.lit(0)))
     ).drop("_scalar")
 

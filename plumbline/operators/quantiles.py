@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import collect_small
+
 # Distinct values up to which one task may hold a column (about 100 bytes each).
 SMALL_COLUMN = 1_000_000
 
@@ -62,16 +64,19 @@ def _sorted_quantiles(values: DataFrame, probs: tuple[float, ...], held: list[Da
         "cid", "part", "start", "stop", "slot", "h",
         F.explode(F.array_distinct(F.array(F.floor("h"), F.ceil("h")))).alias("r"),
     ).filter((F.col("r") >= F.col("start")) & (F.col("r") < F.col("stop")))
+    # Two rows per quantile. Local ones keep the joins below from being self-joins, on whose second side Spark may not find the
+    # held values again and would sort them anew, perhaps with other bounds.
+    ends = collect_small(ends)
     # Rows, not range: equal values in several rows each take their own ranks.
     running = Window.partitionBy("cid", "part").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     needed = ends.select("cid", "part", "start").distinct()
     counted = (
-        tagged.join(needed, ["cid", "part"])
+        tagged.join(F.broadcast(needed), ["cid", "part"])
         .withColumn("hi", F.col("start") + F.sum("n").over(running))
         .withColumn("lo", F.col("hi") - F.col("n"))
         .select("cid", "part", "x", "lo", "hi")
     )
-    hits = ends.join(counted, ["cid", "part"]).filter((F.col("r") >= F.col("lo")) & (F.col("r") < F.col("hi")))
+    hits = counted.join(F.broadcast(ends.drop("start")), ["cid", "part"]).filter((F.col("r") >= F.col("lo")) & (F.col("r") < F.col("hi")))
     per_quantile = hits.groupBy("cid", "slot").agg(
         F.min("x").alias("a"), F.max("x").alias("b"), F.max(F.col("h") - F.floor("h")).alias("frac")
     )

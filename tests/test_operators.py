@@ -145,3 +145,22 @@ def test_types_do_not_depend_on_the_number_of_values(spark):
     mails = spark.range(20_000).selectExpr("IF(id < 1100, concat('#', lpad(id, 6, '0')), concat('user', id, '@example.org')) AS mail")
     p = profile_assets(spark, [Asset("t", mails)], ScanOptions(sample_rows=0, now=NOW)).assets["t"].column("mail")
     assert p.semantic_type == "email" and p.personal
+
+
+def test_a_held_histogram_is_read_on_both_sides_of_a_join(spark, tmp_path):
+    from entry_queries.views import table
+
+    at = F.lit("2020-01-01").cast("timestamp_ntz").alias("o_orderdate")
+    orders = spark.range(100).select(F.col("id").alias("o_orderkey"), F.col("id").alias("o_custkey"), (F.col("id") * 0.5).alias("o_totalprice"), F.lit("O").alias("o_orderstatus"), at)
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    a = Asset("dirty_orders", table(spark, str(tmp_path), "dirty_orders").select("amount"))
+    assert a.df.count() == 110
+    hist, meta, _ = histogram_of(spark, [a], {"dirty_orders": a.df})
+    hist = hist.persist()
+    both = hist.join(hist.groupBy("cid").agg(F.count(F.lit(1)).alias("m")), "cid")
+    shown = both._jdf.queryExecution().optimizedPlan().toString()
+    by_rows = P.basic_measures(hist, None, meta, NOW).collect()
+    by_hash = P.basic_measures(hist, distinct_counts(value_hashes(hist)), meta, NOW).select(by_rows[0].__fields__).collect()
+    hist.unpersist()
+    assert re.search(r"(?<!InMemory)Relation \[", shown) is None
+    assert by_rows == by_hash and by_rows[0]["distinct"] == 100
