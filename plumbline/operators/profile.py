@@ -123,14 +123,15 @@ def semantic_measures(values: DataFrame, meta: DataFrame) -> DataFrame:
     """The semantic type of each text column and its share, over all `text_values`."""
     text = meta.filter("logical_type = 'text'").select("cid", "allowed_types")
     rows = values.join(F.broadcast(text), "cid").withColumn("_v", X.strip(F.col("value")))
+    # Only fixed-width sums, so that the aggregate stays a hash aggregate and no text is sorted; allowed types join after it.
     per = rows.groupBy("cid").agg(
-        F.first("allowed_types").alias("allowed_types"),
         F.sum("n").alias("total"),
         *[
             counted(F.array_contains("allowed_types", name) & test(F.col("_v"))).alias(f"ok_{name}")
             for name, test in S.TESTS.items()
         ],
     )
+    per = per.join(F.broadcast(text), "cid")
     best = S.best_type(F.col("total"), {name: F.col(f"ok_{name}") for name in S.TESTS}, F.col("allowed_types"))
     return per.withColumn("_b", best).select(
         "cid", F.col("_b.name").alias("semantic_type"), F.col("_b.share").alias("semantic_share")

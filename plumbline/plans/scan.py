@@ -251,7 +251,7 @@ def _profile_tables(
     rows = profile_lazy.collect()
     profile = local_frame(spark, rows, profile_lazy.schema)
     patterns = P.patterns(text_values(hist, meta))
-    values, shapes = run_together([lambda: _few_values(top, rows), lambda: _main_shapes(patterns, profile, rows)])
+    values, shapes = run_together([lambda: _few_values(hist, meta, rows), lambda: _main_shapes(patterns, profile, rows)])
 
     out: dict[str, P.AssetProfile] = {}
     for a in assets:
@@ -266,11 +266,11 @@ def _profile_tables(
     return Profiled(store, out, profile, top, patterns, {k: p.population for k, p in out.items()}, held)
 
 
-def _few_values(top: DataFrame, rows: list[Row]) -> dict[int, list[tuple[str, int]]]:
-    """The values of columns with at most twenty of them."""
+def _few_values(hist: DataFrame, meta: DataFrame, rows: list[Row]) -> dict[int, list[tuple[str, int]]]:
+    """The values of columns with at most twenty of them. Those of the other columns are ranked only when they are asked for."""
     few = [r.cid for r in rows if r.logical_type in ("text", "integer") and (r["distinct"] or 0) <= 20]
     out: dict[int, list[tuple[str, int]]] = {}
-    for r in top.filter(F.col("cid").isin(few)).orderBy("cid", "rank").collect() if few else []:
+    for r in top_values(hist.filter(F.col("cid").isin(few)), meta).orderBy("cid", "rank").collect() if few else []:
         out.setdefault(r.cid, []).append((r.value, r.n))
     return out
 
