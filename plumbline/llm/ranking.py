@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import bucket, row_key, stored
 from plumbline.llm.repetition import duplicate_lines, per_text, repeated_word_count
 from plumbline.llm.words import Words, slices, text_bytes
+from plumbline.operators.quantiles import SMALL_COLUMN, quantiles
 
-SAMPLE = 20_000
-PAIRS = 60_000
+PAIRS_PER_ROW = 3  # of the more frequent label
+GROUP = 64  # rows of the rarer label that are paired within one group
 THRESHOLD = 0.7
 FEATURES = (
     "log_words", "word_length", "symbols", "exclamation", "bars", "upper", "digits", "other_ascii", "marked_words", "dup_lines",
@@ -61,17 +62,43 @@ def features_of(split: Words, data: np.ndarray, offsets: np.ndarray) -> np.ndarr
     return out
 
 
-def fit_pairs(better: np.ndarray, worse: np.ndarray, pairs: int, seed: int = 7, ridge: float = 1e-3, steps: int = 25) -> np.ndarray:
-    """Weights w that maximise the likelihood of better over worse, P = 1 / (1 + exp(-w (x - y))), by Newton steps."""
+def drawn_pairs(y: np.ndarray, z: np.ndarray, seed: int) -> np.ndarray:
+    """Differences between rows of label 1 and of label 0, each row in as many pairs as the others of its label (one more or less)."""
     draw = np.random.Generator(np.random.PCG64(seed))
-    x = better[draw.integers(0, len(better), pairs)] - worse[draw.integers(0, len(worse), pairs)]
-    w = np.zeros(x.shape[1])
+    better, worse = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    if not len(better) or not len(worse):
+        return z[:0]
+    n = PAIRS_PER_ROW * max(len(better), len(worse))
+
+    def dealt(rows: np.ndarray) -> np.ndarray:
+        return np.concatenate([draw.permutation(rows) for _ in range(-(-n // len(rows)))])[:n]
+
+    return z[dealt(better)] - z[dealt(worse)]
+
+
+def fit_pairs(pairs: DataFrame, width: int, ridge: float = 1e-3, steps: int = 25) -> np.ndarray:
+    """Weights w that maximise the likelihood of better over worse, P = 1 / (1 + exp(-w (x - y))), by Newton steps.
+
+    `pairs` holds the differences x - y. Each step is one job that sums gradient and curvature where the pairs are."""
+    w = np.zeros(width)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (1 - p) / len(x) - ridge * w
-        curve = (x * (p * (1 - p))[:, None]).T @ x / len(x) + ridge * np.eye(len(w))
+        def sums(batches: Iterator[pa.RecordBatch], w: np.ndarray = w) -> Iterator[pa.RecordBatch]:
+            n, gradient, curve = 0, np.zeros(width), np.zeros((width, width))
+            for batch in batches:
+                x = batch.column(0).flatten().to_numpy().reshape(-1, width)
+                p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+                n += len(x)
+                gradient += x.T @ (1 - p)
+                curve += (x * (p * (1 - p))[:, None]).T @ x
+            yield pa.record_batch([pa.array([[float(n), *gradient, *curve.ravel()]], pa.list_(pa.float64()))], names=["sums"])
+
+        parts = sorted(r.sums for r in pairs.mapInArrow(sums, "sums array<double>").collect())  # one row per task
+        total = np.sum(np.array(parts), axis=0)
+        n = max(total[0], 1)
+        gradient = total[1 : width + 1] / n - ridge * w
+        curve = total[width + 1 :].reshape(width, width) / n + ridge * np.eye(width)
         step = np.linalg.solve(curve, gradient)
-        w += step
+        w = w + step
         if np.abs(step).max() < 1e-6:
             break
     return w
@@ -79,12 +106,13 @@ def fit_pairs(better: np.ndarray, worse: np.ndarray, pairs: int, seed: int = 7,
 
 def rank_quality(
     df: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text",
-    folds: int = 4, fold: int = 2, sample: int = SAMPLE, threshold: float = THRESHOLD,
+    folds: int = 4, fold: int = 2, threshold: float = THRESHOLD,
 ) -> DataFrame:
     """doc_id, held_out, score (0 to 1) and predicted of every row.
 
-    Preference pairs put a label-1 text before a label-0 one; only rows whose crc32(doc_id) mod `folds` is not `fold` are used,
-    at most `sample` of them by hash. The score is a logistic curve of the learned Bradley-Terry score, placed so that
+    Preference pairs put a label-1 text before a label-0 one; only rows whose crc32(doc_id) mod `folds` is not `fold` are used, and
+    all of them: rows are dealt by hash into groups in which each is paired, and the weights are fitted over the pairs of all
+    groups where they lie. Means, spreads and the quantile are those of all learning rows. The score is a logistic curve of the learned Bradley-Terry score, placed so that
     `threshold` falls on the quantile of scores that equals the label-0 share of the learning rows. Null and empty texts have
     zero features and are scored alike. Without labels of both kinds every score is 0. A null id is not held out; null labels
     teach nothing; rows repeat as given.
@@ -102,26 +130,43 @@ def rank_quality(
     measured = stored(rows.mapInArrow(measure, SCHEMA))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("y in (0, 1)")
     learn = measured.where(bucket("doc_id", folds) != fold).join(known, "doc_id").select("row", "y", "features")
-    rows_ = learn.orderBy(F.xxhash64("row", F.lit("quality")), "y").limit(sample).toArrow()
-    y = rows_.column("y").to_numpy()
-    x = np.array(rows_.column("features").to_pylist(), dtype=np.float64).reshape(len(y), len(FEATURES))
+    learn = stored(learn)
+    feature = [F.col("features")[i] for i in range(len(FEATURES))]
+    facts = learn.agg(F.count_if(F.col("y") == 0).alias("n0"), F.count_if(F.col("y") == 1).alias("n1"), F.array(*map(F.avg, feature)).alias("centre"), F.array(*map(F.stddev_pop, feature)).alias("spread")).first()
     held = (F.col("doc_id").isNotNull() & (bucket("doc_id", folds) == fold)).alias("held_out")
-    if len(np.unique(y)) < 2:
+    if not facts.n0 or not facts.n1:
         return measured.select("doc_id", held, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
-    centre, spread = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
-    spread = np.where(x.std(axis=0) < 1e-9, 1, spread)
-    z = np.clip((x - centre) / spread, -8, 8)
-    w = fit_pairs(z[y == 1], z[y == 0], PAIRS)
-    raw = np.sort(z @ w)
-    at = min(max(int(np.sum(y == 0)), 1), len(raw) - 1)
-    cut = (raw[at - 1] + raw[at]) / 2
+    centre, spread = np.array(facts.centre), np.array(facts.spread)
+    spread = np.where(spread < 1e-9, 1, spread)
+
+    def scaled(column: pa.Array) -> np.ndarray:
+        return np.clip((column.flatten().to_numpy().reshape(-1, len(FEATURES)) - centre) / spread, -8, 8)
+
+    def paired(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        group = group.combine_chunks().sort_by([("row", "ascending"), ("y", "ascending")])
+        x = drawn_pairs(group.column("y").to_numpy(), scaled(group.column("features").combine_chunks()), key[0].as_py())
+        return pa.table({"difference": pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))})
+
+    groups = max(min(facts.n0, facts.n1) // GROUP, 1)
+    dealt = learn.withColumn("g", F.pmod(F.xxhash64("row", F.lit("quality")), F.lit(groups)))
+    w = fit_pairs(stored(dealt.groupBy("g").applyInArrow(paired, "difference array<double>")), len(FEATURES))
+
+    def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([pa.array(scaled(batch.column(0)) @ w)], names=["x"])
+
+    # The middle between the scores of two neighbours: those after as many rows as have label 0, and the one before.
+    n = facts.n0 + facts.n1
+    raw = learn.select("features").mapInArrow(learned, "x double").select(F.lit(0).alias("cid"), "x", F.lit(1).cast("bigint").alias("n"))
+    sorted_: list[DataFrame] = []
+    cut = quantiles(raw, ((facts.n0 - 0.5) / (n - 1),), [0] if n > SMALL_COLUMN else [], sorted_).first().q[0]
+    for frame in sorted_:
+        frame.unpersist()
     shift = np.log(threshold / (1 - threshold))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column("features").values.to_numpy().reshape(-1, len(FEATURES))
-            z = np.clip((x - centre) / spread, -8, 8)
-            s = 1 / (1 + np.exp(-np.clip(z @ w - cut + shift, -30, 30)))
+            s = 1 / (1 + np.exp(-np.clip(scaled(batch.column("features")) @ w - cut + shift, -30, 30)))
             yield pa.record_batch([batch.column("doc_id"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     scored = measured.mapInArrow(score, "doc_id long, score double, predicted int")

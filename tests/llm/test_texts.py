@@ -18,7 +18,7 @@ from rows import ordered, pairs
 from plumbline.llm import langid, pii, repetition
 from plumbline.llm.bpe import decode, digests, encode, read_ranks
 from plumbline.llm.passages import _one_of_equal, drop_repeated_passages
-from plumbline.llm.ranking import rank_quality
+from plumbline.llm.ranking import drawn_pairs, rank_quality
 from plumbline.llm.toxicity import drop_toxic, toxicity, train
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -237,6 +237,27 @@ def test_held_out_toxicity_and_quality(spark, awkward, nothing, labels):
     assert drop_toxic(awkward, few).columns == awkward.columns and drop_toxic(awkward, few.limit(0)).count() == 16
 
 
+def test_quality_learns_from_all_labelled_rows(spark):
+    rng = random.Random(8)
+    docs, labels = [], []
+    for i in range(24_000):
+        digits = rng.random()
+        docs.append((i, " ".join(rng.choice("0123456789") if rng.random() < digits else rng.choice("abcdefgh") * rng.randint(1, 9) for _ in range(rng.randint(20, 60)))))
+        labels.append((i, int(rng.random() > digits)))
+    scored = rank_quality(spark.createDataFrame(docs, "doc_id long, text string").repartition(6), spark.createDataFrame(labels, "doc_id long, quality int"), folds=50, fold=49)
+    taught = scored.where(~F.col("held_out")).toPandas()
+    wanted = sum(y for i, y in labels if zlib.crc32(str(i).encode()) % 50 != 49)
+    # The threshold lies where the scores of all learning rows have as many rows above as have label 1.
+    assert len(taught) > 20_000 and abs(int(taught.predicted.sum()) - wanted) <= 2
+
+
+def test_every_row_is_in_pairs():
+    y, z = np.array([1, 0, 0, 1, 0, 0, 0]), np.eye(7)
+    pairs = drawn_pairs(y, z, 3)
+    assert len(pairs) == 15 and (pairs.sum(axis=0)[y == 0] == -3).all() and set(pairs.sum(axis=0)[y == 1]) <= {7, 8}
+    assert drawn_pairs(np.ones(3), z[:3], 3).shape == (0, 7)
+
+
 def test_toxicity_learns_from_whole_texts(spark, monkeypatch):
     rng = random.Random(6)
     words = lambda n: " ".join(rng.choice("abcdefgh") * 2 + rng.choice("abcdefgh") for _ in range(n))
