@@ -22,7 +22,7 @@ from ..functions import text as X
 from ..model import SEVERITIES, Asset, CheckSpec
 from ..session import collect_small, local_frame, run_together
 from .checks import CheckType, age_hours, check_types, spec_id
-from .histogram import ColumnMeta, Value, encode, histogram_value, quote, row_value, slot_letter, value_cells, value_hashes
+from .histogram import ColumnMeta, Value, encode, histogram_value, of_columns, quote, row_value, slot_letter, value_cells, value_hashes
 
 COUNTS_SCHEMA = "check_id string, n bigint, k bigint"
 
@@ -51,7 +51,7 @@ class Store:
     def cells(self, cids: set[int]) -> DataFrame:
         """The cells of some columns, the others not being read; the rows of the histogram if it is held."""
         if self.counted:
-            return self.hist
+            return of_columns(self.hist, cids)
         wanted: dict[str, list[ColumnMeta]] = {}
         for m in self.metas:
             if m.cid in cids:
@@ -158,7 +158,7 @@ def _casing_rows(store: Store, specs: list[CheckSpec]) -> DataFrame:
     columns = [(store.column(s.asset, s.column).cid, s.id) for s in specs]
     targets = local_frame(store.spark, columns, "cid int, check_id string")
     return (
-        store.hist.join(F.broadcast(targets), "cid")
+        of_columns(store.hist, {cid for cid, _ in columns}).join(F.broadcast(targets), "cid")
         .filter(F.col("s").isNotNull())
         .select("check_id", F.col("s").alias("value"), X.folded(F.col("s")).alias("folded"), "n")
     )
@@ -231,7 +231,7 @@ def _references(store: Store, specs: list[CheckSpec]) -> tuple[DataFrame, DataFr
     slots = store.meta.select("cid", "slot")
     targets = local_frame(store.spark, child_rows, "cid int, fk int, check_id string, as_text boolean").join(slots, "cid")
     children = (
-        store.hist.join(F.broadcast(targets), "cid")
+        of_columns(store.hist, {r[0] for r in child_rows}).join(F.broadcast(targets), "cid")
         .filter(v.present)
         .select("check_id", v.text.alias("value"), "n", *_keys(F.col("fk"), s_, i_, d_))
     )
@@ -241,7 +241,8 @@ def _references(store: Store, specs: list[CheckSpec]) -> tuple[DataFrame, DataFr
         # A parent read in full is in the histogram already, as its distinct values.
         inner = local_frame(store.spark, inner_rows, "cid int, fk int, as_text boolean").join(slots, "cid")
         parents.append(
-            store.hist.join(F.broadcast(inner), "cid").filter(v.present).select(*_keys(F.col("fk"), s_, i_, d_))
+            of_columns(store.hist, {r[0] for r in inner_rows}).join(F.broadcast(inner), "cid").filter(v.present)
+            .select(*_keys(F.col("fk"), s_, i_, d_))
         )
     return children, union_all(parents)
 

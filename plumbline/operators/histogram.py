@@ -17,6 +17,7 @@ All three null means the column is null. `cid` numbers the columns of one scan.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -188,6 +189,22 @@ def build_histogram(frames: list[tuple[DataFrame, list[ColumnMeta]]]) -> DataFra
     return rows.groupBy("cid", "s", "i", "d").agg(F.count(F.lit(1)).alias("n"))
 
 
+def held_histogram(hist: DataFrame) -> DataFrame:
+    """The histogram persisted with the rows of a column side by side, so that a pass over some columns (`of_columns`) skips the
+    batches of the others instead of unpacking every value."""
+    return hist.sortWithinPartitions("cid").persist()
+
+
+def of_columns(hist: DataFrame, cids: Iterable[int]) -> DataFrame:
+    """The rows of some columns, by constants, which Spark compares with the bounds of held batches before it reads them."""
+    return hist.filter(F.col("cid").isin(sorted(cids)))
+
+
+def cids_where(meta: DataFrame, condition: Column) -> list[int]:
+    """The numbers of the columns that a condition on their metadata holds for."""
+    return [r.cid for r in meta.filter(condition).select("cid").collect()]
+
+
 @dataclass(frozen=True)
 class Value:
     """A value as the checks see it: the same predicates run on the histogram and on raw rows."""
@@ -255,8 +272,8 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, spread: C
 
 def text_values(hist: DataFrame, meta: DataFrame) -> DataFrame:
     """`(cid, value, n)`: every distinct value of the text columns, from which types and shapes are inferred."""
-    text = meta.filter("logical_type = 'text'").select("cid")
-    return hist.join(F.broadcast(text), "cid").filter(F.col("s").isNotNull()).select("cid", F.col("s").alias("value"), "n")
+    text = cids_where(meta, F.col("logical_type") == "text")
+    return of_columns(hist, text).filter(F.col("s").isNotNull()).select("cid", F.col("s").alias("value"), "n")
 
 
 def top_values(hist: DataFrame, meta: DataFrame) -> DataFrame:

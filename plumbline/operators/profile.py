@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import semantics as S
 from ..functions import text as X
 from ..model import NOT_SCALAR, NUMERIC, TEMPORAL
-from .histogram import TOP_OTHER, TOP_TEXT, histogram_value, top_k
+from .histogram import TOP_OTHER, TOP_TEXT, cids_where, histogram_value, of_columns, top_k
 from .quantiles import SMALL_COLUMN, quantiles
 
 QUANTILES = (0.01, 0.25, 0.5, 0.75, 0.99)
@@ -91,11 +91,10 @@ def basic_measures(cells: DataFrame, distinct: DataFrame | None, meta: DataFrame
 
 def number_values(hist: DataFrame, meta: DataFrame) -> DataFrame:
     """`(cid, x, n)` of the numeric columns."""
-    return (
-        hist.join(F.broadcast(meta.filter(F.col("logical_type").isin(*NUMERIC)).select("cid", "slot")), "cid")
-        .select("cid", histogram_value().number.alias("x"), "n")
-        .filter(F.col("x").isNotNull())
-    )
+    numeric = cids_where(meta, F.col("logical_type").isin(*NUMERIC))
+    # Of a number exactly one slot is filled; NaN is larger than infinity.
+    x = F.coalesce(F.col("i").cast("double"), F.col("d"), F.col("s").cast("double"))
+    return of_columns(hist, numeric).select("cid", x.alias("x"), "n").filter(F.abs("x") < float("inf"))
 
 
 def large_columns(basic_rows: list[Any]) -> list[int]:

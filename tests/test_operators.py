@@ -11,7 +11,7 @@ from plumbline.operators import profile as P
 from plumbline.operators import quantiles as Q
 from plumbline.operators.checks import new_spec
 from plumbline.operators.evaluate import Store, copy_counts, count_checks, failing_rows, value_counts
-from plumbline.operators.histogram import distinct_counts, top_k, value_hashes
+from plumbline.operators.histogram import distinct_counts, held_histogram, text_values, top_k, value_hashes
 from plumbline.plans.scan import histogram_of, profile_assets, ScanOptions
 from shop import NOW
 
@@ -164,3 +164,20 @@ def test_a_held_histogram_is_read_on_both_sides_of_a_join(spark, tmp_path):
     hist.unpersist()
     assert re.search(r"(?<!InMemory)Relation \[", shown) is None
     assert by_rows == by_hash and by_rows[0]["distinct"] == 100
+
+
+def test_a_pass_over_some_columns_skips_held_batches_of_the_others(spark):
+    df = spark.range(40_000).selectExpr("id", "id * 0.5 AS amount", "concat('t', id % 7) AS kind").repartition(1)
+    hist, meta, _ = histogram_of(spark, [Asset("t", df)], {"t": df})
+    hist = held_histogram(hist.coalesce(1))
+    try:
+        assert hist.count() == 80_007
+        values = text_values(hist, meta)
+        assert sorted((r.value, r.n) for r in values.collect()) == [(f"t{k}", len(range(k, 40_000, 7))) for k in range(7)]
+        plan = values._jdf.queryExecution().executedPlan()
+        shown = plan.toString()
+        assert re.search(r"InMemoryTableScan \[[^]]*\], \[[^]]*cid#\d+ = 2", shown), shown
+        x = {r.cid: r.n for r in P.number_values(hist, meta).groupBy("cid").agg(F.sum("n").alias("n")).collect()}
+        assert x == {0: 40_000, 1: 40_000}
+    finally:
+        hist.unpersist()
