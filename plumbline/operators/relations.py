@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.session import cut_lineage
+from plumbline.session import cut_lineage, deal
 
 
 def aggregate_balance(child: DataFrame, foreign_key: str, amount: str, parent: DataFrame, key: str, total: str, tolerance: str = "0.01", scale: int = 4) -> DataFrame:
@@ -41,15 +41,17 @@ def functional_dependencies(df: DataFrame, columns: list[str], error: float = 0.
 
     The lattice of determinants is gone through level by level. A determinant that decides Y, is a key, or contains one that does,
     is not counted again, so a level holds what is left. Each level is one job: rows are counted by (determinant, dependent)
-    values with map-side combination, then the most frequent dependent of each determinant value is kept.
+    values with map-side combination, then the most frequent dependent of each determinant value is kept. Values are two independent
+    64-bit hashes, 16 bytes however long they are, and rows are dealt so that no task counts more than `CELLS_PER_TASK` of them.
     """
-    values = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")).alias(f"v{i}") for i, c in enumerate(columns)])
-    n = values.count()
+    texts = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in columns]
+    values = df.select(*[h.alias(f"{name}{i}") for i, t in enumerate(texts) for name, h in (("h", F.xxhash64(t)), ("g", F.xxhash64(F.lit("g"), t)))])
+    n = df.count()
     schema = "determinant string, dependent string, rows long, error double, gain double"
     if n == 0:
         return df.sparkSession.createDataFrame([], schema)
     # The empty determinant: what a constant guess gets wrong.
-    guess = {c: 1 - top / n for c, (top, _) in _tops(values, [((), y) for y in range(len(columns))]).items()}
+    guess = {c: 1 - top / n for c, (top, _) in _tops(values, n, [((), y) for y in range(len(columns))]).items()}
     constant = {y: guess[((), y)] for y in range(len(columns))}
     decided: dict[int, list[frozenset]] = {y: [] for y in constant}
     keys: list[frozenset] = []
@@ -59,7 +61,7 @@ def functional_dependencies(df: DataFrame, columns: list[str], error: float = 0.
             (x, y) for x in combinations(range(len(columns)), size) for y in constant
             if y not in x and constant[y] > 0 and not any(k <= set(x) for k in keys) and not any(d <= set(x) for d in decided[y])
         ]
-        for (x, y), (top, distinct) in _tops(values, level).items():
+        for (x, y), (top, distinct) in _tops(values, n, level).items():
             if distinct > distinct_ratio * n:
                 keys.append(frozenset(x))
             elif 1 - top / n <= error:
@@ -69,14 +71,20 @@ def functional_dependencies(df: DataFrame, columns: list[str], error: float = 0.
     return df.sparkSession.createDataFrame(sorted(found, key=lambda f: (-f[4], f[0], f[1])), schema)
 
 
-def _tops(values: DataFrame, candidates: list[tuple[tuple[int, ...], int]]) -> dict[tuple[tuple[int, ...], int], tuple[int, int]]:
+def _tops(values: DataFrame, n: int, candidates: list[tuple[tuple[int, ...], int]]) -> dict[tuple[tuple[int, ...], int], tuple[int, int]]:
     """For each (determinant, dependent): rows that agree with the most frequent dependent of their determinant value, and the
     number of determinant values."""
     if not candidates:
         return {}
-    entries = [F.struct(F.lit(i).alias("c"), F.array(*[F.col(f"v{j}") for j in x]).cast("array<string>").alias("x"), F.col(f"v{y}").alias("y")) for i, (x, y) in enumerate(candidates)]
-    counted = values.select(F.explode(F.array(*entries)).alias("e")).groupBy("e.c", "e.x", "e.y").agg(F.count("*").alias("n"))
-    best = counted.groupBy("c", "x").agg(F.max("n").alias("n")).groupBy("c").agg(F.sum("n").alias("top"), F.count("*").alias("distinct"))
+    used = {j for x, y in candidates for j in (*x, y)}
+    rows = deal(values.select(*[f"{name}{j}" for j in sorted(used) for name in "hg"]), n * len(candidates))
+    both = lambda *js: [F.xxhash64(F.lit(len(js)), *[F.col(f"{name}{j}") for j in js]) for name in "hg"]
+    entries = []
+    for i, (x, y) in enumerate(candidates):
+        h, g = both(*x)
+        entries.append(F.struct(F.lit(i).alias("c"), h.alias("h"), g.alias("g"), F.col(f"h{y}").alias("yh"), F.col(f"g{y}").alias("yg")))
+    counted = rows.select(F.inline(F.array(*entries))).groupBy("c", "h", "g", "yh", "yg").agg(F.count("*").alias("n"))
+    best = counted.groupBy("c", "h", "g").agg(F.max("n").alias("n")).groupBy("c").agg(F.sum("n").alias("top"), F.count("*").alias("distinct"))
     return {candidates[r.c]: (r.top, r["distinct"]) for r in best.collect()}
 
 

@@ -29,6 +29,10 @@ RECOMMENDED = {
 }
 
 
+# Cells that one task combines in memory before a shuffle: about 100 bytes each.
+CELLS_PER_TASK = 1_000_000
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the recommended runtime settings to a session."""
     for key, value in RECOMMENDED.items():
@@ -81,6 +85,16 @@ def run_together(tasks: list[Callable[[], R]]) -> list[R]:
         return [f.result() for f in [pool.submit(inherit(t)) for t in tasks]]
 
 
+def deal(df: DataFrame, cells: int, most: int | None = None) -> DataFrame:
+    """Rows dealt evenly over enough tasks that each gets about `most` of `cells` cells, whatever the files or their row groups hold.
+
+    What a task combines before a shuffle is then bounded in memory. Fewer cells stay where they are."""
+    parts = -(-cells // (most or CELLS_PER_TASK))
+    if parts < 2:
+        return df
+    return df.withColumn("_row", F.monotonically_increasing_id()).repartition(parts, "_row").drop("_row")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write `df` to the checkpoint folder and continue from there.
 

@@ -182,3 +182,17 @@ def test_a_dead_writers_claim_does_not_lock_the_state(spark, tmp_path):
     assert write_snapshot(spark.range(9), root, "checks", "c", "000000000002-b") == "000000000003-c" and read_snapshot(spark, root, "checks").count() == 9
     with pytest.raises(RuntimeError, match="have changed"):
         write_snapshot(df, root, "checks", "d", "000000000002-b")
+
+
+def test_dependencies_are_counted_in_tasks_of_bounded_size(spark, monkeypatch):
+    from plumbline import session
+
+    df = spark.range(3000).selectExpr("id", "id % 40 AS city", "(id % 40) % 7 AS state", "IF(id % 3 = 0, NULL, 'x') AS note").repartition(1)
+    want = functional_dependencies(df, df.columns, error=0.05).collect()
+    assert [(r.determinant, r.dependent, r.error) for r in want] == [("city", "state", 0.0)]
+    monkeypatch.setattr(session, "CELLS_PER_TASK", 500)
+    assert functional_dependencies(df, df.columns, error=0.05).collect() == want
+    dealt = session.deal(df, 3000 * 4)
+    sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert dealt.rdd.getNumPartitions() == 24 and max(sizes) < 250 and sum(sizes) == 3000
+    assert sorted(dealt.collect()) == sorted(df.collect()) and session.deal(df, 500) is df
