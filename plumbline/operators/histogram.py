@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 
 from ..functions.semantics import candidates_for
 from ..model import NOT_SCALAR, NUMERIC, TEMPORAL, Asset, logical_type
-from ..session import local_frame
+from ..session import deal, local_frame
 
 # Columns unpivoted in one pass; beyond this a table is read once per group of columns, so that the
 # row stays narrow enough for generated code.
@@ -183,9 +183,22 @@ def distinct_counts(hashes: DataFrame) -> DataFrame:
     return hashes.groupBy("cid").agg(F.count(F.lit(1)).alias("distinct"))
 
 
+def deal_texts(frames: list[tuple[DataFrame, list[ColumnMeta]]]) -> list[tuple[DataFrame, list[ColumnMeta]]]:
+    """The same tables, those that are mostly text with their rows dealt over tasks of bounded size.
+
+    A small piece of a file may hold or make millions of different texts, which a task would all combine in memory. Numbers
+    are hardly larger in memory than in a file, and their tables stay as they are read."""
+    texts = [i for i, (_, metas) in enumerate(frames) if metas and 2 * sum(m.slot == "text" for m in metas) >= len(metas)]
+    if not texts:
+        return frames
+    counts = [frames[i][0].agg(F.count(F.lit(1)).alias("n")).select(F.lit(i).alias("i"), "n") for i in texts]
+    rows = {r.i: r.n for r in reduce(DataFrame.union, counts).collect()}
+    return [(deal(df, rows.get(i, 0) * len(metas)), metas) for i, (df, metas) in enumerate(frames)]
+
+
 def build_histogram(frames: list[tuple[DataFrame, list[ColumnMeta]]]) -> DataFrame:
     """`(cid, s, i, d, n)` over all given tables: one shuffle for the whole batch."""
-    rows = reduce(DataFrame.union, [unpivot_columns(df, metas) for df, metas in frames if metas])
+    rows = reduce(DataFrame.union, [unpivot_columns(df, metas) for df, metas in deal_texts(frames) if metas])
     return rows.groupBy("cid", "s", "i", "d").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -181,3 +181,26 @@ def test_a_pass_over_some_columns_skips_held_batches_of_the_others(spark):
         assert x == {0: 40_000, 1: 40_000}
     finally:
         hist.unpersist()
+
+
+def test_tables_of_texts_are_counted_in_tasks_of_bounded_size(spark, monkeypatch):
+    from plumbline import session
+    from plumbline.operators.histogram import deal_texts
+
+    texts = spark.range(2000).selectExpr("concat('a', id) AS a", "concat('b', id % 5) AS b").repartition(1)
+    numbers = spark.range(2000).selectExpr("id", "id % 3 AS k", "concat('c', id % 2) AS c").repartition(1)
+    assets = [Asset("texts", texts), Asset("numbers", numbers)]
+    read = {a.label: a.df for a in assets}
+    hist, meta, metas = histogram_of(spark, assets, read)
+    want = sorted(hist.collect(), key=repr)
+    assert len(want) == 2000 + 5 + 2000 + 3 + 2
+    monkeypatch.setattr(session, "CELLS_PER_TASK", 400)
+    (t, _), (n, _) = deal_texts([(read[a.label], [m for m in metas if m.asset == a.label]) for a in assets])
+    assert n is numbers and t.rdd.getNumPartitions() == 10
+    assert max(r["count"] for r in t.groupBy(F.spark_partition_id()).count().collect()) < 400
+    hist, _, _ = histogram_of(spark, assets, read)
+    assert sorted(hist.collect(), key=repr) == want
+    hist = held_histogram(hist)  # dealt rows are found again on the second side of a join
+    shown = hist.join(hist.groupBy("cid").agg(F.count(F.lit(1)).alias("m")), "cid")._jdf.queryExecution().optimizedPlan().toString()
+    hist.unpersist()
+    assert shown.count("InMemoryRelation") == 2
