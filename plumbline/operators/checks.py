@@ -77,6 +77,8 @@ class CheckType:
     typed: Callable[[dict[str, Any], datetime], tuple[Any, ...]] = lambda p, now: (True,)
     fail: Callable[[Value, Params], Column] | None = None
     repeats: bool = False
+    # Failing rows where the column's profile already tells them exactly, else None.
+    known: Callable[[ColumnProfile, dict[str, Any], datetime], int | None] = lambda c, p, now: None
 
     @property
     def from_values(self) -> bool:
@@ -178,6 +180,56 @@ def _null_tolerance(c: ColumnProfile) -> float:
     return 0.0 if c.role in (*KEYISH, "timestamp") or c.declared_not_null else 1.0
 
 
+def _known_misfits(c: ColumnProfile, p: dict[str, Any], now: datetime) -> int | None:
+    like = c.numeric_like if p["expected"] == "number" else c.date_like
+    return None if like is None else c.non_null - like
+
+
+def _known_malformed(c: ColumnProfile, p: dict[str, Any], now: datetime) -> int | None:
+    # A test someone registered may answer null, which neither passes nor fails.
+    if c.semantic_type is None or p["semantic_type"] != c.semantic_type or S.TESTS[c.semantic_type] not in S.OWN_TESTS:
+        return None
+    return c.non_null - round(c.semantic_share * c.non_null)
+
+
+def _known_shapes(c: ColumnProfile, p: dict[str, Any], now: datetime) -> int | None:
+    found, usual = dict(c.patterns), set(p["patterns"])
+    return c.non_null - sum(found[x] for x in usual) if usual and usual <= set(found) else None
+
+
+def _known_unlisted(c: ColumnProfile, p: dict[str, Any], now: datetime) -> int | None:
+    if not c.top or len(c.top) != c.distinct or None in p["values"]:
+        return None
+    return sum(n for value, n in c.top if value not in set(p["values"]))
+
+
+def _inside(low: Any, high: Any, least: Any, most: Any) -> int | None:
+    """No row fails where the bounds hold the least and the largest value."""
+    return 0 if None not in (low, high, least, most) and low <= least and most <= high else None
+
+
+def _known_out_of_range(c: ColumnProfile, p: dict[str, Any], now: datetime) -> int | None:
+    low, high, low_us, high_us = _range_typed(p, now)
+    if c.logical_type in NUMERIC:
+        return _inside(low, high, c.min_number, c.max_number)
+    return _inside(low_us, high_us, c.min_us, c.max_us) if c.logical_type in TEMPORAL else None
+
+
+def _known_outliers(c: ColumnProfile, p: dict[str, Any], now: datetime) -> int | None:
+    if c.min_number is None:
+        return None
+    width = float(p["z"]) * 1.4826 * float(p["mad"])
+    return 0 if all(abs(x - float(p["median"])) <= width for x in (c.min_number, c.max_number)) else None
+
+
+def _known_implausible(c: ColumnProfile, p: dict[str, Any], now: datetime) -> int | None:
+    return None if c.before_1900 is None else c.before_1900 + c.after_2200
+
+
+def _known_repeats(c: ColumnProfile, p: dict[str, Any], now: datetime) -> int | None:
+    return None if c.distinct is None else c.non_null - c.distinct
+
+
 def _may_lie_ahead(name: str) -> bool:
     return any(h in name.lower() for h in AHEAD_HINTS)
 
@@ -186,11 +238,13 @@ register_check(CheckType(
     "not_null", "Missing values", "completeness", "nulls", "have no value in",
     "Trace the load that leaves this column empty; retire the check if a value is optional.",
     applies=lambda c: True, severity_for=_null_severity, tolerance=_null_tolerance,
+    known=lambda c, p, now: c.nulls,
 ))
 register_check(CheckType(
     "not_blank", "Blank and placeholder values", "completeness", "value", "are blank or a placeholder in",
     "Load placeholders as null, then decide whether a value is required.",
     applies=_text_with_values, fail=lambda v, p: X.is_blank(v.string),
+    known=lambda c, p, now: c.blanks,
 ))
 register_check(CheckType(
     "row_count", "Empty table", "completeness", "table", "expected in", "Look at the last load of this table.",
@@ -202,6 +256,7 @@ register_check(CheckType(
     applies=_conformance_applies, params=_conformance_params,
     fields="expected string", typed=lambda p, now: (p["expected"],),
     fail=lambda v, p: F.when(p("expected") == "number", ~X.is_numeric_like(v.string)).otherwise(~X.is_date_like(v.string)),
+    known=_known_misfits,
 ))
 register_check(CheckType(
     "semantic_format", "Invalid format", "validity", "value", "are not valid for the type of",
@@ -210,6 +265,7 @@ register_check(CheckType(
     params=lambda c: {"semantic_type": c.semantic_type},
     fields="semantic_type string", typed=lambda p, now: (p["semantic_type"],),
     fail=lambda v, p: ~S.valid_as(v.string, p("semantic_type")),
+    known=_known_malformed,
 ))
 register_check(CheckType(
     "pattern", "Unusual value shape", "validity", "value", "do not have the usual shape in",
@@ -218,6 +274,7 @@ register_check(CheckType(
     params=lambda c: {"patterns": [p for p, _ in c.patterns[:3] if p]},
     fields="patterns array<string>", typed=lambda p, now: (list(p["patterns"]),),
     fail=lambda v, p: ~F.array_contains(p("patterns"), X.pattern_class(v.string)),
+    known=_known_shapes,
 ))
 register_check(CheckType(
     "accepted_values", "Unexpected category", "validity", "value", "have a value outside the observed set in",
@@ -226,6 +283,7 @@ register_check(CheckType(
     params=lambda c: {"values": sorted(t for t, _ in c.top)},
     fields="accepted array<string>", typed=lambda p, now: (list(p["values"]),),
     fail=lambda v, p: ~F.array_contains(p("accepted"), v.text),
+    known=_known_unlisted,
 ))
 register_check(CheckType(
     "length", "Text too short or too long", "validity", "value", "have an unusual length in",
@@ -235,16 +293,19 @@ register_check(CheckType(
     params=lambda c: {"min": c.min_length, "max": c.max_length},
     fields="lo bigint, hi bigint", typed=lambda p, now: (int(p["min"]), int(p["max"])),
     fail=lambda v, p: ~F.char_length(v.string).between(p("lo"), p("hi")),
+    known=lambda c, p, now: _inside(int(p["min"]), int(p["max"]), c.min_length, c.max_length),
 ))
 register_check(CheckType(
     "whitespace", "Leading or trailing spaces", "validity", "value", "have outer spaces in",
     "Trim while loading, and look at the export's settings.",
     severity="low", applies=_text_with_values, fail=lambda v, p: X.has_outer_spaces(v.string),
+    known=lambda c, p, now: c.whitespace,
 ))
 register_check(CheckType(
     "non_printing", "Control and invisible characters", "validity", "value", "hold invisible characters in",
     "Clean while loading, and look at the export's encoding.",
     applies=_text_with_values, fail=lambda v, p: X.has_non_printing(v.string),
+    known=lambda c, p, now: c.non_printing,
 ))
 register_check(CheckType(
     "range", "Outside the observed range", "accuracy", "value", "are outside the observed range of",
@@ -254,6 +315,7 @@ register_check(CheckType(
     and (c.min_number is not None or c.min_us is not None),
     params=_range_params, fields="lo double, hi double, lo_us bigint, hi_us bigint", typed=_range_typed,
     fail=lambda v, p: F.coalesce(~v.number.between(p("lo"), p("hi")), ~v.micros.between(p("lo_us"), p("hi_us"))),
+    known=_known_out_of_range,
 ))
 register_check(CheckType(
     "outliers", "Extreme values", "accuracy", "value", "are far from the median of",
@@ -264,6 +326,7 @@ register_check(CheckType(
     fields="median double, width double",
     typed=lambda p, now: (float(p["median"]), float(p["z"]) * 1.4826 * float(p["mad"])),
     fail=lambda v, p: F.abs(v.number - p("median")) > p("width"),
+    known=_known_outliers,
 ))
 register_check(CheckType(
     "future_dates", "Dates in the future", "accuracy", "value", "lie more than a day ahead in",
@@ -271,11 +334,13 @@ register_check(CheckType(
     severity="high", applies=lambda c: c.logical_type in TEMPORAL and not _may_lie_ahead(c.column),
     fields="after_us bigint", typed=lambda p, now: (to_micros(now + timedelta(days=1)),),
     fail=lambda v, p: v.micros > p("after_us"),
+    known=lambda c, p, now: c.future,
 ))
 register_check(CheckType(
     "implausible_dates", "Dates before 1900 or after 2200", "accuracy", "value", "are before 1900 or after 2200 in",
     "Look at default dates in the source.", applies=lambda c: c.logical_type in TEMPORAL,
     fail=lambda v, p: (v.micros < YEAR_1900) | (v.micros > YEAR_2200),
+    known=_known_implausible,
 ))
 register_check(CheckType(
     "foreign_key", "Orphan references", "consistency", "parent", "refer to missing parents in",
@@ -295,6 +360,7 @@ register_check(CheckType(
     "Find the double load; declare the key where the store can enforce it.", severity="critical",
     applies=lambda c: c.role == "key" and c.logical_type not in NOT_SCALAR,
     fail=lambda v, p: F.lit(True), repeats=True,
+    known=_known_repeats,
 ))
 register_check(CheckType(
     "duplicate_rows", "Identical rows", "uniqueness", "copies", "copy another row in",
@@ -306,6 +372,28 @@ register_check(CheckType(
 ))
 
 
+# --- what the profile tells ---------------------------------------------------------------------------
+
+
+def known_counts(assets: dict[str, AssetProfile], specs: list[CheckSpec], now: datetime) -> dict[str, tuple[int, int]]:
+    """`(n, k)` of the checks whose evaluated and failing rows follow from the profile of the same rows, by check."""
+    columns = {(label, c.column): c for label, a in assets.items() for c in a.columns}
+    out: dict[str, tuple[int, int]] = {}
+    for s in specs:
+        t = _REGISTRY[s.type]
+        if t.how in ("value", "nulls") and s.column:
+            c = columns[s.asset, s.column]
+            k = t.known(c, s.params, now)
+            if k is not None:
+                out[s.id] = (c.rows if t.how == "nulls" else c.non_null, k)
+        elif t.how == "copies" or (t.how == "value" and s.columns):
+            parts = [columns[s.asset, c] for c in s.columns]
+            # A column that repeats no value keeps all rows apart. Rows without a part of a key are not evaluated.
+            if any(c.nulls == 0 and c.distinct == c.rows for c in parts) and (t.how == "copies" or all(c.nulls == 0 for c in parts)):
+                out[s.id] = (assets[s.asset].sample_rows, 0)
+    return out
+
+
 # --- generation -------------------------------------------------------------------------------------
 
 

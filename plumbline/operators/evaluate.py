@@ -385,16 +385,19 @@ def count_checks(
 
 
 def count_checks_now(
-    store: Store, specs: list[CheckSpec], populations: dict[str, int], held: list[DataFrame] | None = None
+    store: Store, specs: list[CheckSpec], populations: dict[str, int], held: list[DataFrame] | None = None,
+    known: dict[str, tuple[int, int]] | None = None,
 ) -> DataFrame:
-    """The same, counted: each kind of check is a job of its own, and they run side by side.
+    """The same, counted: each kind of check is a job of its own, and they run side by side; `known` checks are not counted again.
 
     One row per check comes back and becomes a local frame, so nothing built on it counts again."""
     def job(run: Callable[[], DataFrame]) -> Callable[[], list[Any]]:
         return lambda: run().collect()
 
-    rows = run_together([job(run) for run in count_parts(store, specs, populations, held)])
-    return collect_small(_with_zeros(store, specs, local_frame(store.spark, [r for part in rows for r in part], COUNTS_SCHEMA)))
+    known = known or {}
+    parts = run_together([job(run) for run in count_parts(store, [s for s in specs if s.id not in known], populations, held)])
+    rows = [(check_id, *nk) for check_id, nk in known.items()] + [r for part in parts for r in part]
+    return collect_small(_with_zeros(store, specs, local_frame(store.spark, rows, COUNTS_SCHEMA)))
 
 
 def _with_zeros(store: Store, specs: list[CheckSpec], counted: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 
 from ..model import Asset, CheckSpec, specs_frame, specs_from_rows
 from ..operators import profile as P
-from ..operators.checks import check_types, generate, parent_keys
+from ..operators.checks import check_types, generate, known_counts, parent_keys
 from ..operators.evaluate import (
     Store, check_results, count_checks_now, drop_weak_candidates, type_frame, union_all,
 )
@@ -349,7 +349,8 @@ def evaluate(profiled: Profiled, specs: list[CheckSpec], options: ScanOptions) -
     """Results of the given checks, persisted: one row per check."""
     held: list[DataFrame] = []
     spark = profiled.store.spark
-    counts = count_checks_now(profiled.store, specs, profiled.populations, held)
+    known = known_counts(profiled.assets, specs, profiled.store.now)
+    counts = count_checks_now(profiled.store, specs, profiled.populations, held, known)
     results = check_results(counts, specs_frame(spark, specs), asset_frame(profiled, options), type_frame(spark))
     return drop_weak_candidates(results), held
 

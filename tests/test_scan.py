@@ -7,7 +7,7 @@ from shop import NOW, assets, frames
 from plumbline import Asset, CheckType, failing_rows, new_spec, register_check, register_semantic_type
 from plumbline.functions import semantics
 from plumbline.model import CheckSpec
-from plumbline.operators import checks
+from plumbline.operators import checks, evaluate
 from plumbline.operators.accuracy import locked_baselines
 from plumbline.plans.scan import ScanOptions, run_scan, scan_statistics
 
@@ -94,6 +94,19 @@ def test_drift_breaks_locked_baselines(spark, clean):
     assert got["range:orders:amount"] == 10 and got["freshness:events:occurred_at"] == 1 and got["range:events:occurred_at"] > 0
 
 
+@pytest.mark.parametrize("form", ["faulty", "drift"])
+def test_a_scan_counts_only_what_its_profile_does_not_tell(spark, clean, monkeypatch, form):
+    seen, real = [], evaluate.value_counts
+    monkeypatch.setattr(evaluate, "value_counts", lambda store, specs: seen.extend(specs) or real(store, specs))
+    saved = locked_baselines(clean.specs) if form == "drift" else None
+    scan = run_scan(spark, assets(spark, **{form: True}), ScanOptions(sample_rows=0, now=NOW, examples=False), saved=saved)
+    again = [s.type for s in seen]
+    assert set(again) <= {"outliers"} | ({"length", "pattern", "accepted_values", "range"} if saved else set())
+    want = {r.check_id: (r.n, r.k) for r in evaluate.count_checks(scan.profiled.store, scan.specs, scan.profiled.populations).collect()}
+    got = {r.check_id: (r.evaluated, r.failed) for r in scan.results.collect()}
+    assert got == {check: want[check] for check in got} and len(again) < len(got) / 4
+
+
 def test_sampled_scan_has_intervals_that_hold_the_truth(spark, faulty):
     s = run_scan(spark, assets(spark, faulty=True), ScanOptions(sample_rows=400, seed=3, now=NOW, examples=False))
     orders = s.assets.filter("asset = 'orders'").first()
