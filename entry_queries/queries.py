@@ -91,8 +91,8 @@ def number_measures(st: Store) -> tuple[DataFrame, DataFrame, DataFrame]:
     try:
         basic = collect_small(profile.basic_measures(st.hist, None, st.meta, NOW))
         large = profile.large_columns(basic.collect())
-        q = collect_small(quantiles(profile.number_values(st.hist, st.meta), profile.QUANTILES, large, held))
-        centres = basic.select("cid", "mean").join(q.select("cid", F.col("q")[2].alias("p50")), "cid")
+        q = collect_small(quantiles(profile.number_values(st.hist, st.meta), profile.QUANTILES, large, held, profile.number_ranges(basic)))
+        centres = basic.select("cid", "mean", "min_number", "max_number").join(q.select("cid", F.col("q")[2].alias("p50")), "cid")
         return basic, q, collect_small(profile.spread_measures(st.hist, st.meta, centres, large, held))
     finally:
         for df in held:

@@ -249,10 +249,14 @@ def _references(store: Store, specs: list[CheckSpec]) -> tuple[DataFrame, DataFr
 
 def reference_counts(store: Store, specs: list[CheckSpec]) -> DataFrame:
     children, parents = _references(store, specs)
-    found = children.join(parents.withColumn("found", F.lit(True)), KEY, "left")
-    return found.groupBy("check_id").agg(
-        F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("found").isNull(), F.col("n"))), F.lit(0)).alias("k")
+    # Both sides in one grouping, which has nothing to sort, and no name of a check beside each key.
+    sides = children.select(*KEY, "n", F.lit(False).alias("found")).unionByName(
+        parents.select(*KEY, F.lit(0).cast("bigint").alias("n"), F.lit(True).alias("found"))
     )
+    keys = sides.groupBy(*KEY).agg(F.sum("n").alias("n"), F.max("found").alias("found"))
+    counts = keys.groupBy("fk").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("found"), 0).otherwise(F.col("n"))).alias("k"))
+    names = local_frame(store.spark, [(fk, s.id) for fk, s in enumerate(specs)], "fk int, check_id string")
+    return counts.join(F.broadcast(names), "fk").select("check_id", "n", "k")
 
 
 def orphans(store: Store, specs: list[CheckSpec]) -> DataFrame:
@@ -308,11 +312,35 @@ def _row_hash(spec: CheckSpec) -> Column:
     return F.xxhash64(*[F.col(quote(c)) for c in spec.columns])
 
 
+# Values of fixed width that a row of a hash count is not much narrower than.
+NARROW = 3
+
+
+def _is_narrow(df: DataFrame, spec: CheckSpec) -> bool:
+    """Whether the values themselves may stand where their hash would."""
+    fixed = (T.IntegralType, T.DoubleType, T.FloatType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+    return len(spec.columns) <= NARROW and all(isinstance(df.schema[c].dataType, fixed) for c in spec.columns)
+
+
 def copy_counts(store: Store, specs: list[CheckSpec], held: list[DataFrame] | None = None) -> DataFrame:
     """Rows beyond the first of each group of equal rows, exactly.
 
-    Equal rows have equal hashes, so 8 bytes per row are shuffled first and whole rows only where a
-    hash repeats; those are then grouped by their actual values, which removes hash collisions."""
+    A few numbers or dates are grouped as they are. Of wider rows, equal ones have equal hashes, so 8 bytes per row are
+    shuffled first and whole rows only where a hash repeats; those are then grouped by their actual values, which removes
+    hash collisions."""
+    narrow = [s for s in specs if _is_narrow(store.read[s.asset], s)]
+    wide = [s for s in specs if s not in narrow]
+    frames = [_narrow_copies(store.read[s.asset], s) for s in narrow]
+    return union_all(frames + ([_wide_copies(store, wide, held)] if wide else []))
+
+
+def _narrow_copies(df: DataFrame, spec: CheckSpec) -> DataFrame:
+    groups = _with_keys(df, spec).groupBy(*[F.col(quote(c)) for c in spec.columns]).agg(F.count(F.lit(1)).alias("m"))
+    n, k = (F.coalesce(F.sum(c), F.lit(0)) for c in (F.col("m"), F.col("m") - 1))
+    return groups.agg(n.alias("n"), k.alias("k")).select(F.lit(spec.id).alias("check_id"), "n", "k")
+
+
+def _wide_copies(store: Store, specs: list[CheckSpec], held: list[DataFrame] | None) -> DataFrame:
     hashes = union_all(
         [_with_keys(store.read[s.asset], s).select(F.lit(i).alias("c"), _row_hash(s).alias("h")) for i, s in enumerate(specs)]
     )

@@ -97,6 +97,11 @@ def number_values(hist: DataFrame, meta: DataFrame) -> DataFrame:
     return of_columns(hist, numeric).select("cid", x.alias("x"), "n").filter(F.abs("x") < float("inf"))
 
 
+def number_ranges(basic: DataFrame) -> DataFrame:
+    """`(cid, lo, hi)`: the smallest and largest number of each column."""
+    return basic.select("cid", F.col("min_number").alias("lo"), F.col("max_number").alias("hi"))
+
+
 def large_columns(basic_rows: list[Any]) -> list[int]:
     """Columns with too many distinct values for one task to hold."""
     return [r.cid for r in basic_rows if (r["distinct"] or 0) > SMALL_COLUMN]
@@ -105,12 +110,16 @@ def large_columns(basic_rows: list[Any]) -> list[int]:
 def spread_measures(
     hist: DataFrame, meta: DataFrame, centres: DataFrame, large: list[int], held: list[DataFrame] | None = None
 ) -> DataFrame:
-    """Standard deviation and MAD: a second pass with each column's mean and median joined in."""
-    values = number_values(hist, meta).join(F.broadcast(centres), "cid")
+    """Standard deviation and MAD: a second pass with each column's mean and median joined in.
+
+    `centres`: `(cid, mean, p50, min_number, max_number)`."""
+    values = number_values(hist, meta).join(F.broadcast(centres.select("cid", "mean", "p50")), "cid")
     moments = values.groupBy("cid").agg(
         F.sum("n").alias("_n"), F.sum(F.col("n") * (F.col("x") - F.col("mean")) * (F.col("x") - F.col("mean"))).alias("_m2")
     )
-    mad = quantiles(values.select("cid", F.abs(F.col("x") - F.col("p50")).alias("x"), "n"), (0.5,), large, held)
+    farthest = F.greatest(F.col("p50") - F.col("min_number"), F.col("max_number") - F.col("p50"))
+    ranges = centres.select("cid", F.lit(0.0).alias("lo"), farthest.alias("hi"))
+    mad = quantiles(values.select("cid", F.abs(F.col("x") - F.col("p50")).alias("x"), "n"), (0.5,), large, held, ranges)
     return moments.join(mad, "cid", "left").select(
         "cid",
         F.when(F.col("_n") > 1, F.sqrt(F.col("_m2") / (F.col("_n") - 1))).alias("stddev"),

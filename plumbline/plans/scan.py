@@ -238,8 +238,8 @@ def _profile_tables(
     held.append(top)
 
     def numbers() -> tuple[DataFrame, DataFrame]:
-        quants = collect_small(quantiles(P.number_values(hist, meta), P.QUANTILES, large, held))
-        centres = quants.select("cid", F.col("q")[2].alias("p50")).join(basic.select("cid", "mean"), "cid")
+        quants = collect_small(quantiles(P.number_values(hist, meta), P.QUANTILES, large, held, P.number_ranges(basic)))
+        centres = quants.select("cid", F.col("q")[2].alias("p50")).join(basic.select("cid", "mean", "min_number", "max_number"), "cid")
         return quants, collect_small(P.spread_measures(hist, meta, centres, large, held))
 
     def kinds() -> DataFrame:

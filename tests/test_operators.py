@@ -37,6 +37,24 @@ def test_sorted_quantiles_equal_brute_force(spark, skewed):
     assert held
 
 
+def test_quantiles_of_known_ranges_sort_only_crowded_columns(spark, skewed, monkeypatch):
+    """Bins hold few values, or all but one of them, or their width is no number: the same quantiles, the latter sorted."""
+    far, wide = [*skewed, 1e30], [-1.7e308, *skewed, 1.7e308]
+    columns = dict(enumerate((list(range(3000)), [float(x) / 7 for x in range(-900, 900)], far, wide, [5.0])))
+    rows = [(c, float(x), n) for c, xs in columns.items() for x, n in Counter(xs).items()]
+    df = spark.createDataFrame(rows, "cid int, x double, n bigint").repartition(5)
+    ranges = spark.createDataFrame([(c, float(min(xs)), float(max(xs))) for c, xs in columns.items() if c != 1], "cid int, lo double, hi double")
+    monkeypatch.setattr(Q, "SMALL_COLUMN", 200)
+    probs = (0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0)
+    for cids, is_sorted in (([0, 4], False), ([0, 1, 2, 3, 4], True)):
+        held = []
+        some = df.filter(F.col("cid").isin(cids))
+        got = {r.cid: r.q for r in Q.quantiles(some, probs, cids, held, ranges).collect()}
+        assert set(got) == set(cids) and bool(held) == is_sorted
+        for c in cids:
+            assert np.allclose(got[c], np.quantile(np.array(columns[c], dtype=float), probs)), c
+
+
 def test_top_k_equals_brute_force_with_a_hot_group(spark):
     rng = random.Random(5)
     rows = [("hot" if rng.random() < 0.5 else f"g{rng.randrange(9)}", f"v{i:04d}", rng.randrange(6)) for i in range(2000)]
@@ -204,3 +222,19 @@ def test_tables_of_texts_are_counted_in_tasks_of_bounded_size(spark, monkeypatch
     shown = hist.join(hist.groupBy("cid").agg(F.count(F.lit(1)).alias("m")), "cid")._jdf.queryExecution().optimizedPlan().toString()
     hist.unpersist()
     assert shown.count("InMemoryRelation") == 2
+
+
+def test_narrow_keys_are_counted_without_a_pass_over_their_hashes(spark, monkeypatch):
+    """A key of a few numbers is grouped once, by its values; parts that are null are left out of a key, and equal in a row."""
+    import plumbline.operators.evaluate as E
+
+    rows = [(i % 40, None if i % 11 == 0 else i % 4, f"t{i % 30}") for i in range(1000)]
+    df = spark.createDataFrame(rows, "a int, c int, b string")
+    a = Asset("t", df)
+    hist, meta, metas = histogram_of(spark, [a], {"t": df})
+    st = Store(spark, {"t": a}, {"t": df}, {"t": False}, hist, meta, metas, NOW)
+    specs = [new_spec("unique", "t", columns=("a", "c")), new_spec("duplicate_rows", "t", columns=("a", "c"))]
+    monkeypatch.setattr(E, "_row_hash", None)
+    got = {r.check_id: (r.n, r.k) for r in copy_counts(st, specs).collect()}
+    keys, full = [x[:2] for x in rows if x[1] is not None], [x[:2] for x in rows]
+    assert got == {s.id: (len(xs), len(xs) - len(set(xs))) for s, xs in zip(specs, (keys, full))}
